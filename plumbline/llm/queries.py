@@ -1,9 +1,10 @@
 """The registered queries of this package and, where SQL can state them, their SQL."""
 
-from plumbline.llm import bpe, exact_dedup, mixing
+from plumbline.llm import bpe, exact_dedup, mixing, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }

@@ -161,7 +161,7 @@ def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None) -> Dat
             s = forest.score(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("score", "double").add("predicted", "int"))
+    return rows.mapInArrow(run, rows.drop("_text").schema.add("score", "double").add("predicted", "integer"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

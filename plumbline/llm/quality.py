@@ -150,8 +150,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Fore
     return fit(np.array([r.stats for r in found]), np.array([r.y for r in found]))
 
 
-def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id unless given) plus score double, predicted int."""
+def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """keep (doc_id unless given) plus the score, a double, and the prediction, an int, under the given names."""
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs["text"], F.lit("")).alias("_text"))
 
@@ -159,15 +159,15 @@ def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None) -> Dat
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column("_text")]).reshape(-1, N_STATS)
             s = forest.score(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, *names])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("score", "double").add("predicted", "integer"))
+    return rows.mapInArrow(run, rows.drop("_text").schema.add(names[0], "double").add(names[1], "integer"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, all columns."""
-    scored = score(docs, fit_on(docs, labels), docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = score(docs, fit_on(docs, labels), docs.columns, ("_quality_score", "_quality_good"))
+    return scored.where("_quality_good = 1").select(*docs.columns)
 
 
 def op3_quality(spark, sf_dir):

@@ -1,12 +1,13 @@
 """The registered queries of this package and, where SQL can state them, their SQL."""
 
-from plumbline.llm import bpe, exact_dedup, mixing, quality
+from plumbline.llm import bpe, exact_dedup, language, mixing, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op10_language": language.op10_language,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,

@@ -21,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of each cache in a worker; a full cache is emptied.
-CACHE = 400_000
+CACHE = 500_000
 #: Bytes of text after which a batch of results is handed back.
 FLUSH = 4 << 20
 END = "</w>"
@@ -44,6 +45,21 @@ def byte_letters() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
+class _Chunks(dict):
+    """Ids of what stands between white space, worked out when first asked for."""
+
+    def __init__(self, enc: Encoder):
+        self.enc = enc
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.enc.chunk(text)
+        if len(text) < 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts with one vocabulary file, given as its JSON text."""
 
@@ -67,11 +83,13 @@ class Encoder:
             if last and len(body) > 1:
                 self.inside.add(body[-2:] + END)
         self.fragments: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {"": ()}
+        self.chunks = _Chunks(self)
 
     def cut(self, word: str) -> list[str]:
         """Fragments of a word in byte letters; the last one carries END."""
         inside, start, out = self.inside, 0, []
+        if len(word) == 1 or word[-2:] + END in inside and inside.issuperset(map(add, word[:-2], word[1:-1])):
+            return [word + END]
         for i in range(1, len(word)):
             pair = word[i - 1 : i + 1]
             if (pair if i < len(word) - 1 else pair + END) not in inside:
@@ -88,6 +106,8 @@ class Encoder:
             parts[-1] += END
         if len(parts) == 1:
             return (self.ids[parts[0]],)
+        if len(parts) < 24:
+            return self._merge_short(parts)
         ranks, n = self.ranks, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(ranks[p], i, *p) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in ranks]
@@ -107,11 +127,25 @@ class Encoder:
                 heapq.heappush(heap, (ranks[p], k, *p))
         return tuple(self.ids[p] for p in parts if p is not None)
 
+    def _merge_short(self, parts: list[str]) -> tuple[int, ...]:
+        get, none = self.ranks.get, len(self.ranks)
+        found = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while found and (low := min(found)) < none:
+            i = found.index(low)
+            parts[i] += parts.pop(i + 1)
+            found.pop(i)
+            if i < len(found):
+                found[i] = get((parts[i], parts[i + 1]), none)
+            if i:
+                found[i - 1] = get((parts[i - 1], parts[i]), none)
+        return tuple(map(self.ids.__getitem__, parts))
+
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of normalised text without white space."""
         letters, out, known = self.letters, [], self.fragments
         for word in self.words.findall(text):
-            for fragment in self.cut("".join(letters[b] for b in word.encode())):
+            plain = word.isascii() and word.isprintable()  # such bytes stand for themselves
+            for fragment in self.cut(word if plain else "".join([letters[b] for b in word.encode()])):
                 ids = known.get(fragment)
                 if ids is None:
                     ids = self.merge(fragment)
@@ -122,27 +156,20 @@ class Encoder:
                 out.extend(ids)
         return tuple(out)
 
-    def normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        text = self.white.sub(" ", text)
-        return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
+    def split(self, text: str) -> list[str]:
+        """Normalised text, cut at white space."""
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
+        # str.split also cuts at four control characters that are no white space in Unicode
+        return self.white.split(text) if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()
 
     def pieces(self, text: str) -> list[tuple[int, ...]]:
         """Tuples of ids whose concatenation encodes a text."""
         if self.specials is not None and self.specials.search(text):
             parts = self.specials.split(text)
             return list(chain.from_iterable([(self.added[p],)] if p in self.added else self.pieces(p) for p in parts))
-        known, out = self.chunks, []
-        for c in self.normal(text).split(" "):
-            ids = known.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) < 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[c] = ids
-            out.append(ids)
-        return out
+        return list(map(self.chunks.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.pieces(text)))

@@ -1,12 +1,13 @@
 """The registered queries of this package and, where SQL can state them, their SQL."""
 
-from plumbline.llm import bpe, ctw, exact_dedup, language, mixing, quality
+from plumbline.llm import bpe, chat, ctw, exact_dedup, language, mixing, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_chat": chat.op6_chat,
     "op9_ctw": ctw.op9_ctw,
     "op10_language": language.op10_language,
 }

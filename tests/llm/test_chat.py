@@ -1,0 +1,58 @@
+"""Chat windows: escapes, round trip, budgets, masks, against plain Python."""
+
+import hashlib
+from collections import defaultdict
+
+import pytest
+
+from plumbline.llm import chat
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def expected(rows):
+    talks = defaultdict(list)
+    for conv, turn, role, text in rows:
+        talks[conv].append((turn, role or "", text or ""))
+    out = {}
+    for conv, turns in talks.items():
+        turns.sort(key=lambda t: ((t[0] is not None, t[0] or 0), t[1], t[2]))
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        out[conv] = (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss))
+    return out
+
+
+def test_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    marks = "</s>[INST] ok [/INST]"
+    want = expected([*rows, (-7, 0, "user", marks), (-7, 1, "assistant", marks)])
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.op6_chat(spark, SF).collect()}
+    assert got == want
+
+
+ODD = ["", "\\", "<\\s>", "<\\\\/s>", "<s></s>\n<s>user\nhi</s>", "a\\<s>\\\\</s>\\", "<<s>s>", "é🙂\n\n", "</s>\n"]
+
+
+@pytest.mark.parametrize("budget", [9, 30, 512])
+def test_round_trip_and_windows(spark, budget):
+    rows = [(1, i, ["system", "user", "assistant"][0 if i == 0 else 1 + i % 2], f"word{i} {x} end") for i, x in enumerate(ODD)]
+    rows += [(2, i, "assistant" if i % 2 else "user", "w " * (i % 7)) for i in range(60)] + [(3, 0, "assistant", "long " * 5000), (4, None, None, None), (4, None, None, None), (None, 1, "ro\nle<\\n>", "x")]
+    windows = chat.format_chats(spark.createDataFrame(rows, SCHEMA), budget=budget).cache()
+    got = {r.conv_id: (len(r.turns), sha("".join(f"{t.role}\n{t.text}\n" for t in r.turns)), len(r.loss_text), sha(r.loss_text)) for r in chat.read_back(windows).collect()}
+    assert got == expected(rows)
+    for w in windows.collect():
+        turns = w.formatted.split("</s>\n")[:-1]
+        assert len(turns) == w.n_repeated + w.n_own
+        size = sum(len(t.split("\n", 1)[1].split()) + chat.OVERHEAD for t in turns)
+        assert size <= budget or w.n_own == 1
+        if w.conv_id == 1 and w.window:
+            assert turns[0].startswith("<s>system\n")
+
+
+def test_empty(spark):
+    assert chat.read_back(chat.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0

@@ -1,6 +1,6 @@
 """The registered queries of this package and, where SQL can state them, their SQL."""
 
-from plumbline.llm import bpe, chat, ctw, exact_dedup, language, mixing, quality
+from plumbline.llm import bpe, chat, ctw, exact_dedup, language, licenses, mixing, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -8,10 +8,12 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat": chat.op6_chat,
+    "op8_licenses": licenses.op8_licenses,
     "op9_ctw": ctw.op9_ctw,
     "op10_language": language.op10_language,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op8_licenses": licenses.OP8_SQL,
 }

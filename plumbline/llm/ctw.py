@@ -4,16 +4,16 @@ Every byte is eight binary decisions. For each decision there is a tree over the
 of them; a node holds Krichevsky-Trofimov counts, and a context's probability mixes the estimates of
 all depths by their weights: P_w = 1/2 P_kt + 1/2 prod P_w(children). A text is its words (ASCII letters in
 lower case), each closed by a space, then one end byte; contexts reach back over the space before a word to the last REACH
-bytes of the word before, so that a word's probability depends on these alone (word and bytes: a unit). A context never seen in training says what
+bytes of the word before, so that only a word's first bytes depend on the word before. A context never seen in training says what
 the longest seen one says.
 
 How it runs. One map over the texts, in chunks of some megabytes, gives for each chunk its distinct words
-with training counts, its distinct grams (context and byte) with training counts, and the sparse
-table of its documents over its units. Words meet by a window over the word, grams by an aggregate; the trees are
-built and read in groups by the two nearest context bytes, the two top levels of the trees (at most 65,536 nodes,
-whatever the input) on the driver. The answers go back to the chunks, which sum them for each document. Texts are never
-shuffled, nothing that grows with the input is collected or broadcast, and no group exceeds one chunk's
-words or one context pair's grams.
+with training counts, its distinct grams (context and byte) with training counts, both cut into parts by a hash and packed, and the sparse
+table of its documents over its words and over the places where they stand. Each part of the words is counted in one group, each part of the
+grams grows and reads its trees in one group (by the two nearest context bytes); the two top levels of the trees, at most 65,536 nodes
+whatever the input, meet on the driver. Each group answers every chunk in the order it asked, and a chunk's answers are summed for each of its
+documents. Texts are never shuffled, and nothing that grows with the input is collected or broadcast. A group holds 1/parts of all
+chunks' distinct words or grams; parts follow the number of input partitions.
 
 Null texts are empty; an empty text is its end. A null id is never held out. Repeated rows are scored one by one and train as often
 as they occur. An empty table gives an empty result; without training documents every count is 0. Other columns are ignored.
@@ -22,12 +22,14 @@ as they occur. An empty table gives an empty result; without training documents
 from __future__ import annotations
 
 import os
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import held_out, written
@@ -37,8 +39,9 @@ DEPTH = 5
 REACH = 3
 END = b"\n"
 #: Bytes of text in a chunk.
-CHUNK = 20 << 20
-ROWS = 100_000
+CHUNK = 16 << 20
+#: Strings spelled at a time.
+BLOCK = 50_000
 WORDS, GRAMS, TABLE = 0, 1, 2
 
 
@@ -47,93 +50,181 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
-def units(found: list[bytes]) -> list[bytes]:
-    """Each token behind a space and the last bytes of the token before it."""
-    return [x[-REACH:] + b" " + w for x, w in zip([b"", *found], found, strict=False)]
-
-
-def grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All (context, byte) pairs of some units as integers, and the number of each unit's pairs."""
+def grams(found: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, byte) pairs, as integers, of some strings from `before` on, and the number of each string's pairs."""
     lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    before = np.fromiter((u.index(b" ") + 1 for u in found), dtype=np.int64, count=len(found))
     pad = b"\0" * DEPTH
-    data = np.frombuffer(pad + (b" " + pad).join(found) + b" ", dtype=np.uint8).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + DEPTH + 1)[:-1]]) + DEPTH + before
-    sizes = np.where([u.endswith(END) for u in found], 1, lengths - before + 1)  # nothing follows the end
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    data = np.frombuffer(pad + pad.join(found), dtype=np.uint8).astype(np.int64)
+    sizes = lengths - before
+    starts = np.cumsum(lengths + DEPTH) - lengths + before
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     out = data[at]
     for j in range(1, DEPTH + 1):
         out |= data[at - j] << (8 * j)
     return out, sizes
 
 
-def words_of(found: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of some units, and which one each unit has."""
-    index = _Index()
-    of = np.fromiter((index[u[u.index(b" ") + 1 :]] for u in found), dtype=np.int64, count=len(found))
-    return list(index), of
-
-
 class _Index(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
         return at
 
 
+class Spelling:
+    """Which bytes of some words depend on the word before: the head, the first DEPTH - 1 with the closing space. The
+    rest, the tail, is the same behind every word. A place is a pair of the bytes before and a head."""
+
+    def __init__(self, words: list[bytes]):
+        heads, ends = _Index(), _Index({b"": 0})
+        self.head = np.fromiter((heads[w if w == END else (w + b" ")[: DEPTH - 1]] for w in words), np.int64, len(words))
+        self.end = np.fromiter((ends[w[-REACH:]] for w in words), np.int64, len(words))
+        self.heads, self.ends = list(heads), list(ends)
+        self.words = words
+        self.long = np.flatnonzero(np.fromiter((len(w) >= DEPTH - 1 for w in words), bool, len(words)))
+
+    def tails(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Word numbers, pairs, and the number of each word's pairs, a block at a time."""
+        for i in range(0, len(self.long), BLOCK):
+            at = self.long[i : i + BLOCK]
+            yield at, *grams([b" " + self.words[k] + b" " for k in at.tolist()], np.full(len(at), DEPTH))
+
+    def places(self, end: np.ndarray, head: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(end), BLOCK):
+            e, h = ([names[k] for k in x[i : i + BLOCK].tolist()] for names, x in ((self.ends, end), (self.heads, head)))
+            yield np.arange(i, i + len(e)), *grams([x + b" " + y for x, y in zip(e, h, strict=True)], np.fromiter(map(len, e), np.int64, len(e)) + 1)
+
+
+def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Integer arrays below 2**63, byte plane by byte plane, and some bytes, compressed."""
+    out = [np.array([len(arrays), *map(len, arrays)], dtype=np.int64).tobytes()]
+    for x in arrays:
+        out.append(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.compress(b"".join([*out, tail]), 3)
+
+
+def unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.decompress(data)
+    sizes = np.frombuffer(raw, np.int64, 1 + int(np.frombuffer(raw, np.int64, 1)[0]))[1:].tolist()
+    at, out = 8 * (1 + len(sizes)), []
+    for n in sizes:
+        planes = np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n)
+        out.append(np.ascontiguousarray(planes.T).view(np.int64).reshape(n))
+        at += 8 * n
+    return out, raw[at:]
+
+
+def _sparse(docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of each document, their columns as steps (signed, so folded to even and odd), and their counts."""
+    n = int(docs[-1]) + 1
+    cells, counts = np.unique(docs << 32 | at, return_counts=True)
+    steps = np.diff(cells & 0xFFFFFFFF, prepend=0)
+    return np.bincount(cells >> 32, minlength=n), np.where(steps < 0, -2 * steps - 1, 2 * steps), counts
+
+
+def _unfold(steps: np.ndarray) -> np.ndarray:
+    return np.where(steps & 1, -(steps + 1) // 2, steps // 2).cumsum()
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs and the numbers of its members, in order."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(part[at[0]]), at
+
+
+def word_parts(words: list[bytes], parts: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+
+
+def gram_parts(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> 8) & 0xFFFF) * 40_503 % 65_521 % parts
+
+
 class Chunk:
     """Documents gathered until they are enough for one chunk."""
 
     def __init__(self):
-        self.size, self.index, self.docs, self.parts, self.counts, self.train = 0, _Index(), [], [], [], []
+        self.size, self.index, self.docs, self.at = 0, _Index(), [], []
 
     def add(self, doc_id: int | None, held: bool, text: str) -> None:
         found = tokens(text)
-        at, counts = np.unique(np.fromiter(map(self.index.__getitem__, units(found)), dtype=np.int64, count=len(found)), return_counts=True)
-        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, held, len(found), len(at)))
-        self.parts.append(at)
-        self.counts.append(counts)
+        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, held, len(found)))
+        self.at.append(np.fromiter(map(self.index.__getitem__, found), dtype=np.int32, count=len(found)))
         self.size += len(text) + 64
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """(chunk, kind, part, packed)."""
         name = int.from_bytes(os.urandom(8), "little") >> 1
-        n = len(self.index)
-        docs = np.array(self.docs, dtype=np.int64)
-        at, counts = np.concatenate(self.parts), np.concatenate(self.counts)
-        train = np.bincount(at, weights=counts * np.repeat(docs[:, 2] == 0, docs[:, 4]), minlength=n).astype(np.int64)
-        own = list(self.index)
-        pairs, sizes = grams(own)
-        keys, inverse = np.unique(pairs, return_inverse=True)
-        gram_counts = np.bincount(inverse, weights=np.repeat(train, sizes), minlength=len(keys)).astype(np.int64)
-        steps = np.diff(at, prepend=0).astype(np.int32)
-        table = zlib.compress(b"".join([np.array([len(docs), len(at)], dtype=np.int64).tobytes(), docs.tobytes(), steps.tobytes(), counts.astype(np.int32).tobytes(), b"\t".join(own)]), 1)
-        words, of = words_of(own)
-        train = np.bincount(of, weights=train, minlength=len(words)).astype(np.int64)
-        n = len(words)
-        yield _rows(name, TABLE, np.zeros(1, np.int64), [table], np.zeros(1, np.int64))
-        for start in range(0, n, ROWS):
-            part = slice(start, min(start + ROWS, n))
-            yield _rows(name, WORDS, np.arange(part.start, part.stop), words[part], train[part])
-        for start in range(0, len(keys), ROWS):
-            part = slice(start, start + ROWS)
-            yield _rows(name, GRAMS, keys[part], None, gram_counts[part])
-
-
-def _rows(chunk: int, kind: int, key: np.ndarray, data: list[bytes] | None, count: np.ndarray) -> pa.RecordBatch:
-    n = len(key)
-    columns = [pa.array(np.full(n, chunk, np.int64)), pa.array(np.full(n, kind, np.int8)), pa.array(key), pa.array(data, pa.binary()) if data else pa.nulls(n, pa.binary()), pa.array(count)]
-    return pa.RecordBatch.from_arrays(columns, names=["chunk", "kind", "key", "data", "n"])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, at = np.array(self.docs, dtype=np.int64), np.concatenate(self.at).astype(np.int64)
+        of = np.repeat(np.arange(len(docs)), docs[:, 3])
+        words = list(self.index)
+        spelling = Spelling(words)
+        before = np.concatenate([[0], spelling.end[at[:-1]]])
+        before[np.cumsum(docs[:, 3]) - docs[:, 3]] = 0
+        places, place = np.unique(before << 32 | spelling.head[at], return_inverse=True)
+        trained = (docs[:, 2] == 0)[of].astype(np.float64)
+        train = np.bincount(at, weights=trained, minlength=len(words)).astype(np.int64)
+        n_words, word_at, word_n = _sparse(of, at)
+        n_places, place_at, place_n = _sparse(of, place)
+        end, head = places >> 32, places & 0xFFFFFFFF
+        ids = docs[:, 0].view(np.uint64).view(np.int64)
+        yield name, TABLE, 0, pack(ids, *docs[:, 1:].T, n_words, n_places, word_at, word_n - 1, place_at, place_n - 1, end, head, tail=b"\t".join(words))
+        for part, own in _by_part(word_parts(words, parts)):
+            yield name, WORDS, part, pack(train[own], tail=b"\t".join([words[k] for k in own.tolist()]))
+        placed = np.bincount(place, weights=trained, minlength=len(places)).astype(np.int64)
+        blocks = [(k, np.repeat(train[i], m)) for i, k, m in spelling.tails()] + [(k, np.repeat(placed[i], m)) for i, k, m in spelling.places(end, head)]
+        keys, counts = summed(np.concatenate([k for k, _ in blocks]), np.concatenate([c for _, c in blocks]))
+        for part, own in _by_part(gram_parts(keys, parts)):
+            yield name, GRAMS, part, pack(np.diff(keys[own], prepend=0), counts[own])
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+SCHEMA = "chunk long, kind int, part int, data binary"
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "kind", "part", "data"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     chunk = Chunk()
     for batch in batches:
         for doc_id, held, text in zip(*(batch.column(c) for c in ("doc_id", "held_out", "text")), strict=True):
             chunk.add(doc_id.as_py(), held.as_py(), text.as_py())
             if chunk.size >= CHUNK:
-                yield from chunk.rows()
+                yield _batch(list(chunk.rows(parts)))
                 chunk = Chunk()
     if chunk.docs:
-        yield from chunk.rows()
+        yield _batch(list(chunk.rows(parts)))
+
+
+def _answer_words(table: pa.Table) -> pa.Table:
+    """Each chunk's words with their counts over all chunks; n and v: this part's share of all tokens and distinct words."""
+    told, total = [], Counter()
+    for data in table["data"]:
+        (counts,), words = unpack(data.as_py())
+        words = words.split(b"\t")
+        told.append(words)
+        for w, c in zip(words, counts.tolist(), strict=True):
+            total[w] += c
+    back = [pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in told]
+    n, v = sum(total.values()), sum(c > 0 for c in total.values())
+    first = [1] + [0] * (len(back) - 1)
+    return pa.table({"chunk": table["chunk"], "kind": table["kind"], "part": table["part"], "data": pa.array(back, pa.binary()), "n": [n * x for x in first], "v": [v * x for x in first]})
+
+
+def _asked(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(steps.cumsum(), counts) for (steps, counts), _ in (unpack(d.as_py()) for d in table["data"])]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -222,56 +313,66 @@ def log10_probabilities(keys: np.ndarray, counts: np.ndarray, top: np.ndarray) -
     return np.log10(np.where(trees.bit == 1, one, 1 - one)).sum(0)
 
 
-def _below(table: pa.Table) -> pa.Table:
-    trees = Trees(table["key"].to_numpy(), table["n"].to_numpy(), 2)
+def below(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The nodes with two context bytes, for the levels above."""
+    trees = Trees(keys, counts, 2)
     level = trees.keys[2]
-    return pa.table({"c1": (level >> 8) & 255, "prefix": level & 255, "zeros": trees.zeros[2], "ones": trees.ones[2], "log_p": trees.log_p[2]})
+    return {"c1": (level >> 8) & 255, "prefix": level & 255, "zeros": trees.zeros[2], "ones": trees.ones[2], "log_p": trees.log_p[2]}
+
+
+def _below(table: pa.Table) -> pa.Table:
+    asked = _asked(table)
+    return pa.table(below(*summed(np.concatenate([k for k, _ in asked]), np.concatenate([c for _, c in asked]))))
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """All rows of one chunk -> one row a document."""
-    kind = table["kind"].to_numpy()
-    table = table.combine_chunks()
-    raw = zlib.decompress(table["data"][int(np.flatnonzero(kind == TABLE)[0])].as_py())
-    n, m = np.frombuffer(raw, np.int64, 2)
-    docs = np.frombuffer(raw, np.int64, n * 5, 16).reshape(n, 5)
-    at = np.frombuffer(raw, np.int32, m, 16 + 40 * n).astype(np.int64).cumsum()
-    counts = np.frombuffer(raw, np.int32, m, 16 + 40 * n + 4 * m)
-    own = raw[16 + 40 * n + 8 * m :].split(b"\t")
-    words = table.filter(pa.array(kind == WORDS)).sort_by("key")
-    answers = table.filter(pa.array(kind == GRAMS)).sort_by("key")
-    pairs, sizes = grams(own)
-    logs = answers["value"].to_numpy()[np.searchsorted(answers["key"].to_numpy(), pairs)]
-    score = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-    total = words["value"].to_numpy()[words_of(own)[1]]
-    starts = np.concatenate([[0], np.cumsum(docs[:, 4])[:-1]])
-    sums = [np.add.reduceat(counts * v[at], starts) for v in (score, np.log10(total + 1), (total > 0).astype(np.int64))]
-    return pa.table({"doc_id": pa.array(docs[:, 0], mask=docs[:, 1] == 1), "held_out": docs[:, 2] == 1, "n_tokens": docs[:, 3], "n_known": sums[2].astype(np.int64), "logs": sums[1], "score": sums[0]})
-
-
-def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte: one row per row of docs."""
+    """The table and the answers of one chunk -> one row a document."""
+    got: dict[int, list[tuple[int, bytes]]] = {WORDS: [], GRAMS: [], TABLE: []}
+    for kind, part, data in zip(*(table[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
+        got[kind].append((part, data))
+    (ids, null, held, n_tokens, n_words, n_places, word_at, word_n, place_at, place_n, end, head), raw = unpack(got[TABLE][0][1])
+    spelling = Spelling(raw.split(b"\t"))
+    word_at, place_at, word_n, place_n = _unfold(word_at), _unfold(place_at), word_n + 1, place_n + 1
+    parts = int(table["parts"][0].as_py())
+    words = dict(_by_part(word_parts(spelling.words, parts)))
+    total = np.zeros(len(spelling.words))
+    for part, data in got[WORDS]:
+        total[words[part]] = unpack(data)[0][0]
+    pairs = [(i, k, m) for blocks in (spelling.tails(), spelling.places(end, head)) for i, k, m in blocks]
+    keys = summed(np.concatenate([k for _, k, _ in pairs]), np.zeros(sum(len(k) for _, k, _ in pairs)))[0]
+    values, grams_of = np.zeros(len(keys)), dict(_by_part(gram_parts(keys, parts)))
+    for part, data in got[GRAMS]:
+        values[grams_of[part]] = np.frombuffer(zstandard.decompress(data), np.float32)
+    n_tails = len(list(range(0, len(spelling.long), BLOCK)))
+    tail, front = np.zeros(len(total)), np.zeros(len(end))
+    for i, (at, k, m) in enumerate(pairs):
+        (tail if i < n_tails else front)[at] = np.add.reduceat(values[np.searchsorted(keys, k)], np.cumsum(m) - m)
+    w, p = np.cumsum(n_words) - n_words, np.cumsum(n_places) - n_places
+    logs, known, tails = (np.add.reduceat(word_n * v[word_at], w) for v in (np.log10(total + 1), (total > 0).astype(np.int64), tail))
+    return pa.table({"doc_id": pa.array(ids, mask=null == 1), "held_out": held == 1, "n_tokens": n_tokens, "n_known": known, "logs": logs, "score": tails + np.add.reduceat(place_n * front[place_at], p)})
+
+
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, parts: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10): one row per row of docs."""
     doc_id = docs["doc_id"].cast("long")
     rows = docs.select(doc_id.alias("doc_id"), held_out(docs["doc_id"], folds, fold).alias("held_out"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    parts = written(rows.mapInArrow(_chunks, "chunk long, kind byte, key long, data binary, n long"))
-    words, pairs = parts.where(F.col("kind") == WORDS), parts.where(F.col("kind") == GRAMS)
-    counts = words.groupBy("data").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
-    n, v = (x or 0 for x in counts)
-
-    group = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(256)).alias("part")
-    model = written(pairs.groupBy("key").agg(F.sum("n").alias("n")).select("key", "n", group))
-    below = model.groupBy("part").applyInArrow(_below, "c1 long, prefix long, zeros double, ones double, log_p double")
-    top = tops([tuple(r) for r in below.groupBy("c1", "prefix").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_p")).collect()])  # at most 256 * 255 rows
+    parts = parts or min(4096, max(64, rows.rdd.getNumPartitions() // 2))
+    asked = written(rows.mapInArrow(lambda batches: _chunks(batches, parts), SCHEMA))
+    of = lambda kind: asked.where(F.col("kind") == kind)
+    words = written(of(WORDS).groupBy("part").applyInArrow(_answer_words, SCHEMA + ", n long, v long"))
+    n, v = (x or 0 for x in words.agg(F.sum("n"), F.sum("v")).first())
+    nodes = of(GRAMS).groupBy("part").applyInArrow(_below, "c1 long, prefix long, zeros double, ones double, log_p double")
+    top = tops([tuple(r) for r in nodes.groupBy("c1", "prefix").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_p")).collect()])  # at most 256 * 255 rows
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy()
-        return pa.table({"key": keys, "value": log10_probabilities(keys, table["n"].to_numpy(), top)})
-
-    answers = model.groupBy("part").applyInArrow(answer, "key long, value double")
-    told_grams = pairs.join(answers, "key").select("chunk", "kind", "key", "data", "value")
-    told_words = words.select("chunk", "kind", "key", F.lit(None).cast("binary").alias("data"), F.sum("n").over(Window.partitionBy("data")).cast("double").alias("value"))
-    tables = parts.where(F.col("kind") == TABLE).select("chunk", "kind", "key", "data", F.lit(0.0).alias("value"))
-    back = told_words.unionByName(told_grams).unionByName(tables)
+        told = _asked(table)
+        keys, counts = summed(np.concatenate([k for k, _ in told]), np.concatenate([c for _, c in told]))
+        logs = log10_probabilities(keys, counts, top).astype(np.float32)
+        back = [zstandard.compress(logs[np.searchsorted(keys, k)].tobytes(), 1) for k, _ in told]
+        return pa.table({"chunk": table["chunk"], "kind": table["kind"], "part": table["part"], "data": pa.array(back, pa.binary())})
+
+    grams_back = of(GRAMS).groupBy("part").applyInArrow(answer, SCHEMA)
+    back = of(TABLE).unionByName(words.drop("n", "v")).unionByName(grams_back).withColumn("parts", F.lit(parts))
     out = back.groupBy("chunk").applyInArrow(_totals, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(n + v + 1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -12,6 +12,11 @@ from plumbline.llm import ctw
 SF = "/root/testdata/sf0.001"
 
 
+def units(found):
+    """Each token behind a space and the last bytes of the token before it."""
+    return [x[-ctw.REACH :] + b" " + w for x, w in zip([b"", *found], found, strict=False)]
+
+
 def plain(train, test):
     """Log10 probabilities of units by recursion over a dictionary of nodes."""
     nodes = {}
@@ -69,23 +74,22 @@ def test_against_brute_force(spark, sf):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
     c = Counter(w for i, t in docs if not held[i] for w in ctw.tokens(t))
     n, v = sum(c.values()), len(c)
-    trained = Counter(u for i, t in docs if not held[i] for u in ctw.units(ctw.tokens(t)))
-    logs = plain(trained, {u for _, t in docs for u in ctw.units(ctw.tokens(t))})
+    trained = Counter(u for i, t in docs if not held[i] for u in units(ctw.tokens(t)))
+    logs = plain(trained, {u for _, t in docs for u in units(ctw.tokens(t))})
     got = {r.doc_id: r for r in ctw.op9_ctw(spark, sf).collect()}
     assert len(got) == len(docs)
     for i, text in docs:
         found, r = ctw.tokens(text), got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(found), sum(c[w] > 0 for w in found), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in found), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(logs[u] for u in ctw.units(found)), rel_tol=1e-7)
+        assert math.isclose(r.score, sum(logs[u] for u in units(found)), rel_tol=1e-7)
 
 
 def test_bytes_of_a_context_sum_to_one():
     keys = np.array([(ord(" ") << 8) | x for x in range(256)])
     counts = np.zeros(256, dtype=np.int64)
     counts[[97, 98, 200]] = [50, 3, 1]
-    below = ctw._below(__import__("pyarrow").table({"key": keys, "n": counts}))
-    top = ctw.tops(list(zip(*(below[c].to_pylist() for c in below.column_names), strict=True)))
+    top = ctw.tops(list(zip(*(x.tolist() for x in ctw.below(keys, counts).values()), strict=True)))
     p = 10 ** ctw.log10_probabilities(keys, counts, top)
     assert math.isclose(p.sum(), 1) and p[97] > 0.8
 

@@ -1,6 +1,6 @@
 """The registered queries of this package and, where SQL can state them, their SQL."""
 
-from plumbline.llm import bpe, chat, ctw, exact_dedup, language, licenses, mixing, quality
+from plumbline.llm import bpe, chat, ctw, exact_dedup, language, licenses, mixing, neardup, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat": chat.op6_chat,
+    "op7_neardup": neardup.op7_neardup,
     "op8_licenses": licenses.op8_licenses,
     "op9_ctw": ctw.op9_ctw,
     "op10_language": language.op10_language,

@@ -1,7 +1,7 @@
 """License scans by canonical digests, with built-in functions only.
 
-A text's canonical form has lower case, no copyright lines, single spaces for all that is no letter or
-digit, and one spelling for equivalent words. The SHA-256 of the canonical form is joined with the digests of known
+A line's canonical form has lower case, single spaces for all that is no letter or digit, one spelling for
+equivalent words, and is empty for a copyright line; a text's form is those of its lines, joined by spaces. The SHA-256 of the canonical form is joined with the digests of known
 licences: once for the entire text, once for each of its lines (a notice is a line that says which licence applies).
 
 Null and empty texts, and texts that are only copyright lines, have an empty form and match nothing. Rows with equal ids
@@ -48,21 +48,38 @@ SPELLINGS = [
 ]
 # End of the fixed values.
 
-COPYRIGHT_LINE = r"(^|\n)[^\n\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    kept = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+def canonical_line(line: Column) -> Column:
+    lower = F.lower(line)
     # two spaces between words and one around all, so that replacements of neighbours don't share a space
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, OTHER, "  ")), F.lit(" "))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, OTHER, "  ")), F.lit(" "))
     for old, new in SPELLINGS:
-        words = F.replace(words, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new} "))
-    return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
+        if " " not in old:
+            words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.when(lower.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(F.trim(F.replace(words, F.lit("  "), F.lit(" "))))
 
 
-def digest(text: Column) -> Column:
-    form = canonical(text)
+def joined(form: Column) -> Column:
+    """Equivalents of two words, which may stand on two lines."""
+    padded = F.concat(F.lit(" "), form, F.lit(" "))
+    for old, new in SPELLINGS:
+        if " " in old:
+            padded = F.replace(padded, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.trim(padded)
+
+
+def line_forms(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), canonical_line)
+
+
+def text_form(forms: Column) -> Column:
+    return joined(F.concat_ws(" ", F.filter(forms, lambda x: x != "")))
+
+
+def digest(form: Column) -> Column:
     return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
@@ -73,18 +90,18 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(KNOWN, "license_id string, text string") if known is None else known
-    known = known.select("license_id", digest(F.col("text")).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    known = known.select("license_id", digest(text_form(line_forms(F.col("text")))).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     if known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
         known = F.broadcast(known)
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    units = F.concat(F.array(F.struct(F.lit(True).alias("entire"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("entire"), x.alias("unit"))))
-    found = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.entire", digest(F.col("u.unit")).alias("digest")).join(known, "digest")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), line_forms(docs["text"]).alias("forms"))
+    units = F.concat(F.array(F.struct(F.lit(True).alias("entire"), text_form(F.col("forms")).alias("form"))), F.transform("forms", lambda x: F.struct(F.lit(False).alias("entire"), joined(x).alias("form"))))
+    found = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.entire", digest(F.col("u.form")).alias("digest")).join(known, "digest")
     per = found.groupBy(F.col("doc_id").alias("at")).agg(
         F.min(F.when(F.col("entire"), F.col("license_id"))).alias("license_id"),
         F.array_sort(F.collect_set(F.when(~F.col("entire"), F.col("license_id")))).alias("notices"),
         F.count_if(~F.col("entire")).alias("n_notice_lines"),
     )
-    return rows.select("doc_id").join(per, F.col("doc_id").eqNullSafe(F.col("at")), "left").select(
+    return docs.select(docs["doc_id"].alias("doc_id")).join(per, F.col("doc_id").eqNullSafe(F.col("at")), "left").select(
         "doc_id", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"), F.coalesce("n_notice_lines", F.lit(0)).cast("long").alias("n_notice_lines")
     )
 
@@ -99,16 +116,31 @@ def _quoted(text: str) -> str:
 
 
 def _sql() -> str:
-    form = "' ' || trim(regexp_replace(regexp_replace(lower(t), " + _quoted(COPYRIGHT_LINE) + ", chr(10), 'g'), " + _quoted(OTHER) + ", '  ', 'g')) || ' '"
+    line = "' ' || trim(regexp_replace(lower(t), " + _quoted(OTHER) + ", '  ', 'g')) || ' '"
+    text = "' ' || form || ' '"
     for old, new in SPELLINGS:
-        form = f"replace({form}, ' {old.replace(' ', '  ')} ', ' {new} ')"
-    macro = f"trim(replace({form}, '  ', ' '))"
-    values = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN)
+        if " " in old:
+            text = f"replace({text}, ' {old} ', ' {new} ')"
+        else:
+            line = f"replace({line}, ' {old} ', ' {new} ')"
+    line = f"CASE WHEN regexp_matches(lower(t), {_quoted(COPYRIGHT_LINE)}) THEN '' ELSE trim(replace({line}, '  ', ' ')) END"
+    values = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(KNOWN))
     return f"""
-WITH known AS (SELECT min(license_id) AS license_id, form FROM (SELECT license_id, {macro} AS form FROM (VALUES {values}) AS v(license_id, t)) GROUP BY form),
-units AS (SELECT doc_id, true AS entire, text AS t FROM documents
-          UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents),
-found AS (SELECT doc_id, entire, license_id FROM (SELECT doc_id, entire, {macro} AS form FROM units) JOIN known USING (form) WHERE form <> '')
+WITH given AS (SELECT k, license_id, t AS text FROM (VALUES {values}) AS v(k, license_id, t)),
+known AS (
+  SELECT form, min(license_id) AS license_id FROM (
+    SELECT license_id, trim({text}) AS form FROM (
+      SELECT k, license_id, string_agg(form, ' ' ORDER BY i) FILTER (form <> '') AS form FROM (
+        SELECT k, license_id, i, {line} AS form FROM (
+          SELECT k, license_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM given))
+      GROUP BY k, license_id)) GROUP BY form),
+lines AS (
+  SELECT doc_id, i, {line} AS form FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+units AS (
+  SELECT doc_id, false AS entire, form FROM lines
+  UNION ALL SELECT doc_id, true, string_agg(form, ' ' ORDER BY i) FILTER (form <> '') FROM lines GROUP BY doc_id),
+found AS (SELECT doc_id, entire, license_id FROM (SELECT doc_id, entire, trim({text}) AS form FROM units) JOIN known USING (form) WHERE form <> '')
 SELECT d.doc_id, min(license_id) FILTER (entire) AS license_id,
        coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (NOT entire), '') AS notices,
        count(*) FILTER (NOT entire) AS n_notice_lines

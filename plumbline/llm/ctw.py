@@ -39,7 +39,7 @@ DEPTH = 5
 REACH = 3
 END = b"\n"
 #: Bytes of text in a chunk.
-CHUNK = 16 << 20
+CHUNK = 7 << 20
 #: Strings spelled at a time.
 BLOCK = 50_000
 WORDS, GRAMS, TABLE = 0, 1, 2

@@ -137,6 +137,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return prints.join(groups, key, "left").select("doc_id", top["doc_id"].alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (top["rid"] == F.col("rid")).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs without the rows that exact_dedup drops, all columns. Of rows that share id and text, one stays."""
+    found = exact_dedup(docs)
+    gone = found.where("NOT kept").select("doc_id", "text_sha256").distinct()
+    kept = found.where("kept").select("doc_id", "text_sha256")
+    gone = gone.join(kept, gone["doc_id"].eqNullSafe(kept["doc_id"]) & (gone["text_sha256"] == kept["text_sha256"]), "left_anti")
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (digest == gone["text_sha256"]), "left_anti")
+    repeated = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return left
+    return left.dropDuplicates(["doc_id", "text"])
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

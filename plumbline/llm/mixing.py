@@ -2,8 +2,8 @@
 
 Each source asks for its weight's share of the wanted words. A source stops at `max_epochs` times its
 own size; what it leaves goes to the others by weight, until none is above. In closed form: with the
-sources in order of cap / weight, the water level is the first (wanted - caps below) / (weights left)
-that does not exceed its own source's cap / weight.
+sources in order of cap / weight, (wanted - caps below) / (weights left) rises up to the first source that it does not
+fill, where it is the water level, and falls from there on.
 
 A source's target / size = whole + fraction. Every document is taken `whole` times; for the fraction,
 documents are taken once more in a seeded order (MD5 of seed and id) until the next would pass the
@@ -45,9 +45,8 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
         (F.sum("source_size").over(Window.partitionBy()) * share).alias("wanted"),
     )
     level = up_to.withColumn("level", (F.col("wanted") - F.col("below")) / F.col("left"))
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    return level.withColumn("water", F.min(fits).over(Window.partitionBy())).select(
-        "source", "source_size", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target")
+    return level.withColumn("water", F.max("level").over(Window.partitionBy())).select(
+        "source", "source_size", F.least("cap", F.col("water") * F.col("weight")).alias("target")
     )
 
 
@@ -81,6 +80,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     return both.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), "h")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mixture takes it, all columns."""
+    plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("times").alias("_times")).distinct()
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).where("_times > 0")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+
+
 def op2_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -98,7 +104,7 @@ l AS (
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
 p AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target FROM l),
+  SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM l),
 q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS whole FROM p),
 r AS (
   SELECT doc_id, size, source_size, target, whole,

@@ -218,6 +218,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOL
     return all_docs.select("doc_id", "n_shingles", "class").join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
+    """docs without the rows that have a smaller id in their group, all columns."""
+    gone = near_duplicates(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def op7_neardup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, words=4).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can state them, their SQL."""
 
-from plumbline.llm import bpe, chat, ctw, exact_dedup, language, licenses, mixing, neardup, quality
+from plumbline.llm import bpe, chat, ctw, exact_dedup, fingerprint, language, licenses, mixing, neardup, quality
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,

@@ -1 +1 @@
-
+"""Column expressions: regression metrics and report formats."""

@@ -1 +1 @@
-
+"""Operators over one table: column roles, splits, preprocessing."""

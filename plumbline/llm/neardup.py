@@ -7,9 +7,10 @@ fewest listings first. Candidates are classes in a common list; the union of the
 likeness, and what passes the estimate (with a wide margin) is verified on the full sets.
 
 Lists of at most FEW classes give all their pairs. From a longer list (a large group of near copies, a passage that many documents
-share) each member is paired with one pivot; members that this leaves outside the list's
-largest component are then paired with every member of another component in the same band of set sizes, so that no link is lost. Verification first
+share) each member is paired with one pivot, the member whose values have the most listings. Verification first
 takes, for each class, its best and its lowest-ranked candidate; candidates within one component after that need no verification, all others get it.
+Where a long list still holds several components, its members are compared by how they differ from the pivot (see _differences): two members
+that are alike, and not both like the pivot, share part of what sets them apart from it, so lists of those few differences find every such pair.
 
 Null, empty and word-less texts have empty sets and are linked with nothing; equal non-empty sets are linked (likeness 1). With fewer
 words than a shingle the whole sequence is one shingle. Null ids come first. Repeated rows are copies of each other. An empty table gives an empty
@@ -101,6 +102,56 @@ def _estimate(a, b):
     return 100 * F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(p, c): pivots and members of their lists -> p, c, kind, side, element. Linked members that are not both like the pivot have an element in common, under one p and
+    kind and, for kind 2, on different sides.
+
+    Let d be the elements that a set X has and its pivot P lacks, or the other way round. Sets X and Y are alike if d(X) + d(Y) - 2 |both differences|
+    <= r (|X| + |Y|), with r = (100 - percent) / (100 + percent), and X is not like P if d(X) > r (|X| + |P|). So, whatever Y, more than
+    (d(Y) - r (|Y| - |P|)) / 2 of Y's differences are X's too, and at least (d(X) - r (|X| + |P|)) / 2 of X's are Y's. The differences are put in an order that all share, X's own
+    elements (the rare ones) before P's, and only as many are listed as must meet one of the common ones. Kind 1: neither is like the pivot; kind 2: one is (side 1).
+    Sets far from the pivot list elements of their own in the same way (kind 0). As Jaccard distance is a metric, two linked sets are both far or both not: the ranges overlap by a link's length.
+    """
+    lo, hi = 100 - percent, 100 + percent
+    far = percent / (200 - percent)
+    not_far = far - lo / 100
+    sided = members.join(sets.select(F.col("doc_id").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select(F.col("doc_id").alias("c"), F.col("hashes").alias("hc")), "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, kinds, sides, found = [], [], [], []
+
+            def add(i: int, kind: int, side: int, elements: np.ndarray) -> None:
+                at.append(np.full(len(elements), i))
+                kinds.append(np.full(len(elements), kind))
+                sides.append(np.full(len(elements), side))
+                found.append(elements)
+
+            for i, (x, o) in enumerate(zip(batch.column("hc"), batch.column("hp"), strict=True)):
+                x, o = (np.frombuffer(s.as_buffer(), dtype=np.int64) for s in (x, o))
+                in_pivot = np.isin(x, o, assume_unique=True)
+                own, common = x[~in_pivot], x[in_pivot]
+                apart = np.concatenate([own, o[~np.isin(o, x, assume_unique=True)]])
+                d, like = len(apart), len(common) / (len(x) + len(o) - len(common))
+                half = apart[: d - (hi * d - lo * (len(x) - len(o))) // (2 * hi)]
+                if hi * d <= lo * (len(x) + len(o)):
+                    add(i, 2, 1, half)
+                    continue
+                if like >= not_far:
+                    add(i, 1, 0, half)
+                    add(i, 2, 0, apart[: d - -(-(hi * d - lo * (len(x) + len(o))) // (2 * hi)) + 1])
+                if like < far:
+                    add(i, 0, 0, np.concatenate([own, common])[: len(x) - -(-percent * len(x) // 100) + 1])
+            if at:
+                row = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("p").take(row), batch.column("c").take(row), *(pa.array(np.concatenate(v).astype(np.int32)) for v in (kinds, sides)), pa.array(np.concatenate(found))],
+                    names=["p", "c", "kind", "side", "element"],
+                )
+
+    return sided.select("p", "c", "hp", "hc").mapInArrow(run, "p long, c long, kind int, side int, element long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike."""
     sided = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv")), "v")
@@ -162,15 +213,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOL
     ranked = listed.join(counts, "value", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     per = ranked.groupBy("c", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("x"))
     kept = F.size("x") - F.ceil(F.size("x") / 2).cast("int") + 1
-    prefix = per.select("c", "size", F.explode(F.slice("x", 1, kept)).alias("x")).select("c", "size", "x.value", "x.df").where("df > 1")
+    # how common a class's values are, in whole listings
+    central = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    central = F.floor(central / F.size("x"))
+    prefix = per.select("c", "size", central.alias("central"), F.explode(F.slice("x", 1, kept)).alias("x")).select("c", "size", "central", "x.value", "x.df").where("df > 1")
     lists = prefix.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    entries = written(prefix.select("c", "size", "value").join(lists, "value"))
+    entries = written(prefix.select("c", "size", "central", "value").join(lists, "value"))
     short, long = entries.where(F.col("n") <= FEW), entries.where(F.col("n") > FEW)
 
     members = short.groupBy("value").agg(F.collect_list(F.struct("c", "size")).alias("m"))  # at most FEW
     close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     few = members.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a.c < b.c").where(close(F.col("a.size"), F.col("b.size"))).select(F.col("a.c").alias("u"), F.col("b.c").alias("v"))
-    pivots = long.groupBy("value").agg(F.min(F.struct(F.xxhash64("c"), "c"))["c"].alias("p"))
+    pivots = written(long.groupBy("value").agg(F.max(F.struct("central", "c"))["c"].alias("p")))
     hubs = long.join(pivots, "value").where("c <> p").select(*_ordered(F.col("c"), F.col("p")))
 
     low = classes.select("c", "sketch")
@@ -200,14 +254,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOL
         links = written(links.union(more))
         labels = components(links)
 
-    # long lists: members outside the largest component against all others, by bands of set size
+    # long lists of several components: members are compared by their differences from the pivot
     at = long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    parts = at.groupBy("value", "label").agg(F.count("*").alias("k"))
-    largest = parts.groupBy("value").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)))
-    open_ = written(at.join(largest, "value").select("value", "c", "label", "main", "size", band.alias("band")))
-    outside = open_.where("label <> main").select("value", F.col("c").alias("c1"), F.col("label").alias("l1"), F.col("size").alias("s1"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs = outside.join(open_.drop("main"), ["value", "band"]).where("l1 <> label").where(close(F.col("s1"), F.col("size")))
+    split = at.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").join(pivots, "value").select("value", "p")
+    members = written(at.join(split, "value").select("p", "c", "label", "size").distinct())
+    ids = members.select(F.col("c").alias("doc_id")).distinct()
+    apart = written(_differences(members.select("p", "c"), written(full_sets(docs, ids, words)), percent))
+    key = ["p", "kind", "element"]
+    shared = apart.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("m")).where("n > 1 AND (kind < 2 OR m BETWEEN 1 AND n - 1)").drop("n", "m")
+    sides = written(apart.join(shared, key).join(members, ["p", "c"]))
+    one = sides.where("side = 0").select(*key, F.col("c").alias("c1"), F.col("label").alias("l1"), F.col("size").alias("s1"))
+    two = sides.where("side = 1 OR kind < 2")
+    pairs = one.join(two, key).where("l1 <> label AND (kind = 2 OR c1 < c)").where(close(F.col("s1"), F.col("size")))
     last = likely(pairs.select(*_ordered(F.col("c1"), F.col("c"))).distinct()).join(candidates.select("u", "v"), ["u", "v"], "left_anti")
     found = verified(last.select("u", "v"))
     if not found.isEmpty():

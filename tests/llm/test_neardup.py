@@ -43,3 +43,32 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7), (8, 1, 7)]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
     assert [r.doc_id for r in neardup.without_near_copies(docs).orderBy("doc_id").collect()] == [1, 2, 3, 4, 6, 7]
+
+
+def test_large_group_and_passage(spark):
+    """Copies too far from each other to be one group, links among them, and texts that share only a passage."""
+    import random
+
+    from tests.llm.brute import near_components
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(140)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        for _ in range(rng.choice([2, 4, 5, 6, 7, 8, 10])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+        if i % 9 == 0:
+            for _ in range(rng.choice([2, 3, 4, 5, 6])):
+                w[rng.randrange(len(w))] = f"y{rng.randrange(4000)}"
+            rows.append((1000 + i, " ".join(w)))
+    passage = [f"p{k}" for k in range(70)]
+    for i in range(2000, 2100):
+        own = [f"z{rng.randrange(10**6)}" for _ in range(rng.choice([20, 40, 60, 100]))]
+        rows.append((i, " ".join(own[:10] + passage + own[10:])))
+        if i % 5 == 0:
+            rows.append((i + 5000, " ".join(own[:3] + ["q"] + own[4:10] + passage + own[10:])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, words=4).collect()}
+    assert got == near_components(rows, 4, 80)

@@ -288,9 +288,11 @@ def cv_mae_mean(spark, sf_dir):
 
 @query()
 def cv_gbt(spark, sf_dir):
-    """Metrics by fold of boosted trees. No SQL: the model is learned."""
+    """Metrics by fold of 60 boosted trees (an experiment's default is 400). No SQL: the model is learned."""
     data = T.part(spark, sf_dir)
-    predictions, _ = BoostedTrees().predictions(X.folded(data), data)
+    trees = BoostedTrees()
+    trees.params |= {"maxIter": 60, "stepSize": 0.1}
+    predictions, _ = trees.predictions(X.folded(data), data)
     return M.compute_metrics(predictions, "y", "prediction", ["pli"])
 
 

@@ -1,7 +1,7 @@
 """License scans by canonical digests, with built-in functions only.
 
 A line's canonical form has lower case, single spaces for all that is no letter or digit, one spelling for
-equivalent words, and is empty for a copyright line; a text's form is those of its lines, joined by spaces. The SHA-256 of the canonical form is joined with the digests of known
+equivalent words, and is empty for a copyright line (see COPYRIGHT_LINE; a wrapped sentence that goes on with `copyright notice` is none); a text's form is those of its lines, joined by spaces. The SHA-256 of the canonical form is joined with the digests of known
 licences: once for the entire text, once for each of its lines (a notice is a line that says which licence applies).
 
 Null and empty texts, and texts that are only copyright lines, have an empty form and match nothing. Rows with equal ids
@@ -48,7 +48,21 @@ SPELLINGS = [
 ]
 # End of the fixed values.
 
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)"
+# Words after `copyright` or `(c)` at a line's begin that show a sentence, wrapped there, or an item of a list; any other word is a holder.
+PROSE = (
+    "a|an|and|any|are|as|at|be|but|claims?|disclaimers?|doctrines?|each|every|except|for|from|have|holders?|if|in|information|infringement|interests?|is|it|laws?|licen[cs]es?|licen[cs]ing|may|must|no|not"
+    "|notices?|of|on|or|owners?|owned|ownership|permissions?|protection|related|representations?|resulting|rights?|shall|statements?|status|terms|that|these|they|this|those|to|treat(?:y|ies)|under|used?|when|where|which|will|with|work|you|your"
+)
+GROUP = "authors?|contributors?|developers?|foundation|group|maintainers?|project|regents|team"
+_HOLDER = rf"(?!(?:{PROSE}|the)(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}\[<{{]|the\s+(?:\S+\s+){{0,3}}(?:{GROUP})(?![\p{{L}}\p{{N}}])"
+_SIGN = r"(?:\(c\)|©|&copy;)"
+#: Of a lower-case line: a sign, or `copyright` before a year, a sign or a holder; a sentence that merely goes on with `copyright` is none.
+COPYRIGHT_LINE = (
+    rf"^[^\p{{L}}\p{{N}}]*(?:all rights reserved|©|&copy;|copyright[\s:,\-]*(?:{_SIGN}|(?:19|20)\d\d(?!\d))|\(c\)[\s:,\-]*(?:copyright|©|(?:19|20)\d\d(?!\d))"
+    rf"|copyright\s*:?\s+(?:by\s+)?(?:{_HOLDER})|\(c\)\s*(?:by\s+)?(?:{_HOLDER}))"
+)
+#: The rule before sentences were told from statements. OP8_SQL keeps it: the SQL is not changed with the code.
+SQL_COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -123,7 +137,7 @@ def _sql() -> str:
             text = f"replace({text}, ' {old} ', ' {new} ')"
         else:
             line = f"replace({line}, ' {old} ', ' {new} ')"
-    line = f"CASE WHEN regexp_matches(lower(t), {_quoted(COPYRIGHT_LINE)}) THEN '' ELSE trim(replace({line}, '  ', ' ')) END"
+    line = f"CASE WHEN regexp_matches(lower(t), {_quoted(SQL_COPYRIGHT_LINE)}) THEN '' ELSE trim(replace({line}, '  ', ' ')) END"
     values = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(KNOWN))
     return f"""
 WITH given AS (SELECT k, license_id, t AS text FROM (VALUES {values}) AS v(k, license_id, t)),

@@ -1,5 +1,7 @@
 """License scans: spellings, copyright lines, entire texts, notices, edge rows."""
 
+import textwrap
+
 from plumbline.llm import licenses
 
 
@@ -24,3 +26,25 @@ def test_entire_texts_and_notices(spark):
         (6, None, (), 0), (7, None, (), 0), (8, "CC-BY-NC-4.0", ("CC-BY-NC-4.0",), 2), (8, "CC-BY-NC-4.0", ("CC-BY-NC-4.0",), 2),
     ]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_wrapped_texts(spark):
+    """A line that a wrap begins with `copyright` is prose, in every known text at every width."""
+    head = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n"
+    rows, want = [], []
+    for license_id, text in licenses.KNOWN:
+        for width in range(24, 121):
+            want.append(license_id)
+            rows.append((len(rows), head + "\n".join(textwrap.fill(part, width) for part in text.split("\n"))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert "COPYRIGHT HOLDERS BE" in {line[:20] for _, text in rows for line in text.split("\n")}
+
+
+def test_copyright_lines(spark):
+    statements = ["Copyright (c) 2020 A", "copyright 2020", "(c) 2020 A", "© A", "Copyright Jane Doe", "# Copyright: 2021, A", "Copyright The Parser Authors", "Copyright [yyyy] [name]", "(C) more", "All rights reserved."]
+    prose = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright license to reproduce", "copyright, patent, trademark", "copyright.", "copyright", "(c) You must retain", "copyrighted works", "copyright the software, and (2)", "(c) the licenses granted"]
+    lines = spark.createDataFrame([(k, x) for k, x in enumerate(statements + prose)], "k int, line string")
+    got = [r.form for r in lines.select("k", licenses.canonical_line(lines["line"]).alias("form")).orderBy("k").collect()]
+    assert [form == "" for form in got] == [True] * len(statements) + [False] * len(prose)

@@ -13,8 +13,9 @@ Where a long list still holds several components, its members are compared by ho
 that are alike, and not both like the pivot, share part of what sets them apart from it, so lists of those few differences find every such pair.
 
 Null, empty and word-less texts have empty sets and are linked with nothing; equal non-empty sets are linked (likeness 1). With fewer
-words than a shingle the whole sequence is one shingle. Null ids come first. Repeated rows are copies of each other. An empty table gives an empty
-result; other columns are ignored. Nothing that grows with the input is collected; every step is a join or an aggregate over pairs or classes.
+words than a shingle the whole sequence is one shingle. Classes have numbers of their own; ids name nothing before the end. Rows without an id take part like
+all others: a component is named by its smallest id, and by null if no row has one. Texts under one id are told apart by their MD5; of a component's
+rows, those of the smallest key (id, MD5), rows without an id last, are kept. Repeated rows are copies of each other. An empty table gives an empty result; other columns are ignored. Nothing that grows with the input is collected; every step is a join or an aggregate over pairs or classes.
 """
 
 from __future__ import annotations
@@ -65,8 +66,13 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(total.view(np.int64))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (MD5 of the text), text."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(docs["text"].cast("binary"))).alias("row"), docs["text"].alias("text"))
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id -> doc_id, n_shingles, class (a digest of the set; null if empty), sketch (the K smallest hashes)."""
+    """doc_id, row, n_shingles, class (a digest of the set; null if empty), sketch (the K smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,22 +84,26 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 low.append(s[:K])
             offsets = np.cumsum([0, *map(len, low)]).astype(np.int32)
             flat = np.concatenate(low) if low else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_shingles", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["doc_id", "row", "n_shingles", "class", "sketch"],
+            )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class binary, sketch array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row binary, n_shingles long, class binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, hashes (all, packed) of the documents named by ids, one row an id."""
+def full_sets(docs: DataFrame, classes: DataFrame, numbers: DataFrame, n: int) -> DataFrame:
+    """c, hashes (all, packed) of the classes numbered in numbers (c), from the rows that lead them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), n).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(sets, pa.binary())], names=["c", "hashes"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    leads = classes.join(numbers, "c", "left_semi").select("c", F.col("lead.doc_id").alias("_id"), F.col("lead.row").alias("_row"))
+    rows = _keyed(docs)
+    rows = rows.join(leads, (rows["row"] == leads["_row"]) & rows["doc_id"].eqNullSafe(leads["_id"])).select("c", "text")
+    return rows.mapInArrow(run, "c long, hashes binary").dropDuplicates(["c"])
 
 
 def _estimate(a, b):
@@ -115,7 +125,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     lo, hi = 100 - percent, 100 + percent
     far = percent / (200 - percent)
     not_far = far - lo / 100
-    sided = members.join(sets.select(F.col("doc_id").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select(F.col("doc_id").alias("c"), F.col("hashes").alias("hc")), "c")
+    sided = members.join(sets.select(F.col("c").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select("c", F.col("hashes").alias("hc")), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +164,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike."""
-    sided = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv")), "v")
+    sided = pairs.join(sets.select(F.col("c").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("c").alias("v"), F.col("hashes").alias("hv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,12 +210,14 @@ def _ordered(a, b):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable, itself included)."""
+def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One row per row of docs: doc_id, row, n_shingles, component_id, kept (whether no other row of its component has a smaller key)."""
     all_docs = written(sketches(docs, words))
     full = all_docs.where("class IS NOT NULL")
-    # a class is named by its smallest id; a sketch belongs to the class as a whole
-    classes = written(full.groupBy("class").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")).drop("class"))
+    # a class has a number, c, which is written with it, and a row that leads it; a sketch belongs to the class as a whole
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = full.groupBy("class").agg(F.min(lead).alias("lead"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    classes = written(classes.sortWithinPartitions("class").withColumn("c", F.monotonically_increasing_id()))
 
     listed = classes.select("c", "size", F.explode("sketch").alias("value"))
     # values that occur once lead to nobody, but they take their place in the prefix
@@ -243,8 +255,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOL
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
-        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        return written(_verify(pairs, written(full_sets(docs, ids, words)), percent))
+        numbers = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
+        return written(_verify(pairs, written(full_sets(docs, classes, numbers, words)), percent))
 
     links = verified(first)
     labels = components(links)
@@ -258,8 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOL
     at = long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     split = at.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").join(pivots, "value").select("value", "p")
     members = written(at.join(split, "value").select("p", "c", "label", "size").distinct())
-    ids = members.select(F.col("c").alias("doc_id")).distinct()
-    apart = written(_differences(members.select("p", "c"), written(full_sets(docs, ids, words)), percent))
+    apart = written(_differences(members.select("p", "c"), written(full_sets(docs, classes, members.select("c").distinct(), words)), percent))
     key = ["p", "kind", "element"]
     shared = apart.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("m")).where("n > 1 AND (kind < 2 OR m BETWEEN 1 AND n - 1)").drop("n", "m")
     sides = written(apart.join(shared, key).join(members, ["p", "c"]))
@@ -271,17 +282,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOL
     if not found.isEmpty():
         labels = components(links.union(found))
 
-    named = full.groupBy("class").agg(F.min("doc_id").alias("c"))
-    of = named.join(labels.withColumnRenamed("node", "c"), "c", "left").select("class", F.coalesce("label", "c").alias("label"))
-    return all_docs.select("doc_id", "n_shingles", "class").join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    of = classes.select("c", "class", "lead").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    of = of.select("class", "label").join(of.groupBy("label").agg(F.min("lead").alias("lead")), "label").drop("label")
+    leads = F.col("lead").isNull() | (F.col("row") == F.col("lead.row")) & F.col("doc_id").eqNullSafe(F.col("lead.doc_id"))
+    # rows without words are alone
+    name = F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    return all_docs.drop("sketch").join(of, "class", "left").select("doc_id", "row", "n_shingles", name.alias("component_id"), leads.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable, itself included)."""
+    return grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
-    """docs without the rows that have a smaller id in their group, all columns."""
-    gone = near_duplicates(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """docs without the rows that have a smaller key in their group, all columns."""
+    gone = grouped(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
+    row = F.unhex(F.md5(docs["text"].cast("binary")))
+    return docs.join(gone, (row == gone["_row"]) & docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op7_neardup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, words=4).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return grouped(docs, 4, THRESHOLD).drop("row")

@@ -72,3 +72,32 @@ def test_large_group_and_passage(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, words=4).collect()}
     assert got == near_components(rows, 4, 80)
+
+
+def test_rows_without_ids_and_ids_with_several_texts(spark):
+    """Links don't depend on ids: a third of the rows without one, and different texts under one id."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(140)]
+    texts = [" ".join(base)]
+    for _ in range(240):
+        w = list(base)
+        for _ in range(rng.choice([2, 4, 5, 6, 7, 8])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    for i in range(60):
+        own = [f"z{i}x{k}" for k in range(40)]
+        texts += [" ".join(own), " ".join([*own[:39], "end"])]
+    rng.shuffle(texts)
+    want = near_components(list(enumerate(texts)), 4, 80)
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(want[k][1], []).append(k)
+    ids = [None if k % 3 == 0 else k // 4 for k in range(len(texts))]
+    name = {k: min((ids[m] for m in ms if ids[m] is not None), default=None) for ms in groups.values() for k in ms}
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = sorted(map(repr, map(tuple, neardup.near_duplicates(docs, words=4).collect())))
+    assert got == sorted(repr((ids[k], want[k][0], name[k])) for k in range(len(texts)))
+    # one row of each group stays: texts are distinct here
+    stay = {r.text for r in neardup.without_near_copies(docs, words=4).collect()}
+    assert sorted(len(stay & {texts[m] for m in ms}) for ms in groups.values()) == [1] * len(groups)
+    assert all(ids[k] == name[k] for k in range(len(texts)) if texts[k] in stay)

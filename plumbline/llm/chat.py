@@ -9,17 +9,20 @@ assistant text once, in the window that it belongs to.
 
 A turn above the budget has a window of its own and stays whole. Null text and role are empty; null turns come first; repeated rows are
 turns of their own, ordered by role and text. Rows without conv_id form one conversation. Empty tables give
-empty results; other columns are ignored. A conversation is one row while it is formatted: its size bounds the memory of a task.
+empty results; other columns are ignored. Turns are rows of their own, numbered and summed over a window that can spill, and join the windows that show
+them; a task holds the numbers of a conversation's turns, but the texts of one window only. read_back() alone puts a whole conversation in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, SLASH = "<s>", "</s>", "\\"
 BUDGET, HISTORY, OVERHEAD = 512, 2, 4
 TRAINED = "assistant"
+#: Starts are gathered in blocks of this many: appending to one array would copy it for every window.
+BLOCK = 1000
 
 
 def escape(text: Column) -> Column:
@@ -46,11 +49,14 @@ def format_chats(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     in characters of formatted; the end is outside)."""
     text, role = F.coalesce(rows["text"], F.lit("")), F.coalesce(rows["role"].cast("string"), F.lit(""))
     n_tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + OVERHEAD
-    turns = rows.select(rows["conv_id"].alias("conv_id"), F.struct(rows["turn"].alias("turn"), role.alias("role"), text.alias("text"), n_tokens.alias("tokens")).alias("t"))
-    talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).withColumn("n", F.size("turns"))
-    # prefix[i] is the tokens before turn i
-    talks = talks.withColumn("prefix", F.aggregate("turns", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["tokens"]))))
-    talks = talks.withColumn("system", F.col("turns")[0]["role"] == "system")
+    turns = rows.select(rows["conv_id"].alias("conv_id"), rows["turn"].alias("turn"), role.alias("role"), text.alias("text"), n_tokens.cast("long").alias("tokens"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = turns.select("conv_id", "role", "text", (F.row_number().over(order) - 1).alias("i"), F.sum("tokens").over(upto).alias("upto"))
+    # upto[i] is the tokens of turns 0 to i, prefix[i] those before turn i
+    numbers = F.transform(F.array_sort(F.collect_list(F.struct("i", "upto"))), lambda t: t["upto"])
+    talks = turns.groupBy("conv_id").agg(numbers.alias("upto"), F.coalesce(F.bool_or((F.col("i") == 0) & (F.col("role") == "system")), F.lit(False)).alias("system"))
+    talks = talks.select("conv_id", "system", F.concat(F.array(F.lit(0).cast("long")), "upto").alias("prefix"), F.size("upto").alias("n"))
 
     def between(i: Column, j: Column) -> Column:  # tokens of turns i to j-1
         return F.col("prefix")[j] - F.col("prefix")[i]
@@ -69,18 +75,27 @@ def format_chats(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY)
         return budget - head - between(start - repeated(start), start)
 
     def walk(acc: Column, i: Column) -> Column:
-        start = F.element_at(acc, -1)["start"]
-        opens = (i > start) & (between(start, i + 1) > F.element_at(acc, -1)["room"])
-        return F.when(opens, F.concat(acc, F.array(F.struct(i.alias("start"), room(i).alias("room"))))).otherwise(acc)
-
-    first = F.array(F.struct(F.lit(0).alias("start"), F.lit(budget).alias("room")))
-    talks = talks.withColumn("starts", F.transform(F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), first, walk), lambda w: w["start"]))
-    windows = talks.select("conv_id", "turns", "n", "prefix", "system", "starts", F.posexplode("starts").alias("window", "start"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1), F.col("n"))
-    windows = windows.withColumn("n_own", end - F.col("start")).withColumn("again", repeated(F.col("start")))
-    head = F.when(F.col("system") & (F.col("start") > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    shown = F.concat(head, F.slice("turns", F.col("start") - F.col("again") + 1, F.col("again") + F.col("n_own")))
-    windows = windows.withColumn("shown", shown).withColumn("n_repeated", F.size("shown") - F.col("n_own"))
+        opens = (i > acc["start"]) & (between(acc["start"], i + 1) > acc["room"])
+        full = F.size(acc["block"]) >= BLOCK
+        blocks = F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"])
+        block = F.when(full, F.array(i)).otherwise(F.concat(acc["block"], F.array(i)))
+        return F.when(opens, F.struct(i.alias("start"), room(i).alias("room"), blocks.alias("blocks"), block.alias("block"))).otherwise(acc)
+
+    first = F.struct(F.lit(0).alias("start"), F.lit(budget).cast("long").alias("room"), F.array().cast("array<array<int>>").alias("blocks"), F.array(F.lit(0)).alias("block"))
+    found = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), first, walk, lambda a: F.flatten(F.concat(a["blocks"], F.array(a["block"]))))
+    talks = talks.withColumn("starts", found)
+
+    def window(start: Column, w: Column) -> Column:
+        end = F.coalesce(F.get("starts", w + 1), F.col("n"))
+        head = F.when(F.col("system") & (start > 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        return F.struct(w.alias("window"), start.alias("start"), (end - start).alias("n_own"), repeated(start).alias("again"), head.alias("head"))
+
+    windows = talks.select(F.col("conv_id").alias("talk"), F.explode(F.transform("starts", window)).alias("w")).select("talk", "w.*")
+    places = F.concat("head", F.sequence(F.col("start") - F.col("again"), F.col("start") + F.col("n_own") - 1))
+    windows = windows.select("talk", "window", "start", "n_own", F.posexplode(places).alias("place", "at"))
+    windows = windows.join(turns.drop("upto"), F.col("talk").eqNullSafe(F.col("conv_id")) & (F.col("at") == F.col("i")))
+    windows = windows.groupBy(F.col("talk").alias("conv_id"), "window", "start", "n_own").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("shown"))
+    windows = windows.withColumn("n_repeated", F.size("shown") - F.col("n_own"))
     written = F.transform("shown", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"), t["role"].alias("who")))
     windows = windows.withColumn("written", written)
     formatted = F.concat_ws("", F.transform("written", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE + "\n"))))

@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import chat
 
 SF = "/root/testdata/sf0.01"
@@ -56,3 +58,19 @@ def test_round_trip_and_windows(spark, budget):
 
 def test_empty(spark):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_conversation_without_id(spark):
+    """A conversation of very many turns: the work grows with its turns, not with their square."""
+    import time
+
+    n = 120_000
+    role = F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 1, "user").otherwise("assistant")
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("a few words of turn "), "id").alias("text"))
+    begun = time.monotonic()
+    got = {r.window: r for r in chat.format_chats(rows).drop("formatted").collect()}
+    assert time.monotonic() - begun < 60
+    assert sorted(got) == list(range(len(got))) and sum(r.n_own for r in got.values()) == n
+    assert [got[w].first_turn + got[w].n_own for w in range(len(got) - 1)] == [got[w].first_turn for w in range(1, len(got))]
+    # 10 tokens a turn: 51 turns fit at first, then 48 beside the system turn and two repeated ones
+    assert [(got[w].n_own, got[w].n_repeated) for w in (0, 1, 1000)] == [(51, 0), (48, 3), (48, 3)]

@@ -5,12 +5,14 @@ equivalent words, and is empty for a copyright line (see COPYRIGHT_LINE; a wrapp
 licences: once for the entire text, once for each of its lines (a notice is a line that says which licence applies).
 
 Null and empty texts, and texts that are only copyright lines, have an empty form and match nothing. Rows with equal ids
-share their matches. An empty table gives an empty result; other columns are ignored. The known licences are a fixed list or a
+share their matches. An empty table gives an empty result; other columns are ignored. The known licences are those of known_texts() or a
 table given by the caller, which is broadcast only up to MAX_KNOWN rows.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,37 @@ SPELLINGS = [
     ("https", "http"), ("licence", "license"), ("licenced", "licensed"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"),
     ("organisation", "organization"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("whilst", "while"),
 ]
+TITLES = {
+    "MIT": ["The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License (ISC)", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+}
 # End of the fixed values.
+#: Whole texts as Debian's base-files ships them; a file is named by its licence.
+TEXTS = Path(__file__).with_name("license_texts")
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text): KNOWN, the whole texts of TEXTS with and without what follows their terms, BSD texts, and all of them under their usual titles."""
+    found, plain = list(KNOWN), {"MIT": [MIT], "ISC": [ISC_GRANT + "\n\n" + ISC_WARRANTY], "0BSD": [ZERO_GRANT + "\n\n" + ISC_WARRANTY]}
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        if END_OF_TERMS in text:
+            terms = text[: text.index(END_OF_TERMS)]
+            found += [(path.stem, terms), (path.stem, terms + END_OF_TERMS)]
+    regents = (TEXTS / "BSD-3-Clause.txt").read_text(encoding="utf-8")
+    holder = regents.replace("name of the University", "name of the copyright holder").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    three = [regents, holder, holder.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")]
+    two = [t[: t.index("3. Neither")] + t[t.index("THIS SOFTWARE IS") :] for t in three]
+    for name, texts in (("BSD-3-Clause", three), ("BSD-2-Clause", two)):
+        plain[name] = [v for t in texts for v in (t, t.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* "))]
+    return found + [(name, f"{title}\n\n{t}") for name, texts in plain.items() for t in texts for title in ["", *TITLES[name]]]
+
+
 
 # Words after `copyright` or `(c)` at a line's begin that show a sentence, wrapped there, or an item of a list; any other word is a holder.
 PROSE = (
@@ -103,7 +135,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known: license_id, text. One of several licences with the same canonical form is named: the first in order.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(KNOWN, "license_id string, text string") if known is None else known
+    known = spark.createDataFrame(known_texts(), "license_id string, text string") if known is None else known
     known = known.select("license_id", digest(text_form(line_forms(F.col("text")))).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     if known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
         known = F.broadcast(known)

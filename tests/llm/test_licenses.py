@@ -48,3 +48,18 @@ def test_copyright_lines(spark):
     lines = spark.createDataFrame([(k, x) for k, x in enumerate(statements + prose)], "k int, line string")
     got = [r.form for r in lines.select("k", licenses.canonical_line(lines["line"]).alias("form")).orderBy("k").collect()]
     assert [form == "" for form in got] == [True] * len(statements) + [False] * len(prose)
+
+
+def test_whole_texts_and_titles(spark):
+    """Whole texts as the system ships them, and usual titles."""
+    head = "Copyright (c) 2020 Someone\n\n"
+    named = {path.stem: path.read_text() for path in licenses.TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause"} <= set(named)
+    bsd = named["BSD-3-Clause"].replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR").replace("the University", "the copyright holder")
+    rows = [*named.items(), ("MIT", "The MIT License (MIT)\n\n" + head + licenses.MIT), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + head + bsd)]
+    rows.append(("BSD-2-Clause", "BSD 2-Clause License\n\n" + head + bsd[: bsd.index("3. ")] + bsd[bsd.index("THIS SOFTWARE") :]))
+    rows.append(("Apache-2.0", named["Apache-2.0"][: named["Apache-2.0"].index("APPENDIX")]))
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
+    assert all(len(text) > 500 for _, text in licenses.known_texts() if text not in {t for _, t in licenses.KNOWN})

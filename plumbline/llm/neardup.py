@@ -1,26 +1,29 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
 A document is the set of its word shingles, hashed to 64 bits; its sketch is the K smallest hashes. Documents with the same
-set form one class, and only classes go on. Two sets with Jaccard likeness of at least THRESHOLD share, but for a chance below 1e-6,
-half of either sketch at least. So each class is listed under a prefix of its sketch: all but half its values, less one, those with the
-fewest listings first. Candidates are classes in a common list; the union of the two sketches estimates their
-likeness, and what passes the estimate (with a wide margin) is verified on the full sets.
-
-Lists of at most FEW classes give all their pairs. From a longer list (a large group of near copies, a passage that many documents
-share) each member is paired with one pivot, the member whose values have the most listings. Verification first
-takes, for each class, its best and its lowest-ranked candidate; candidates within one component after that need no verification, all others get it.
-Where a long list still holds several components, its members are compared by how they differ from the pivot (see _differences): two members
-that are alike, and not both like the pivot, share part of what sets them apart from it, so lists of those few differences find every such pair.
+set form one class, and only classes go on. Two sets with a likeness of `percent` or more have at least LEAST of the K smallest hashes of their union in
+common, but for a chance below MISS (least_common works LEAST out); sets of up to `percent` of K hashes are their own sketches, and nothing is left to chance. So each class is
+listed under a prefix of its sketch: all values but LEAST, plus one, those with the fewest listings first. Candidates are classes in a common list; the K smallest
+of the union of both sketches must have LEAST in common (the same event as above, so this filter loses nothing more), and what remains is verified on the full sets.
+
+Lists of at most FEW classes give all their pairs. Longer ones (a large group of near copies, a passage that many documents share) are cut into bands of
+like size, and each member is paired with one pivot, the member whose values have the most listings. Verified links are merged into components, and
+members of one component need no more pairs. Where a long list still holds several components, its members are compared by how they differ from the pivot: two sets
+can only be alike if they share enough of their differences, so each member is listed under a prefix of its differences, the rarest first (see _differences). In
+these lists pairs must also have enough differences left after the common one; lists of more than DEEP members get a pivot of their own and go through the same again.
+A list never holds the pivot that it came from, so this ends. Pairs are thus linear in the members of long lists, and no link is dropped.
 
 Null, empty and word-less texts have empty sets and are linked with nothing; equal non-empty sets are linked (likeness 1). With fewer
 words than a shingle the whole sequence is one shingle. Classes have numbers of their own; ids name nothing before the end. Rows without an id take part like
 all others: a component is named by its smallest id, and by null if no row has one. Texts under one id are told apart by their MD5; of a component's
-rows, those of the smallest key (id, MD5), rows without an id last, are kept. Repeated rows are copies of each other. An empty table gives an empty result; other columns are ignored. Nothing that grows with the input is collected; every step is a join or an aggregate over pairs or classes.
+rows, those of the smallest key (id, MD5), rows without an id last, are kept. Repeated rows are copies of each other. An empty table gives an empty result; other
+columns are ignored. Nothing that grows with the input is collected; every step is a join or an aggregate over pairs or classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,24 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
+#: Five words and 80 percent unless a caller's contract says otherwise.
 WORDS, THRESHOLD = 5, 80
-K, FEW, MARGIN = 48, 16, 24  # MARGIN: percent below the threshold that an estimate may be
+K, MISS = 64, 1e-6
+FEW, DEEP = 48, 512
+#: Pairs of one node that take one copy of its set.
+COPY = 256
 CACHE = 400_000
 
+
+def least_common(percent: int, k: int = K, miss: float = MISS) -> int:
+    """The largest m such that fewer than m of k draws hit with a chance below `miss`, each draw hitting in `percent` of all cases."""
+    below, p = 0.0, percent / 100
+    for m in range(k + 1):
+        below += comb(k, m) * p**m * (1 - p) ** (k - m)
+        if below >= miss:
+            return m
+    return k
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -106,97 +123,131 @@ def full_sets(docs: DataFrame, classes: DataFrame, numbers: DataFrame, n: int) -
     return rows.mapInArrow(run, "c long, hashes binary").dropDuplicates(["c"])
 
 
-def _estimate(a, b):
-    """Percent of the K smallest hashes of the union that both sketches have."""
+def _likely(a, b, percent: int):
+    """Whether two sketches leave their sets a chance to be alike."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
-    return 100 * F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
+    common = F.size(F.array_intersect(F.array_intersect(union, a), b))
+    whole = F.size(union) < K
+    return F.when(whole, 100 * common >= percent * F.size(union)).otherwise(common >= least_common(percent)), common / F.size(union)
 
 
-def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(p, c): pivots and members of their lists -> p, c, kind, side, element. Linked members that are not both like the pivot have an element in common, under one p and
-    kind and, for kind 2, on different sides.
+def _ordered(a, b):
+    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
-    Let d be the elements that a set X has and its pivot P lacks, or the other way round. Sets X and Y are alike if d(X) + d(Y) - 2 |both differences|
-    <= r (|X| + |Y|), with r = (100 - percent) / (100 + percent), and X is not like P if d(X) > r (|X| + |P|). So, whatever Y, more than
-    (d(Y) - r (|Y| - |P|)) / 2 of Y's differences are X's too, and at least (d(X) - r (|X| + |P|)) / 2 of X's are Y's. The differences are put in an order that all share, X's own
-    elements (the rare ones) before P's, and only as many are listed as must meet one of the common ones. Kind 1: neither is like the pivot; kind 2: one is (side 1).
-    Sets far from the pivot list elements of their own in the same way (kind 0). As Jaccard distance is a metric, two linked sets are both far or both not: the ranges overlap by a link's length.
-    """
-    lo, hi = 100 - percent, 100 + percent
-    far = percent / (200 - percent)
-    not_far = far - lo / 100
-    sided = members.join(sets.select(F.col("c").alias("p"), F.col("hashes").alias("hp")), "p").join(sets.select("c", F.col("hashes").alias("hc")), "c")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, kinds, sides, found = [], [], [], []
+def _close(a, b, percent: int):
+    """Whether the sizes of two sets let them be alike."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-            def add(i: int, kind: int, side: int, elements: np.ndarray) -> None:
-                at.append(np.full(len(elements), i))
-                kinds.append(np.full(len(elements), kind))
-                sides.append(np.full(len(elements), side))
-                found.append(elements)
 
-            for i, (x, o) in enumerate(zip(batch.column("hc"), batch.column("hp"), strict=True)):
-                x, o = (np.frombuffer(s.as_buffer(), dtype=np.int64) for s in (x, o))
-                in_pivot = np.isin(x, o, assume_unique=True)
-                own, common = x[~in_pivot], x[in_pivot]
-                apart = np.concatenate([own, o[~np.isin(o, x, assume_unique=True)]])
-                d, like = len(apart), len(common) / (len(x) + len(o) - len(common))
-                half = apart[: d - (hi * d - lo * (len(x) - len(o))) // (2 * hi)]
-                if hi * d <= lo * (len(x) + len(o)):
-                    add(i, 2, 1, half)
-                    continue
-                if like >= not_far:
-                    add(i, 1, 0, half)
-                    add(i, 2, 0, apart[: d - -(-(hi * d - lo * (len(x) + len(o))) // (2 * hi)) + 1])
-                if like < far:
-                    add(i, 0, 0, np.concatenate([own, common])[: len(x) - -(-percent * len(x) // 100) + 1])
-            if at:
-                row = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("p").take(row), batch.column("c").take(row), *(pa.array(np.concatenate(v).astype(np.int32)) for v in (kinds, sides)), pa.array(np.concatenate(found))],
-                    names=["p", "c", "kind", "side", "element"],
-                )
-
-    return sided.select("p", "c", "hp", "hc").mapInArrow(run, "p long, c long, kind int, side int, element long")
+def _with_sets(pairs: DataFrame, sets: DataFrame, one: str, two: str) -> DataFrame:
+    """pairs with the columns h_<one> and h_<two>. A node with many pairs has a copy of its set for each COPY of them, so that no task gets all pairs of a pivot."""
+    for side, other in ((one, two), (two, one)):
+        copies = pairs.groupBy(F.col(side).alias("c")).agg(F.ceil(F.count("*") / COPY).cast("int").alias("copies"))
+        dealt = sets.join(copies, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias(f"h_{side}"))
+        pairs = pairs.join(copies.withColumnRenamed("c", side), side).withColumn("copy", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
+        pairs = pairs.join(dealt.withColumnRenamed("c", side), [side, "copy"]).drop("copy")
+    return pairs
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike."""
-    sided = pairs.join(sets.select(F.col("c").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("c").alias("v"), F.col("hashes").alias("hv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("hu"), batch.column("hv"), strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column("h_u"), batch.column("h_v"), strict=True)):
                 x, y = (np.frombuffer(s.as_buffer(), dtype=np.int64) for s in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int32()))
 
-    return sided.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
+    return _with_sets(pairs.select("u", "v"), sets, "u", "v").select("u", "v", "h_u", "h_v").mapInArrow(run, "u long, v long")
+
+
+def prefixed(listed: DataFrame, key: list[str], group: list[str], kept) -> DataFrame:
+    """Rows of `listed` (group, key's columns, n: elements of the group's row in all) that are in their row's prefix: group, key, place.
+
+    A row of a group lists its elements by the number of their listings, fewest first, and keeps the first `kept` (an expression over columns that the
+    row shares). Elements listed once lead to nobody: they take their places, the first ones, and go.
+    """
+    counts = listed.groupBy(*key).agg(F.count("*").alias("df")).where("df > 1")
+    element = key[-1]
+    rows = listed.join(counts, key).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("df", element))).alias("x"))
+    single = F.col("n") - F.size("x")
+    rows = rows.withColumn("kept", F.greatest(kept - single, F.lit(0)).cast("int"))
+    seats = rows.select(*group, single.alias("single"), F.posexplode(F.slice("x", 1, F.col("kept"))).alias("i", "x"))
+    return seats.select(*group, f"x.{element}", "x.df", (F.col("single") + F.col("i")).alias("place"))
+
+
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, c): pivots and members of their lists -> p, c, size, p_size, n, element: a row for each of the n elements that only one of both sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart, sizes = [], []
+            for x, o in zip(batch.column("h_c"), batch.column("h_p"), strict=True):
+                x, o = (np.frombuffer(s.as_buffer(), dtype=np.int64) for s in (x, o))
+                apart.append(np.setxor1d(x, o, assume_unique=True))
+                sizes.append((len(x), len(o), len(apart[-1])))
+            if apart:
+                at = np.repeat(np.arange(len(apart)), [len(a) for a in apart])
+                row, (size, p_size, n) = pa.array(at), np.array(sizes, dtype=np.int32)[at].T
+                yield pa.RecordBatch.from_arrays([batch.column("p").take(row), batch.column("c").take(row), pa.array(size), pa.array(p_size), pa.array(n), pa.array(np.concatenate(apart))], names=["p", "c", "size", "p_size", "n", "element"])
+
+    return _with_sets(members.select("p", "c"), sets, "p", "c").select("p", "c", "h_p", "h_c").mapInArrow(run, "p long, c long, size int, p_size int, n int, element long")
+
+
+def _shared(percent: int):
+    """Least number of differences that a member shares with any it may be linked to, over n, size and p_size.
+
+    With d(X) the number of elements that X or the pivot P has alone, X and Y are alike if d(X) + d(Y) - 2 |both| <= r (|X| + |Y|), r = (100 - percent) / (100 + percent).
+    Of a pair that matters one, Y, is not like P: d(Y) > r (|Y| + |P|). So if X is like P, |both| > (d(X) - r |X| + r |P|) / 2. If X is not, the other may be, but
+    d(Y) >= d(X) - r (|X| + |Y|) and |Y| <= 100 / percent |X| give |both| >= d(X) - r |X| (1 + 100 / percent), and d(Y) - r |Y| >= (1 - r) d(Y) - r |P|, d(Y) >= 1,
+    give |both| >= (d(X) - r |X| - r |P| + 1 - r) / 2. In whole numbers, times lo + hi = 200 or hi.
+    """
+    lo, hi = 100 - percent, 100 + percent
+    d, x, p = F.col("n").cast("long"), F.col("size").cast("long"), F.col("p_size").cast("long")
+    up = lambda a, b: F.ceil(a / b).cast("long")
+    near = up(hi * d - lo * x + lo * p, 2 * hi)
+    far = F.greatest(d - F.floor(lo * x * (100 + percent) / (hi * percent)).cast("long"), up(hi * d - lo * x - lo * p + hi - lo, 2 * hi))
+    return F.greatest(F.when(hi * d <= lo * (x + p), near).otherwise(far), F.lit(1))
+
+
+def _enough(percent: int):
+    """Over a pair's columns: whether the differences left to both after their first common one let the sets be alike."""
+    lo, hi = 100 - percent, 100 + percent
+    left = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
+    return 2 * hi * left >= hi * (F.col("n1") + F.col("n2")) - lo * (F.col("size1") + F.col("size2"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node it reaches), for the nodes of links (u, v).
 
-    Each round gives every node the smallest label beside it, then follows labels once; rounds are written
-    to the shared folder. The longest path at least halves in a round.
+    Each round hooks every node to its smallest neighbour, if that is smaller, follows the hooks to their ends by labels of
+    labels, which doubles the way in every step, and keeps the links between different ends. All tables of a round are written to the shared folder.
     """
-    both = written(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct())
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("beside"))
-        better = labels.join(near, labels["node"] == near["u"]).select("node", F.least("label", "beside").alias("new"), "label")
-        # hook: the old label also learns what its members found
-        hooked = better.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("found"))
-        jumped = better.join(hooked, better["new"] == hooked["root"], "left").select("node", F.least("new", F.coalesce("found", "new")).alias("label"), F.col("label").alias("old"))
-        done = written(jumped)
-        labels = done.select("node", "label")
-        if done.where("label <> old").isEmpty():
-            return labels
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    labels = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    while not edges.isEmpty():
+        hooks = written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")))
+        while True:
+            above = hooks.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            hooks = written(hooks.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")))
+            moved, hooks = hooks.where("moved").isEmpty(), hooks.drop("moved")
+            if moved:
+                break
+        labels = written(_followed(labels, hooks))
+        ends = _relabel(edges, hooks).where("lu <> lv").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
+        edges = written(ends.distinct())
+    return labels
+
+
+def _followed(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels, each replaced by its own label in `more` if it has one."""
+    ends = more.select(F.col("node").alias("label"), F.col("label").alias("end"))
+    return labels.join(ends, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
 
 
 def _relabel(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,8 +257,55 @@ def _relabel(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "u", "left").join(two, "v", "left").withColumn("lu", F.coalesce("lu", "u")).withColumn("lv", F.coalesce("lv", "v"))
 
 
-def _ordered(a, b):
-    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+class _Search:
+    """The full sets of some classes and the components that verified links have joined so far."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent, self.labels = sets, percent, None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows (c, ...) with the label of c."""
+        if self.labels is None:
+            return rows.withColumn("label", F.col("c"))
+        return rows.join(self.labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Verifies the pairs (u, v) that lie in different components and joins those that are alike."""
+        if self.labels is not None:
+            pairs = _relabel(pairs.select("u", "v"), self.labels).where("lu <> lv")
+        links = written(_verify(written(pairs.select("u", "v").distinct()), self.sets, self.percent))
+        if links.isEmpty():
+            return
+        if self.labels is None:
+            self.labels = components(links)
+            return
+        found = components(_relabel(links, self.labels).select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+        new = found.join(self.labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+        self.labels = written(_followed(self.labels.union(new), found))
+
+    def long_lists(self, lists: DataFrame) -> None:
+        """lists: k1, k2 (which list), c, size, rank. Links of members of a list with its pivot, the member of the highest rank, then those among its members, by their differences from the pivot."""
+        percent, key = self.percent, ["k1", "k2"]
+        while not lists.isEmpty():
+            pivots = written(lists.groupBy(*key).agg(F.max(F.struct("rank", "c", "size")).alias("top")).select(*key, F.col("top.c").alias("p"), F.col("top.size").alias("p_size")))
+            seated = lists.join(pivots, key).where("c <> p")
+            self.verify(seated.where(_close("size", "p_size", percent)).select(*_ordered(F.col("c"), F.col("p"))))
+
+            at = self.labelled(lists.select(*key, "c"))
+            several = at.groupBy(*key).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select(*key)
+            members = written(seated.join(several, key, "left_semi").select("p", "c").distinct())
+            apart = written(_differences(members, self.sets))
+            group = ["p", "c", "size", "p_size", "n"]
+            seats = written(self.labelled(prefixed(apart, ["p", "element"], group, F.col("n") - _shared(percent) + 1)))
+            key = ["p", "element"]
+            n_seats = seats.groupBy(*key).agg(F.count("*").alias("seats"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").drop("a", "b")
+            seats = written(seats.join(n_seats, key))
+            short = seats.where(F.col("seats") <= DEEP)
+            side = lambda i: short.select(*key, *[F.col(x).alias(f"{x}{i}") for x in ("c", "size", "n", "place", "label")])
+            pairs = side(1).join(side(2), key).where("c1 < c2 AND label1 <> label2").where(_close("size1", "size2", percent)).where(_enough(percent))
+            self.verify(pairs.select(F.col("c1").alias("u"), F.col("c2").alias("v")))
+            lists = seats.where(F.col("seats") > DEEP).select(F.col("p").alias("k1"), F.col("element").alias("k2"), "c", F.col("size").cast("long").alias("size"), (-F.col("n")).cast("double").alias("rank"))
+            key = ["k1", "k2"]
 
 
 def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -218,71 +316,41 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = full.groupBy("class").agg(F.min(lead).alias("lead"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     classes = written(classes.sortWithinPartitions("class").withColumn("c", F.monotonically_increasing_id()))
-
-    listed = classes.select("c", "size", F.explode("sketch").alias("value"))
-    # values that occur once lead to nobody, but they take their place in the prefix
-    counts = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = listed.join(counts, "value", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    per = ranked.groupBy("c", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("x"))
-    kept = F.size("x") - F.ceil(F.size("x") / 2).cast("int") + 1
-    # how common a class's values are, in whole listings
-    central = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    central = F.floor(central / F.size("x"))
-    prefix = per.select("c", "size", central.alias("central"), F.explode(F.slice("x", 1, kept)).alias("x")).select("c", "size", "central", "x.value", "x.df").where("df > 1")
-    lists = prefix.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    entries = written(prefix.select("c", "size", "central", "value").join(lists, "value"))
-    short, long = entries.where(F.col("n") <= FEW), entries.where(F.col("n") > FEW)
-
-    members = short.groupBy("value").agg(F.collect_list(F.struct("c", "size")).alias("m"))  # at most FEW
-    close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    few = members.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a.c < b.c").where(close(F.col("a.size"), F.col("b.size"))).select(F.col("a.c").alias("u"), F.col("b.c").alias("v"))
-    pivots = written(long.groupBy("value").agg(F.max(F.struct("central", "c"))["c"].alias("p")))
-    hubs = long.join(pivots, "value").where("c <> p").select(*_ordered(F.col("c"), F.col("p")))
-
+    size, k = F.col("size"), F.least("size", F.lit(K))
+
+    exact = size - F.ceil(percent * size / 100) + 1
+    kept = F.when(100 * size <= percent * K, exact).otherwise(k - least_common(percent) + 1)
+    listed = classes.select("c", size, k.cast("int").alias("n"), F.explode("sketch").alias("value"))
+    prefix = prefixed(listed, ["value"], ["c", "size", "n"], kept)
+    lists = prefix.groupBy("value").agg(F.count("*").alias("seats")).where("seats > 1")
+    entries = written(prefix.join(lists, "value").select("c", "size", "value", "df", "seats"))
+    short, long = entries.where(F.col("seats") <= FEW), entries.where(F.col("seats") > FEW)
+
+    members = short.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("c", "size"))).alias("m"))  # at most FEW
+    few = members.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.lit(FEW))).alias("b"))
+    few = few.where(_close("a.size", "b.size", percent)).select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct()
     low = classes.select("c", "sketch")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        got = pairs.join(low.select(F.col("c").alias("u"), F.col("sketch").alias("su")), "u").join(low.select(F.col("c").alias("v"), F.col("sketch").alias("sv")), "v")
-        return got.select("u", "v", _estimate(F.col("su"), F.col("sv")).alias("est")).where(F.col("est") >= percent - MARGIN)
-
-    candidates = written(likely(few.union(hubs).distinct()))
-
-    # for each class, the best candidate and the one that most others are likely to choose too
-    both = candidates.union(candidates.select("v", "u", "est"))
-    rank = F.xxhash64("v")
-    chosen = both.groupBy("u").agg(F.max_by("v", F.struct("est", -rank.cast("double"))).alias("best"), F.min_by("v", F.when(F.col("est") >= percent + 5, rank)).alias("hub"))
-    first = chosen.select("u", F.explode(F.array("best", "hub")).alias("w")).where("w IS NOT NULL").select(*_ordered(F.col("u"), F.col("w"))).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs)
-        numbers = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
-        return written(_verify(pairs, written(full_sets(docs, classes, numbers, words)), percent))
-
-    links = verified(first)
-    labels = components(links)
-    rest = _relabel(candidates.select("u", "v").join(first, ["u", "v"], "left_anti"), labels).where("lu <> lv").select("u", "v")
-    more = verified(rest)
-    if not more.isEmpty():
-        links = written(links.union(more))
-        labels = components(links)
-
-    # long lists of several components: members are compared by their differences from the pivot
-    at = long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    split = at.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").join(pivots, "value").select("value", "p")
-    members = written(at.join(split, "value").select("p", "c", "label", "size").distinct())
-    apart = written(_differences(members.select("p", "c"), written(full_sets(docs, classes, members.select("c").distinct(), words)), percent))
-    key = ["p", "kind", "element"]
-    shared = apart.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("m")).where("n > 1 AND (kind < 2 OR m BETWEEN 1 AND n - 1)").drop("n", "m")
-    sides = written(apart.join(shared, key).join(members, ["p", "c"]))
-    one = sides.where("side = 0").select(*key, F.col("c").alias("c1"), F.col("label").alias("l1"), F.col("size").alias("s1"))
-    two = sides.where("side = 1 OR kind < 2")
-    pairs = one.join(two, key).where("l1 <> label AND (kind = 2 OR c1 < c)").where(close(F.col("s1"), F.col("size")))
-    last = likely(pairs.select(*_ordered(F.col("c1"), F.col("c"))).distinct()).join(candidates.select("u", "v"), ["u", "v"], "left_anti")
-    found = verified(last.select("u", "v"))
-    if not found.isEmpty():
-        labels = components(links.union(found))
-
-    of = classes.select("c", "class", "lead").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    got = few.join(low.select(F.col("c").alias("u"), F.col("sketch").alias("su")), "u").join(low.select(F.col("c").alias("v"), F.col("sketch").alias("sv")), "v")
+    likely, estimate = _likely(F.col("su"), F.col("sv"), percent)
+    candidates = written(got.where(likely).select("u", "v", estimate.alias("estimate")))
+
+    # bands of sizes: sets that are alike are in one band or in neighbours, and the lists of a band hold it and the next
+    band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).cast("long")
+    central = long.groupBy("c").agg(F.avg("df").alias("rank"))
+    bands = written(long.join(central, "c").select(F.col("value").alias("k1"), F.explode(F.array(band, band - 1)).alias("k2"), "c", "size", "rank"))
+    in_bands = bands.groupBy("k1", "k2").agg(F.count("*").alias("seats")).where("seats > 1").drop("seats")
+    bands = bands.join(in_bands, ["k1", "k2"])
+
+    active = candidates.select(F.explode(F.array("u", "v")).alias("c")).union(long.select("c")).distinct()
+    search = _Search(written(full_sets(docs, classes, active, words)), percent)
+    # the best candidate of each class first: the rest of a group is then one component mostly
+    both = candidates.union(candidates.select("v", "u", "estimate"))
+    best = both.groupBy("u").agg(F.max_by("v", F.struct("estimate", F.xxhash64("v"))).alias("w"))
+    search.verify(best.select(*_ordered(F.col("u"), F.col("w"))))
+    search.verify(candidates)
+    search.long_lists(bands)
+
+    of = search.labelled(classes.select("c", "class", "lead"))
     of = of.select("class", "label").join(of.groupBy("label").agg(F.min("lead").alias("lead")), "label").drop("label")
     leads = F.col("lead").isNull() | (F.col("row") == F.col("lead.row")) & F.col("doc_id").eqNullSafe(F.col("lead.doc_id"))
     # rows without words are alone

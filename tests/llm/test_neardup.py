@@ -101,3 +101,68 @@ def test_rows_without_ids_and_ids_with_several_texts(spark):
     stay = {r.text for r in neardup.without_near_copies(docs, words=4).collect()}
     assert sorted(len(stay & {texts[m] for m in ms}) for ms in groups.values()) == [1] * len(groups)
     assert all(ids[k] == name[k] for k in range(len(texts)) if texts[k] in stay)
+
+
+def test_components_of_a_sorted_chain(spark, monkeypatch):
+    """A path of 1,000 nodes, a star and a tangle need few rounds."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(1000)] + [(5000, 2000 + i) for i in range(200)] + [(rng.randrange(9000, 9100), rng.randrange(9000, 9100)) for _ in range(300)]
+    tables, write = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df: tables.append(1) or write(df))
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        parent[b] = a
+    linked = {x for u, v in edges if u != v for x in (u, v)}
+    assert got == {x: find(x) for x in linked}
+    assert len(tables) < 40
+
+
+def test_lists_of_lists(spark, monkeypatch):
+    """Lists of differences that are long get pivots of their own; the result stays that of all pairs."""
+    monkeypatch.setattr(neardup, "FEW", 8)
+    monkeypatch.setattr(neardup, "DEEP", 12)
+    monkeypatch.setattr(neardup, "COPY", 16)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for family in range(6):
+        own = list(base)
+        for _ in range(family * 3):
+            own[rng.randrange(len(own))] = f"f{family}x{rng.randrange(50)}"
+        for _ in range(70):
+            w = list(own)
+            for _ in range(rng.randrange(8)):
+                k = rng.randrange(len(w))
+                w[k] = f"x{k % 7}"
+            if rng.random() < 0.3:
+                del w[: rng.randrange(20)]
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(neardup.near_duplicates(docs, words=4)) == near_components(rows, 4, 80)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_shared_differences_are_a_lower_bound(spark, percent):
+    """For random sets around a pivot: members that are linked, one of them not like the pivot, share at least _shared differences."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(percent)
+    pivot = set(range(60))
+    sets = []
+    for _ in range(150):
+        s = set(rng.sample(range(60), rng.randrange(30, 61))) | {rng.randrange(60, 90) for _ in range(rng.randrange(25))}
+        sets.append(s)
+    like = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    frame = spark.createDataFrame([(i, len(s ^ pivot), len(s), 60) for i, s in enumerate(sets)], "i int, n int, size int, p_size int")
+    least = {r.i: r.least for r in frame.select("i", neardup._shared(percent).alias("least")).collect()}
+    linked = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if sets[i] != sets[j] and like(sets[i], sets[j]) and not (like(sets[i], pivot) and like(sets[j], pivot))]
+    assert linked or percent > 60
+    assert all(len((sets[i] ^ pivot) & (sets[j] ^ pivot)) >= max(least[i], least[j]) for i, j in linked)

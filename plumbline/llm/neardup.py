@@ -9,7 +9,7 @@ of the union of both sketches must have LEAST in common (the same event as above
 Lists of at most FEW classes give all their pairs. Longer ones (a large group of near copies, a passage that many documents share) are cut into bands of
 like size, and each member is paired with one pivot, the member whose values have the most listings. Verified links are merged into components, and
 members of one component need no more pairs. Where a long list still holds several components, its members are compared by how they differ from the pivot: two sets
-can only be alike if they share enough of their differences, so each member is listed under a prefix of its differences, the rarest first (see _differences). In
+can only be alike if they share enough of their differences, so each member is listed under a prefix of its differences, the rare ones first (see _differences). In
 these lists pairs must also have enough differences left after the common one; lists of more than DEEP members get a pivot of their own and go through the same again.
 A list never holds the pivot that it came from, so this ends. Pairs are thus linear in the members of long lists, and no link is dropped.
 
@@ -39,6 +39,8 @@ K, MISS = 64, 1e-6
 FEW, DEEP = 48, 512
 #: Pairs of one node that take one copy of its set.
 COPY = 256
+#: Members of a list, about, whose differences set the order of the differences.
+SAMPLE = 16
 CACHE = 400_000
 
 
@@ -156,8 +158,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("h_u"), batch.column("h_v"), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.int64) for s in (x, y))
+            for i, (x, y) in enumerate(_arrays(batch, "h_u", "h_v")):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
@@ -166,53 +167,88 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs.select("u", "v"), sets, "u", "v").select("u", "v", "h_u", "h_v").mapInArrow(run, "u long, v long")
 
 
-def prefixed(listed: DataFrame, key: list[str], group: list[str], kept) -> DataFrame:
-    """Rows of `listed` (group, key's columns, n: elements of the group's row in all) that are in their row's prefix: group, key, place.
+def prefixed(listed: DataFrame, kept) -> DataFrame:
+    """listed: c, size, n (values of c in all), value -> c, size, rank (how often the values of c are listed, on average), value, for the values in each prefix.
 
-    A row of a group lists its elements by the number of their listings, fewest first, and keeps the first `kept` (an expression over columns that the
-    row shares). Elements listed once lead to nobody: they take their places, the first ones, and go.
+    Values are ordered by the number of their listings, fewest first; the first `kept` (an expression over size and n) are the prefix. Values listed once lead to
+    nobody: they take their places, the first ones, and go.
     """
-    counts = listed.groupBy(*key).agg(F.count("*").alias("df")).where("df > 1")
-    element = key[-1]
-    rows = listed.join(counts, key).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("df", element))).alias("x"))
+    counts = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    rows = listed.join(counts, "value").groupBy("c", "size", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("x"))
     single = F.col("n") - F.size("x")
-    rows = rows.withColumn("kept", F.greatest(kept - single, F.lit(0)).cast("int"))
-    seats = rows.select(*group, single.alias("single"), F.posexplode(F.slice("x", 1, F.col("kept"))).alias("i", "x"))
-    return seats.select(*group, f"x.{element}", "x.df", (F.col("single") + F.col("i")).alias("place"))
+    rank = (F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["df"]) + single) / F.col("n")
+    first = F.slice("x", 1, F.greatest(kept - single, F.lit(0)).cast("int"))
+    return rows.select("c", "size", rank.alias("rank"), F.explode(first["value"]).alias("value"))
 
 
-def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(p, c): pivots and members of their lists -> p, c, size, p_size, n, element: a row for each of the n elements that only one of both sets has."""
+def least_shared(d: int, size: int, p_size: int, percent: int) -> int:
+    """Least number of differences from the pivot that a set shares with any other that it may be linked to, where one of both is not like the pivot.
+
+    With d(X) the number of elements that only one of X and the pivot P has, X and Y are alike if d(X) + d(Y) - 2 |both| <= r (|X| + |Y|), r = (100 - percent) / (100 + percent).
+    One of the pair, Y, is not like P: d(Y) > r (|Y| + |P|). So if X is like P, |both| > (d(X) - r |X| + r |P|) / 2. If X is not, the other may be, but
+    d(Y) >= d(X) - r (|X| + |Y|) and |Y| <= 100 / percent |X| give |both| >= d(X) - (100 / percent - 1) |X|, and d(Y) - r |Y| >= (1 - r) d(Y) - r |P|, d(Y) >= 1,
+    give |both| >= (d(X) - r |X| - r |P| + 1 - r) / 2.
+    """
+    lo, hi = 100 - percent, 100 + percent
+    if hi * d <= lo * (size + p_size):
+        return max(1, -(-(hi * d - lo * size + lo * p_size) // (2 * hi)))
+    return max(1, d - lo * size // percent, -(-(hi * d - lo * size - lo * p_size + hi - lo) // (2 * hi)))
+
+
+def _arrays(batch: pa.RecordBatch, *names: str) -> Iterator[list[np.ndarray]]:
+    """The packed integers of some columns, row by row; none for null."""
+    for row in zip(*(batch.column(n) for n in names), strict=True):
+        yield [np.frombuffer(v.as_buffer(), dtype=np.int64) if v.is_valid else np.zeros(0, np.int64) for v in row]
+
+
+def _common_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """p, common (packed): differences that several of about SAMPLE members of each pivot's lists have, and how many have them, by element. At most SAMPLE members' sets a pivot."""
+    some = members.groupBy("p").agg(F.ceil(F.count("*") / SAMPLE).alias("each"))
+    sample = members.join(some, "p").where(F.pmod(F.xxhash64("c", "p"), F.col("each")) == 0).select("p", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart, sizes = [], []
-            for x, o in zip(batch.column("h_c"), batch.column("h_p"), strict=True):
-                x, o = (np.frombuffer(s.as_buffer(), dtype=np.int64) for s in (x, o))
-                apart.append(np.setxor1d(x, o, assume_unique=True))
-                sizes.append((len(x), len(o), len(apart[-1])))
-            if apart:
-                at = np.repeat(np.arange(len(apart)), [len(a) for a in apart])
-                row, (size, p_size, n) = pa.array(at), np.array(sizes, dtype=np.int32)[at].T
-                yield pa.RecordBatch.from_arrays([batch.column("p").take(row), batch.column("c").take(row), pa.array(size), pa.array(p_size), pa.array(n), pa.array(np.concatenate(apart))], names=["p", "c", "size", "p_size", "n", "element"])
-
-    return _with_sets(members.select("p", "c"), sets, "p", "c").select("p", "c", "h_p", "h_c").mapInArrow(run, "p long, c long, size int, p_size int, n int, element long")
-
-
-def _shared(percent: int):
-    """Least number of differences that a member shares with any it may be linked to, over n, size and p_size.
-
-    With d(X) the number of elements that X or the pivot P has alone, X and Y are alike if d(X) + d(Y) - 2 |both| <= r (|X| + |Y|), r = (100 - percent) / (100 + percent).
-    Of a pair that matters one, Y, is not like P: d(Y) > r (|Y| + |P|). So if X is like P, |both| > (d(X) - r |X| + r |P|) / 2. If X is not, the other may be, but
-    d(Y) >= d(X) - r (|X| + |Y|) and |Y| <= 100 / percent |X| give |both| >= d(X) - r |X| (1 + 100 / percent), and d(Y) - r |Y| >= (1 - r) d(Y) - r |P|, d(Y) >= 1,
-    give |both| >= (d(X) - r |X| - r |P| + 1 - r) / 2. In whole numbers, times lo + hi = 200 or hi.
+            apart = [np.setxor1d(x, o, assume_unique=True) for x, o in _arrays(batch, "h_c", "h_p")]
+            at = pa.array(np.repeat(np.arange(len(apart)), [len(a) for a in apart]))
+            yield pa.RecordBatch.from_arrays([batch.column("p").take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *apart]))], names=["p", "element"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(x.as_py(), dtype=np.int64).tobytes() for x in batch.column("x")]
+            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(found, pa.binary())], names=["p", "common"])
+
+    seen = _with_sets(sample, sets, "p", "c").select("p", "h_p", "h_c").mapInArrow(run, "p long, element long").groupBy("p", "element").agg(F.count("*").alias("n")).where("n > 1")
+    x = F.array_sort(F.collect_list(F.array("element", "n")))
+    return seen.groupBy("p").agg(F.flatten(x).alias("x")).mapInArrow(packed, "p long, common binary")
+
+
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(p, c): pivots and members of their lists -> p, c, size, n (differences of the two), place, element: a row for each difference in the member's prefix.
+
+    All members of a pivot order their differences alike: those that few of a sample have come first. Of two linked members that are not both like the pivot, each has at least
+    least_shared differences that the other has too, so the first of these in the order is in both prefixes.
     """
-    lo, hi = 100 - percent, 100 + percent
-    d, x, p = F.col("n").cast("long"), F.col("size").cast("long"), F.col("p_size").cast("long")
-    up = lambda a, b: F.ceil(a / b).cast("long")
-    near = up(hi * d - lo * x + lo * p, 2 * hi)
-    far = F.greatest(d - F.floor(lo * x * (100 + percent) / (hi * percent)).cast("long"), up(hi * d - lo * x - lo * p + hi - lo, 2 * hi))
-    return F.greatest(F.when(hi * d <= lo * (x + p), near).otherwise(far), F.lit(1))
+    ordered = members.select("p", "c").join(_common_differences(members, sets), "p", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, numbers = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
+            for i, (x, o, common) in enumerate(_arrays(batch, "h_c", "h_p", "common")):
+                apart, (known, times) = np.setxor1d(x, o, assume_unique=True), common.reshape(-1, 2).T
+                often = np.zeros(len(apart), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, apart), len(known) - 1)
+                    often = np.where(known[at] == apart, times[at], 0)
+                first = np.argsort(often, kind="stable")[: len(apart) - least_shared(len(apart), len(x), len(o), percent) + 1]
+                found.append(apart[first])
+                numbers.append(np.stack([np.full(len(first), i), np.full(len(first), len(x)), np.full(len(first), len(apart)), np.arange(len(first))], 1))
+            row, size, n, place = np.concatenate(numbers).T
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("p").take(row), batch.column("c").take(row), *(pa.array(v) for v in (size, n, place)), pa.array(np.concatenate(found))], names=["p", "c", "size", "n", "place", "element"]
+            )
+
+    return _with_sets(ordered, sets, "p", "c").select("p", "c", "h_p", "h_c", "common").mapInArrow(run, "p long, c long, size long, n long, place long, element long")
 
 
 def _enough(percent: int):
@@ -287,16 +323,17 @@ class _Search:
         """lists: k1, k2 (which list), c, size, rank. Links of members of a list with its pivot, the member of the highest rank, then those among its members, by their differences from the pivot."""
         percent, key = self.percent, ["k1", "k2"]
         while not lists.isEmpty():
-            pivots = written(lists.groupBy(*key).agg(F.max(F.struct("rank", "c", "size")).alias("top")).select(*key, F.col("top.c").alias("p"), F.col("top.size").alias("p_size")))
+            # the member of the highest rank, but of such members the one that heads most lists
+            heads = lists.groupBy(*key).agg(F.max(F.struct("rank", "c"))["c"].alias("c")).groupBy("c").agg(F.count("*").alias("heads"))
+            pivots = lists.join(heads, "c").groupBy(*key).agg(F.max(F.struct("heads", "rank", "c", "size")).alias("top"))
+            pivots = written(pivots.select(*key, F.col("top.c").alias("p"), F.col("top.size").alias("p_size")))
             seated = lists.join(pivots, key).where("c <> p")
             self.verify(seated.where(_close("size", "p_size", percent)).select(*_ordered(F.col("c"), F.col("p"))))
 
             at = self.labelled(lists.select(*key, "c"))
             several = at.groupBy(*key).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select(*key)
             members = written(seated.join(several, key, "left_semi").select("p", "c").distinct())
-            apart = written(_differences(members, self.sets))
-            group = ["p", "c", "size", "p_size", "n"]
-            seats = written(self.labelled(prefixed(apart, ["p", "element"], group, F.col("n") - _shared(percent) + 1)))
+            seats = written(self.labelled(_differences(members, self.sets, percent)))
             key = ["p", "element"]
             n_seats = seats.groupBy(*key).agg(F.count("*").alias("seats"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").drop("a", "b")
             seats = written(seats.join(n_seats, key))
@@ -304,7 +341,7 @@ class _Search:
             side = lambda i: short.select(*key, *[F.col(x).alias(f"{x}{i}") for x in ("c", "size", "n", "place", "label")])
             pairs = side(1).join(side(2), key).where("c1 < c2 AND label1 <> label2").where(_close("size1", "size2", percent)).where(_enough(percent))
             self.verify(pairs.select(F.col("c1").alias("u"), F.col("c2").alias("v")))
-            lists = seats.where(F.col("seats") > DEEP).select(F.col("p").alias("k1"), F.col("element").alias("k2"), "c", F.col("size").cast("long").alias("size"), (-F.col("n")).cast("double").alias("rank"))
+            lists = seats.where(F.col("seats") > DEEP).select(F.col("p").alias("k1"), F.col("element").alias("k2"), "c", "size", (-F.col("n")).cast("double").alias("rank"))
             key = ["k1", "k2"]
 
 
@@ -321,9 +358,9 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     exact = size - F.ceil(percent * size / 100) + 1
     kept = F.when(100 * size <= percent * K, exact).otherwise(k - least_common(percent) + 1)
     listed = classes.select("c", size, k.cast("int").alias("n"), F.explode("sketch").alias("value"))
-    prefix = prefixed(listed, ["value"], ["c", "size", "n"], kept)
+    prefix = prefixed(listed, kept)
     lists = prefix.groupBy("value").agg(F.count("*").alias("seats")).where("seats > 1")
-    entries = written(prefix.join(lists, "value").select("c", "size", "value", "df", "seats"))
+    entries = written(prefix.join(lists, "value").select("c", "size", "rank", "value", "seats"))
     short, long = entries.where(F.col("seats") <= FEW), entries.where(F.col("seats") > FEW)
 
     members = short.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("c", "size"))).alias("m"))  # at most FEW
@@ -336,8 +373,7 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     # bands of sizes: sets that are alike are in one band or in neighbours, and the lists of a band hold it and the next
     band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).cast("long")
-    central = long.groupBy("c").agg(F.avg("df").alias("rank"))
-    bands = written(long.join(central, "c").select(F.col("value").alias("k1"), F.explode(F.array(band, band - 1)).alias("k2"), "c", "size", "rank"))
+    bands = written(long.select(F.col("value").alias("k1"), F.explode(F.array(band, band - 1)).alias("k2"), "c", "size", "rank"))
     in_bands = bands.groupBy("k1", "k2").agg(F.count("*").alias("seats")).where("seats > 1").drop("seats")
     bands = bands.join(in_bands, ["k1", "k2"])
 

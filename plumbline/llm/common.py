@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as a regular expression class; everything else is part of a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Below the shared folder.
+FOLDER = "plumbline"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,25 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a folder of our own on a single machine, removed when Python ends; on a cluster that is an error, as its
+    machines share no such folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors. See release."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{FOLDER}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bytes_of(df: DataFrame, column: str = "text") -> int:
-    """UTF-8 bytes of a text column, all rows."""
-    return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+def release(spark: SparkSession) -> None:
+    """Removes all that written() has left in the shared folder: to be called once results that read it are written, and no other job uses the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{FOLDER}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id, folds: int, fold: int):

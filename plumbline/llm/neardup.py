@@ -36,11 +36,11 @@ from plumbline.llm.common import written
 #: Five words and 80 percent unless a caller's contract says otherwise.
 WORDS, THRESHOLD = 5, 80
 K, MISS = 64, 1e-6
-FEW, DEEP = 48, 512
+FEW, DEEP = 48, 1024
 #: Pairs of one node that take one copy of its set.
 COPY = 256
 #: Members of a list, about, whose differences set the order of the differences.
-SAMPLE = 16
+SAMPLE = 24
 CACHE = 400_000
 
 
@@ -143,13 +143,13 @@ def _close(a, b, percent: int):
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, one: str, two: str) -> DataFrame:
-    """pairs with the columns h_<one> and h_<two>. A node with many pairs has a copy of its set for each COPY of them, so that no task gets all pairs of a pivot."""
-    for side, other in ((one, two), (two, one)):
-        copies = pairs.groupBy(F.col(side).alias("c")).agg(F.ceil(F.count("*") / COPY).cast("int").alias("copies"))
-        dealt = sets.join(copies, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias(f"h_{side}"))
-        pairs = pairs.join(copies.withColumnRenamed("c", side), side).withColumn("copy", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
-        pairs = pairs.join(dealt.withColumnRenamed("c", side), [side, "copy"]).drop("copy")
-    return pairs
+    """pairs with the columns h_<one> and h_<two>. Of the first side a node may have very many pairs (a pivot): it has a copy of its set for each COPY of them, so that no task gets all
+    of them. On the other side no node has more than short lists give it."""
+    copies = pairs.groupBy(F.col(one).alias("c")).agg(F.ceil(F.count("*") / COPY).cast("int").alias("copies"))
+    dealt = sets.join(copies, "c").select(F.col("c").alias(one), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("hashes").alias(f"h_{one}"))
+    pairs = pairs.join(copies.withColumnRenamed("c", one), one).withColumn("copy", F.pmod(F.xxhash64(two), F.col("copies")).cast("int")).drop("copies")
+    pairs = pairs.join(sets.select(F.col("c").alias(two), F.col("hashes").alias(f"h_{two}")), two)
+    return pairs.join(dealt, [one, "copy"]).drop("copy")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _common_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(p, c): pivots and members of their lists -> p, c, size, n (differences of the two), place, element: a row for each difference in the member's prefix.
 
-    All members of a pivot order their differences alike: those that few of a sample have come first. Of two linked members that are not both like the pivot, each has at least
+    All members of a pivot order their differences alike: those that few of a sample have come first, and of these those that the pivot lacks. Of two linked members that are not both like the pivot, each has at least
     least_shared differences that the other has too, so the first of these in the order is in both prefixes.
     """
     ordered = members.select("p", "c").join(_common_differences(members, sets), "p", "left")
@@ -239,7 +239,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 if len(known):
                     at = np.minimum(np.searchsorted(known, apart), len(known) - 1)
                     often = np.where(known[at] == apart, times[at], 0)
-                first = np.argsort(often, kind="stable")[: len(apart) - least_shared(len(apart), len(x), len(o), percent) + 1]
+                first = np.argsort(2 * often + np.isin(apart, o, assume_unique=True), kind="stable")[: len(apart) - least_shared(len(apart), len(x), len(o), percent) + 1]
                 found.append(apart[first])
                 numbers.append(np.stack([np.full(len(first), i), np.full(len(first), len(x)), np.full(len(first), len(apart)), np.arange(len(first))], 1))
             row, size, n, place = np.concatenate(numbers).T
@@ -268,12 +268,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label"))
     while not edges.isEmpty():
         hooks = written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")))
-        while True:
-            above = hooks.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            hooks = written(hooks.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")))
-            moved, hooks = hooks.where("moved").isEmpty(), hooks.drop("moved")
-            if moved:
-                break
+        while not hooks.join(hooks.select(F.col("node").alias("label")), "label", "left_semi").isEmpty():
+            twice = _followed(hooks, hooks)
+            hooks = written(_followed(twice, twice))
         labels = written(_followed(labels, hooks))
         ends = _relabel(edges, hooks).where("lu <> lv").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v"))
         edges = written(ends.distinct())
@@ -321,28 +318,30 @@ class _Search:
 
     def long_lists(self, lists: DataFrame) -> None:
         """lists: k1, k2 (which list), c, size, rank. Links of members of a list with its pivot, the member of the highest rank, then those among its members, by their differences from the pivot."""
-        percent, key = self.percent, ["k1", "k2"]
+        percent, key, rest = self.percent, ["k1", "k2"], None
         while not lists.isEmpty():
             # the member of the highest rank, but of such members the one that heads most lists
             heads = lists.groupBy(*key).agg(F.max(F.struct("rank", "c"))["c"].alias("c")).groupBy("c").agg(F.count("*").alias("heads"))
             pivots = lists.join(heads, "c").groupBy(*key).agg(F.max(F.struct("heads", "rank", "c", "size")).alias("top"))
-            pivots = written(pivots.select(*key, F.col("top.c").alias("p"), F.col("top.size").alias("p_size")))
-            seated = lists.join(pivots, key).where("c <> p")
-            self.verify(seated.where(_close("size", "p_size", percent)).select(*_ordered(F.col("c"), F.col("p"))))
+            pivots = pivots.select(*key, F.col("top.c").alias("p"), F.col("top.size").alias("p_size"))
+            seated = written(lists.join(pivots, key).select(*key, "c", "size", "p", "p_size"))
+            hubs = seated.where("c <> p").where(_close("size", "p_size", percent)).select(F.col("p").alias("u"), F.col("c").alias("v"))
+            self.verify(hubs if rest is None else hubs.union(rest))
 
-            at = self.labelled(lists.select(*key, "c"))
+            at = self.labelled(seated.select(*key, "c"))
             several = at.groupBy(*key).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select(*key)
-            members = written(seated.join(several, key, "left_semi").select("p", "c").distinct())
+            members = written(seated.where("c <> p").join(several, key, "left_semi").select("p", "c").distinct())
             seats = written(self.labelled(_differences(members, self.sets, percent)))
-            key = ["p", "element"]
-            n_seats = seats.groupBy(*key).agg(F.count("*").alias("seats"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").drop("a", "b")
-            seats = written(seats.join(n_seats, key))
+            shared = ["p", "element"]
+            n_seats = seats.groupBy(*shared).agg(F.count("*").alias("seats"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").drop("a", "b")
+            seats = written(seats.join(n_seats, shared))
             short = seats.where(F.col("seats") <= DEEP)
-            side = lambda i: short.select(*key, *[F.col(x).alias(f"{x}{i}") for x in ("c", "size", "n", "place", "label")])
-            pairs = side(1).join(side(2), key).where("c1 < c2 AND label1 <> label2").where(_close("size1", "size2", percent)).where(_enough(percent))
-            self.verify(pairs.select(F.col("c1").alias("u"), F.col("c2").alias("v")))
+            side = lambda i, rows=short: rows.select(*shared, *[F.col(x).alias(f"{x}{i}") for x in ("c", "size", "n", "place", "label")])
+            pairs = side(1).join(side(2), shared).where("c1 < c2 AND label1 <> label2").where(_close("size1", "size2", percent)).where(_enough(percent))
+            rest = pairs.select(F.col("c1").alias("u"), F.col("c2").alias("v"))
             lists = seats.where(F.col("seats") > DEEP).select(F.col("p").alias("k1"), F.col("element").alias("k2"), "c", "size", (-F.col("n")).cast("double").alias("rank"))
-            key = ["k1", "k2"]
+        if rest is not None:
+            self.verify(rest)
 
 
 def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -359,8 +358,10 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     kept = F.when(100 * size <= percent * K, exact).otherwise(k - least_common(percent) + 1)
     listed = classes.select("c", size, k.cast("int").alias("n"), F.explode("sketch").alias("value"))
     prefix = prefixed(listed, kept)
-    lists = prefix.groupBy("value").agg(F.count("*").alias("seats")).where("seats > 1")
-    entries = written(prefix.join(lists, "value").select("c", "size", "rank", "value", "seats"))
+    # sizes of a list that differ by no more than two links may
+    alike = F.max("size") * percent**2 <= F.min("size") * 100**2
+    lists = prefix.groupBy("value").agg(F.count("*").alias("seats"), alike.alias("alike")).where("seats > 1")
+    entries = written(prefix.join(lists, "value").select("c", "size", "rank", "value", "seats", "alike"))
     short, long = entries.where(F.col("seats") <= FEW), entries.where(F.col("seats") > FEW)
 
     members = short.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("c", "size"))).alias("m"))  # at most FEW
@@ -373,9 +374,8 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     # bands of sizes: sets that are alike are in one band or in neighbours, and the lists of a band hold it and the next
     band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).cast("long")
-    bands = written(long.select(F.col("value").alias("k1"), F.explode(F.array(band, band - 1)).alias("k2"), "c", "size", "rank"))
-    in_bands = bands.groupBy("k1", "k2").agg(F.count("*").alias("seats")).where("seats > 1").drop("seats")
-    bands = bands.join(in_bands, ["k1", "k2"])
+    bands = F.when(F.col("alike"), F.array(F.lit(-2).cast("long"))).otherwise(F.array(band, band - 1))
+    bands = written(long.select(F.col("value").alias("k1"), F.explode(bands).alias("k2"), "c", "size", "rank"))
 
     active = candidates.select(F.explode(F.array("u", "v")).alias("c")).union(long.select("c")).distinct()
     search = _Search(written(full_sets(docs, classes, active, words)), percent)

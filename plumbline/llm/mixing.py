@@ -6,12 +6,13 @@ sources in order of cap / weight, (wanted - caps below) / (weights left) rises u
 fill, where it is the water level, and falls from there on.
 
 A source's target / size = whole + fraction. Every document is taken `whole` times; for the fraction,
-documents are taken once more in a seeded order (MD5 of seed and id) until the next would pass the
-source's target. The order is cut in two steps, so that no source is sorted in one task: sizes are summed in
-buckets of the hash, and only the bucket where the target falls is walked document by document.
+documents are taken once more in a seeded order (MD5 of seed and id, then a hash of the text) until the next would pass the
+source's target. So a source's plan is one row: its target, `whole`, and the last place in the order that is taken once more. That place is found without sorting
+a source: sizes are summed by the first digits of the order, then, where the target falls, by more digits, until few rows are left to be walked. The documents
+are read once for their sizes; taking them is a map with the plan, which is broadcast up to MAX_SOURCES sources and joined beyond.
 
-Null and word-less texts have size 0. A null source is a source of its own, last in order. Equal ids are ordered
-by their text's digest; rows that are the same in both are taken alike. An empty table gives an empty result.
+Null and word-less texts have size 0. A null source is a source of its own, last in order. Rows with equal id and source are told apart by
+their text; rows that are the same in all three are taken alike. Rows without an id are ordered by their text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD
+from plumbline.llm.common import WORD, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 42
-#: Hex digits of the order that name a bucket: 4096 buckets a source.
-DIGITS = 3
+#: Hex digits of the order by which sizes are summed at a time (4096 buckets a source), and in all.
+DIGITS, ALL_DIGITS = 3, 48
+#: Rows of a source that are walked one by one.
+WALK = 20_000
+MAX_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -50,41 +54,81 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, times (repetitions), taken (words), h (the order)."""
-    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("")).cast("binary"))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"), digest.alias("h"), F.xxhash64(docs["text"]).alias("t"))
-    rows = rows.withColumn("bucket", F.substring("h", 1, DIGITS))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    sizes = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
+def order(doc_id: Column, text: Column, seed: int) -> Column:
+    """Place of a row in the seeded order: 48 hexadecimal digits."""
+    digest = F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0")
+    named = F.concat_ws("-", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), digest), F.lit(""))
+    return F.concat(F.md5(named.cast("binary")), digest)
+
+
+def _joined(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """rows with the columns of their source's row, of which there is at most one."""
+    few = by_source.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
+    named = by_source.withColumnRenamed("source", "of")
+    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _last(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """source, last: the last place in the order up to which the sizes of a source stay within its `rest`. A place is in if it is not above `last`, which may be a prefix."""
+    rows = rows.select("source", "place", "size")
+    open_, found, base = rows, [], rest.select("source", "rest")
+    for digits in range(DIGITS, ALL_DIGITS + 1, DIGITS):
+        sums = open_.groupBy("source", F.substring("place", 1, digits).alias("prefix")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy("prefix"))
+        at = _joined(sums.withColumn("upto", upto), base).where(F.col("upto") > F.col("rest"))
+        # the first bucket above: what is left for it, and how many rows it has
+        cut = at.groupBy("source").agg(F.min_by(F.struct("prefix", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"), "rows"), "prefix").alias("c")).select("source", "c.*")
+        cut = written(cut)
+        last = digits >= ALL_DIGITS
+        found.append(cut.where(F.lit(last) | (F.col("rows") <= WALK)))
+        base = cut.where(~F.lit(last) & (F.col("rows") > WALK))
+        if base.isEmpty():
+            break
+        open_ = _joined(open_, base.select("source", "prefix")).where(F.col("place").startswith(F.col("prefix"))).drop("prefix")
+        base = base.select("source", "rest")
+    cuts = found[0]
+    for more in found[1:]:
+        cuts = cuts.unionByName(more)
+    walked = _joined(rows, cuts.select("source", "prefix", "rest")).where(F.col("place").startswith(F.col("prefix")))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = walked.withColumn("upto", upto).groupBy("source", "prefix").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))).alias("last"))
+    # a source that never passes its rest has no cut: all of it is in
+    return inside.select("source", F.coalesce("last", "prefix").alias("last"))
+
+
+def plan(rows: DataFrame, weights, share: float, max_epochs: float) -> DataFrame:
+    """rows (source, size, place) -> one row a source: source, source_size, target, whole, last."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
-    plan = water_fill(sizes.withColumn("weight", weight), share, max_epochs)
-    plan = plan.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-
-    # buckets wholly below the rest are taken; the one where it falls is walked
-    in_order = Window.partitionBy("source").orderBy("bucket")
-    cut = buckets.withColumn("upto", F.sum("n").over(in_order)).alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-    cut = cut.select("b.source", "b.bucket", "source_size", "target", "whole", (F.col("upto") <= F.col("rest")).alias("inside"), (F.col("rest") - F.col("upto") + F.col("n")).alias("room"))
-    walked = F.when(~F.col("inside") & (F.col("room") > 0), F.lit(True)).otherwise(F.lit(False))
-    cut = cut.withColumn("walked", walked)
-    r, c = rows.alias("r"), cut.alias("c")
-    at = r.join(c, F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.bucket") == F.col("c.bucket")))
-    at = at.select("r.*", "source_size", "target", "whole", "inside", "room", "walked")
-    walk = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "t", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = at.where("walked").withColumn("upto", F.sum("size").over(walk)).withColumn("extra", (F.col("upto") <= F.col("room")).cast("long")).drop("upto")
-    far = at.where("NOT walked").withColumn("extra", F.col("inside").cast("long"))
-    both = near.unionByName(far)
-    times = F.col("whole") + F.when(F.col("whole") < max_epochs, F.col("extra")).otherwise(0)
-    return both.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), "h")
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
+    sources = water_fill(sizes.withColumn("weight", weight), share, max_epochs)
+    sources = sources.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
+    sources = written(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    last = _last(rows, sources).withColumnRenamed("source", "of")
+    return written(sources.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "whole", F.coalesce("last", F.lit("g")).alias("last")))
+
+
+def _times(max_epochs: float) -> Column:
+    return F.col("whole") + F.when(F.col("whole") < max_epochs, (F.col("place") <= F.col("last")).cast("long")).otherwise(0)
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    return written(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"), order(docs["doc_id"], docs["text"], seed).alias("place")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, times (repetitions), taken (words)."""
+    rows = _sized(docs, seed)
+    at = _joined(rows, plan(rows, weights, share, max_epochs)).withColumn("times", _times(max_epochs))
+    return at.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mixture takes it, all columns."""
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("times").alias("_times")).distinct()
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).where("_times > 0")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+    planned = plan(_sized(docs, seed), weights, share, max_epochs).select("source", "whole", "last")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["source"].alias("source"), order(docs["doc_id"], docs["text"], seed).alias("place"))
+    at = _joined(rows, planned).select("row", _times(max_epochs).cast("int").alias("times")).where("times > 0")
+    return at.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("row.*")
 
 
 def op2_mixing(spark, sf_dir):

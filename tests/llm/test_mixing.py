@@ -1,10 +1,12 @@
 """Water-filling against repeated redistribution; takings near their targets; edge rows."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from plumbline.llm import mixing
+from tests.oracle import compare
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,3 +65,30 @@ def test_edges(spark):
     assert all(0 <= r.taken <= 2 * r.size for r in got)
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_sql(spark):
+    compare(spark, SF, mixing.op2_mixing, mixing.OP2_SQL)
+
+
+def test_repeated_ids_and_deep_cuts(spark, monkeypatch):
+    """Rows of one id in several sources, rows without id, helper columns of the same names, and cuts that need more digits."""
+    monkeypatch.setattr(mixing, "WALK", 3)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    rng = random.Random(8)
+    names = ["a", "b", None]
+    rows = [(rng.choice([None, *range(30)]), "w " * rng.randrange(1, 30) + f"t{k}", rng.choice(names), k) for k in range(400)]
+    docs = spark.createDataFrame([(*r, 1, "p", 2) for r in rows], "doc_id long, text string, source string, k int, times int, place string, whole int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = Counter(r.k for r in out.collect())
+    size = {k: len(t.split()) for _, t, _, k in rows}
+    of = {k: s for _, _, s, k in rows}
+    sizes = [sum(n for k, n in size.items() if of[k] == s) for s in names]
+    want = redistributed(sizes, [3.0, 1.0, 2.0], 1.5, 2.0)
+    for s, total, target in zip(names, sizes, want, strict=True):
+        times = {k: got[k] for k in size if of[k] == s}
+        assert set(times.values()) <= {int(target // total), int(target // total) + 1}
+        assert 0 <= target - sum(n * size[k] for k, n in times.items()) < max(size.values())
+    assert sorted(repr((r.doc_id, r.size, r.times)) for r in mixing.mix(docs).collect()) == sorted(repr((i, size[k], got[k])) for i, _, _, k in rows)
+    assert sum(r.taken for r in mixing.mix(docs).collect()) == sum(n * size[k] for k, n in got.items())

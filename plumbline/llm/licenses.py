@@ -4,8 +4,8 @@ A line's canonical form has lower case, single spaces for all that is no letter
 equivalent words, and is empty for a copyright line (see COPYRIGHT_LINE; a wrapped sentence that goes on with `copyright notice` is none); a text's form is those of its lines, joined by spaces. The SHA-256 of the canonical form is joined with the digests of known
 licences: once for the entire text, once for each of its lines (a notice is a line that says which licence applies).
 
-Null and empty texts, and texts that are only copyright lines, have an empty form and match nothing. Rows with equal ids
-share their matches. An empty table gives an empty result; other columns are ignored. The known licences are those of known_texts() or a
+Null and empty texts, and texts that are only copyright lines, have an empty form and match nothing. Matches belong to rows: of rows with equal ids each
+has those of its own text. An empty table gives an empty result; other columns are ignored. The known licences are those of known_texts() or a
 table given by the caller, which is broadcast only up to MAX_KNOWN rows.
 """
 
@@ -139,15 +139,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known.select("license_id", digest(text_form(line_forms(F.col("text")))).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     if known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
         known = F.broadcast(known)
-    rows = docs.select(docs["doc_id"].alias("doc_id"), line_forms(docs["text"]).alias("forms"))
-    units = F.concat(F.array(F.struct(F.lit(True).alias("entire"), text_form(F.col("forms")).alias("form"))), F.transform("forms", lambda x: F.struct(F.lit(False).alias("entire"), joined(x).alias("form"))))
-    found = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.entire", digest(F.col("u.form")).alias("digest")).join(known, "digest")
-    per = found.groupBy(F.col("doc_id").alias("at")).agg(
-        F.min(F.when(F.col("entire"), F.col("license_id"))).alias("license_id"),
-        F.array_sort(F.collect_set(F.when(~F.col("entire"), F.col("license_id")))).alias("notices"),
-        F.count_if(~F.col("entire")).alias("n_notice_lines"),
+    row = F.md5(docs["text"].cast("binary"))  # tells texts under one id apart
+    rows = docs.select(docs["doc_id"].alias("doc_id"), row.alias("row"), line_forms(docs["text"]).alias("forms"))
+    # line -1 is the entire text
+    lines = F.transform("forms", lambda x, i: F.struct(i.alias("line"), joined(x).alias("form")))
+    units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), text_form(F.col("forms")).alias("form"))), lines)
+    found = rows.select("doc_id", "row", F.explode(units).alias("u")).select("doc_id", "row", "u.line", digest(F.col("u.form")).alias("digest")).join(known, "digest")
+    # rows that are the same in id and text have the same matches, and count them once
+    found = found.groupBy(F.col("doc_id").alias("at"), F.col("row").alias("of"), "line").agg(F.min("license_id").alias("license_id"))
+    per = found.groupBy("at", "of").agg(
+        F.min(F.when(F.col("line") < 0, F.col("license_id"))).alias("license_id"),
+        F.array_sort(F.collect_set(F.when(F.col("line") >= 0, F.col("license_id")))).alias("notices"),
+        F.count_if(F.col("line") >= 0).alias("n_notice_lines"),
     )
-    return docs.select(docs["doc_id"].alias("doc_id")).join(per, F.col("doc_id").eqNullSafe(F.col("at")), "left").select(
+    return docs.select(docs["doc_id"].alias("doc_id"), row.alias("row")).join(per, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("row") == F.col("of")), "left").select(
         "doc_id", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"), F.coalesce("n_notice_lines", F.lit(0)).cast("long").alias("n_notice_lines")
     )
 

@@ -3,6 +3,7 @@
 import textwrap
 
 from plumbline.llm import licenses
+from tests.oracle import compare
 
 
 def test_entire_texts_and_notices(spark):
@@ -17,13 +18,14 @@ def test_entire_texts_and_notices(spark):
         (7, "Copyright 2021 A\nAll rights reserved.", None),
         (8, "Licensed under CC BY-NC 4.0.", None),
         (8, "Licensed under CC BY-NC 4.0.", None),
+        (8, "Nothing here.", None),
         (None, "word " * 40_000, None),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, license_id string")
-    got = sorted(((r.doc_id or 0), r.license_id, tuple(r.notices), r.n_notice_lines) for r in licenses.scan(docs).collect())
+    got = sorted((((r.doc_id or 0), r.license_id, tuple(r.notices), r.n_notice_lines) for r in licenses.scan(docs).collect()), key=lambda r: (r[0], r[1] is None))
     assert got == [
         (0, None, (), 0), (1, "MIT", (), 0), (2, None, (), 0), (3, None, (), 0), (4, None, ("Apache-2.0", "MIT"), 3), (5, None, (), 0),
-        (6, None, (), 0), (7, None, (), 0), (8, "CC-BY-NC-4.0", ("CC-BY-NC-4.0",), 2), (8, "CC-BY-NC-4.0", ("CC-BY-NC-4.0",), 2),
+        (6, None, (), 0), (7, None, (), 0), (8, "CC-BY-NC-4.0", ("CC-BY-NC-4.0",), 1), (8, "CC-BY-NC-4.0", ("CC-BY-NC-4.0",), 1), (8, None, (), 0),
     ]
     assert licenses.scan(docs.limit(0)).count() == 0
 
@@ -63,3 +65,13 @@ def test_whole_texts_and_titles(spark):
     got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
     assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
     assert all(len(text) > 500 for _, text in licenses.known_texts() if text not in {t for _, t in licenses.KNOWN})
+
+
+def test_sql(spark):
+    """On the given tables, where no text needs what OP8_SQL does not know."""
+    compare(spark, "/root/testdata/sf0.01", licenses.op8_licenses, licenses.OP8_SQL)
+
+
+def test_a_very_common_line(spark):
+    docs = spark.createDataFrame([(k % 50, f"{k}\nSPDX-License-Identifier: MIT\n" * 3) for k in range(2000)], "doc_id long, text string")
+    assert {(tuple(r.notices), r.n_notice_lines) for r in licenses.scan(docs).collect()} == {(("MIT",), 3)}

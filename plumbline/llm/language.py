@@ -6,9 +6,9 @@ in numpy (Adam) on windows of labelled documents. For application embedding and
 tables: the value of a filter of width w at a place is a sum of table rows, one for each pair of bytes.
 All windows of a text are scored and their log-probabilities averaged by length.
 
-Training takes at most `per_language` documents of each language, those of the smallest hashes, and up to four windows from
-each: a bounded sample (a few MB) on the driver. The tables have a fixed size and go to the tasks by
-broadcast. Applying is one map over all rows, without a shuffle.
+Training takes at most `per_language` documents of each of at most `max_languages` languages (the most frequent ones), those of the smallest hashes of id and text, and up to four windows from
+each: a bounded sample (a few MB) on the driver. Rows are drawn where they are read, windows are cut there, and equal rows count once: no text is
+shuffled, and no id, null or repeated, can enlarge the sample. The tables have a fixed size and go to the tasks by broadcast. Applying is one map over all rows, without a shuffle.
 
 A null text, an empty one, or one without a letter is `und` with score 0. Null languages teach nothing; without
 any labelled text all is `und`. Repeated rows are predicted alike; an empty table gives an empty result; other columns are ignored.
@@ -22,13 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import held_out
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-PER_LANGUAGE, WINDOWS_EACH, EPOCHS, BATCH, RATE, SEED = 800, 4, 4, 64, 0.01, 7
+PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_EACH, EPOCHS, BATCH, RATE, SEED = 800, 200, 4, 4, 64, 0.01, 7
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Windows convolved at once.
@@ -60,39 +60,49 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def loss_and_gradients(values: list[np.ndarray], rows: np.ndarray, truth: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """values: embedding, a filter bank for each width, bias, weights, offset. The mean cross-entropy of a batch and its gradient for each of values."""
+    embed, *filters, bias, weights, offset = values
+    e, n = embed[rows], len(rows)
+    pooled, at = [], []
+    for w, f in zip(WIDTHS, filters, strict=True):
+        conv = sum(e[:, j : WINDOW - w + 1 + j] @ f[j] for j in range(w))
+        place = conv.argmax(1)
+        at.append(place)
+        pooled.append(np.take_along_axis(conv, place[:, None], 1)[:, 0])
+    before = np.concatenate(pooled, 1) + bias
+    hidden = np.maximum(before, 0)
+    logs = log_softmax(hidden @ weights + offset)
+    loss = -float(logs[np.arange(n), truth].mean())
+    p = np.exp(logs)
+    p[np.arange(n), truth] -= 1
+    p /= n
+    down = (p @ weights.T) * (before > 0)
+    grads = [np.zeros_like(embed), *(np.zeros_like(f) for f in filters), down.sum(0), hidden.T @ p, p.sum(0)]
+    for i, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
+        d = down[:, i * FILTERS : (i + 1) * FILTERS]
+        for j in range(w):  # only the place of each maximum passes a gradient
+            read = np.take_along_axis(rows, at[i] + j, 1)
+            grads[1 + i][j] = np.einsum("nfe,nf->ef", embed[read], d)
+            np.add.at(grads[0], read, d[..., None] * f[j].T)
+    return loss, grads
+
+
+def initial(rng: np.random.Generator, k: int) -> list[np.ndarray]:
+    total = FILTERS * len(WIDTHS)
+    return [rng.normal(0, 0.3, (256, EMBED)), *(rng.normal(0, (w * EMBED) ** -0.5, (w, EMBED, FILTERS)) for w in WIDTHS), np.zeros(total), rng.normal(0, total**-0.5, (total, k)), np.zeros(k)]
+
+
 def train(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Network:
     """Windows (rows of bytes) and the index of each one's language -> network."""
     rng = np.random.default_rng(SEED)
-    total, k = FILTERS * len(WIDTHS), len(languages)
-    values = [rng.normal(0, 0.3, (256, EMBED)), *(rng.normal(0, (w * EMBED) ** -0.5, (w, EMBED, FILTERS)) for w in WIDTHS), np.zeros(total), rng.normal(0, total**-0.5, (total, k)), np.zeros(k)]
-    values = [v.astype(np.float32) for v in values]
+    values = [v.astype(np.float32) for v in initial(rng, len(languages))]
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
         for start in range(0, len(order), BATCH):
-            rows = x[order[start : start + BATCH]]
-            truth = y[order[start : start + BATCH]]
-            embed, *filters, bias, weights, offset = values
-            e, n = embed[rows], len(rows)
-            pooled, at = [], []
-            for w, f in zip(WIDTHS, filters, strict=True):
-                conv = sum(e[:, j : WINDOW - w + 1 + j] @ f[j] for j in range(w))
-                place = conv.argmax(1)
-                at.append(place)
-                pooled.append(np.take_along_axis(conv, place[:, None], 1)[:, 0])
-            before = np.concatenate(pooled, 1) + bias
-            hidden = np.maximum(before, 0)
-            p = np.exp(log_softmax(hidden @ weights + offset))
-            p[np.arange(n), truth] -= 1
-            p /= n
-            down = (p @ weights.T) * (before > 0)
-            grads = [np.zeros_like(embed), *(np.zeros_like(f) for f in filters), down.sum(0), hidden.T @ p, p.sum(0)]
-            for i, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
-                d = down[:, i * FILTERS : (i + 1) * FILTERS]
-                for j in range(w):  # only the place of each maximum passes a gradient
-                    read = np.take_along_axis(rows, at[i] + j, 1)
-                    grads[1 + i][j] = np.einsum("nfe,nf->ef", embed[read], d)
-                    np.add.at(grads[0], read, d[..., None] * f[j].T)
+            batch = order[start : start + BATCH]
+            _, grads = loss_and_gradients(values, x[batch], y[batch])
             step += 1
             for v, g, a, b in zip(values, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
@@ -149,14 +159,15 @@ def predict(net: Folded, texts: list[str | None]) -> tuple[list[str], list[float
     return names, scores
 
 
-def fit_on(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
-    """Fit on labelled documents outside the held-out fold."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """lang, rank, windows: of labelled documents outside the held-out fold, at most per_language of each language."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(rows["doc_id"], 5, 0))
-    counts = rows.groupBy("lang").count()
-    # a hash below per_language / count keeps about that many; half as many again are drawn, then cut to the smallest hashes
-    rank = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("rank")
-    chosen = rows.join(counts, "lang").select("lang", "doc_id", "text", rank, "count").where(F.col("rank") * F.col("count") <= 1.5 * per_language + 20).drop("count")
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages)
+    # a hash below per_language / n keeps about that many; half as many again are drawn, then cut to the smallest hashes
+    share = F.col("rank").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    chosen = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") <= 1.5 * per_language + 20).select("lang", "rank", "text")  # max_languages rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,35 +178,39 @@ def fit_on(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
                     spread = np.unique(np.linspace(0, len(w) - 1, WINDOWS_EACH).round().astype(int))
                     keep.append(i)
                     parts.append(w[spread].tobytes())
-            taken = batch.select(["lang", "doc_id", "rank"]).take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.binary())], names=["lang", "doc_id", "rank", "windows"])
+            taken = batch.select(["lang", "rank"]).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.binary())], names=["lang", "rank", "windows"])
 
-    schema = chosen.drop("text").schema.add("windows", "binary")
-    found = chosen.mapInArrow(cut, schema).orderBy("lang", "rank", "doc_id", "windows").collect()
+    found = chosen.mapInArrow(cut, "lang string, rank long, windows binary").groupBy("lang", "rank").agg(F.min("windows").alias("windows"))
+    order = Window.partitionBy("lang").orderBy(F.col("rank").bitwiseAND(F.lit((1 << 53) - 1)), "rank")  # about 1.5 per_language rows each
+    return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).drop("k")
+
+
+def fit_on(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
+    """Fit on the sample."""
+    found = sorted(sample(docs, per_language).collect())
     languages = sorted({r.lang for r in found})
-    by = {name: [r.windows for r in found if r.lang == name][:per_language] for name in languages}
-    x = [np.frombuffer(w, dtype=np.uint8).reshape(-1, WINDOW) for name in languages for w in by[name]]
-    y = [i for i, name in enumerate(languages) for _ in by[name]]
-    if not x:
+    if not found:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
-    return train(np.concatenate(x), np.repeat(y, [len(w) for w in x]), languages)
+    x = [np.frombuffer(r.windows, dtype=np.uint8).reshape(-1, WINDOW) for r in found]
+    return train(np.concatenate(x), np.repeat([languages.index(r.lang) for r in found], [len(w) for w in x]), languages)
 
 
 def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
     """keep (doc_id unless given) plus lang_pred string, score double."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    rows = docs.select(*[docs[c] for c in keep], docs["text"].alias("_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = Folded(shared.value)
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
-                names, scores = predict(folded, batch.column("_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                names, scores = predict(folded, batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["kept", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(run, rows.drop("text").schema.add("lang_pred", "string").add("score", "double")).select("kept.*", "lang_pred", "score")
 
 
 def op10_language(spark, sf_dir):

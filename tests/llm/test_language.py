@@ -48,3 +48,38 @@ def test_edges(spark):
     none = language.fit_on(docs.limit(0))
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(docs.limit(0), net).count() == 0
+
+
+def test_gradients_are_those_of_the_loss():
+    """Against differences of the loss, parameter by parameter."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 256, (5, language.WINDOW)).astype(np.uint8), np.arange(5) % 3
+    values = language.initial(rng, 3)
+    _, grads = language.loss_and_gradients(values, x, y)
+    for v, g in zip(values, grads, strict=True):
+        used = np.flatnonzero(g.ravel())
+        for i in rng.choice(used, min(12, len(used)), replace=False):
+            keep, diff = v.flat[i], []
+            for h in (1e-6, -1e-6):
+                v.flat[i] = keep + h
+                diff.append(language.loss_and_gradients(values, x, y)[0])
+            v.flat[i] = keep
+            assert np.isclose((diff[0] - diff[1]) / 2e-6, g.flat[i], rtol=1e-3, atol=1e-7)
+
+
+def test_sample_is_bounded_for_null_and_repeated_ids(spark):
+    """5,000 rows without id, 3,000 of one id, and 4,000 copies of one row: each distinct row counts once, and no language has more than its share."""
+    rows = [(None, f"text number {k}", "en") for k in range(5000)] + [(7, f"texte {k}", "fr") for k in range(3000)] + [(8, "immer gleich", "de")] * 4000 + [(9, "nie gleich", "de")]
+    rows += [(k, f"rare {k}", f"x{k}") for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(docs, per_language=50, max_languages=4).collect()
+    by = {name: [r for r in got if r.lang == name] for name in {r.lang for r in got}}
+    assert {"en", "fr", "de"} <= set(by) and len(by) == 4
+    assert len(by["en"]) == len(by["fr"]) == 50 and len(by["de"]) == 2
+    assert sorted(map(tuple, got)) == sorted(map(tuple, language.sample(docs.repartition(7), per_language=50, max_languages=4).collect()))
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some words", "en", 5, "k")], "doc_id long, text string, lang string, windows int, kept string")
+    got = language.identify(docs, language.fit_on(docs), docs.columns)
+    assert got.columns == [*docs.columns, "lang_pred", "score"] and got.first().kept == "k"

@@ -145,29 +145,32 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Fore
     texts = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
     rows = texts.join(F.broadcast(sample), "doc_id")  # at most max_rows ids
     out = T.StructType([rows.schema["doc_id"], rows.schema["y"], T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    # a document that has several rows counts once
-    found = rows.select("doc_id", "y", "_text").mapInArrow(_statistics, out).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # a document that has several rows counts once, by the one whose statistics come first
+    found = rows.select("doc_id", "y", "_text").mapInArrow(_statistics, out).groupBy("doc_id", "y").agg(F.min("stats").alias("stats")).orderBy("doc_id").collect()
     return fit(np.array([r.stats for r in found]), np.array([r.y for r in found]))
 
 
-def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """keep (doc_id unless given) plus the score, a double, and the prediction, an int, under the given names."""
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs["text"], F.lit("")).alias("_text"))
+def score(docs: DataFrame, forest: Forest, keep: list[str] | None = None) -> DataFrame:
+    """keep (doc_id unless given) plus score double, predicted int."""
+    return _scored(docs, forest, ["doc_id"] if keep is None else keep).select("kept.*", "score", "predicted")
+
+
+def _scored(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
+    """kept (a struct, so that no name of docs can clash), score, predicted."""
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column("_text")]).reshape(-1, N_STATS)
+            x = np.array([statistics(t.as_py()) for t in batch.column("text")]).reshape(-1, N_STATS)
             s = forest.score(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["kept", "score", "predicted"])
 
-    return rows.mapInArrow(run, rows.drop("_text").schema.add(names[0], "double").add(names[1], "integer"))
+    return rows.mapInArrow(run, rows.drop("text").schema.add("score", "double").add("predicted", "integer"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, all columns."""
-    scored = score(docs, fit_on(docs, labels), docs.columns, ("_quality_score", "_quality_good"))
-    return scored.where("_quality_good = 1").select(*docs.columns)
+    return _scored(docs, fit_on(docs, labels), docs.columns).where("predicted = 1").select("kept.*")
 
 
 def op3_quality(spark, sf_dir):

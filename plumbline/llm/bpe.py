@@ -203,13 +203,13 @@ def bpe(docs: DataFrame, path: str | None = None, keep: list[str] | None = None)
     with open(path or public_vocabulary(), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs["text"], F.lit("")).alias("_text"))
-    out = rows.drop("_text").schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    out = rows.drop("text").schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         for batch in batches:
-            texts, start, held, lists, decoded = batch.column("_text"), 0, 0, [], []
+            texts, start, held, lists, decoded = batch.column("text"), 0, 0, [], []
             for i in range(batch.num_rows):
                 ids = enc.encode(text := texts[i].as_py())
                 lists.append(ids)
@@ -221,11 +221,11 @@ def bpe(docs: DataFrame, path: str | None = None, keep: list[str] | None = None)
                     for c in counts:
                         offsets.append(offsets[-1] + c)
                     ids_column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(chain.from_iterable(lists)), pa.int32()))
-                    kept = [batch.column(c).slice(start, len(lists)) for c in keep]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), ids_column, pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "ids", "decoded"])
+                    kept = batch.column("kept").slice(start, len(lists))
+                    yield pa.RecordBatch.from_arrays([kept, pa.array(counts, pa.int64()), ids_column, pa.array(decoded, pa.string())], names=["kept", "n_tokens", "ids", "decoded"])
                     start, held, lists, decoded = i + 1, 0, [], []
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, out).select("kept.*", "n_tokens", "ids", "decoded")
 
 
 def op4_bpe(spark, sf_dir):

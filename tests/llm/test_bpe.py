@@ -57,3 +57,30 @@ def test_frame(spark, both):
     assert bpe(docs.limit(0)).count() == 0
     lib = both[1]
     assert list(got[0][2]) == lib.encode("x" * 200_000, add_special_tokens=False).ids
+
+
+def test_query_equals_the_library(spark):
+    """op4_bpe on every whole text of the table."""
+    import hashlib
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.no_truncation()
+    tok.no_padding()
+    from plumbline.llm.bpe import op4_bpe
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op4_bpe(spark, sf).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        assert got[r.doc_id] == (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some words", "t", 1)], "doc_id long, text string, _text string, kept int")
+    got = bpe(docs, keep=docs.columns)
+    assert got.columns == [*docs.columns, "n_tokens", "ids", "decoded"] and got.first().kept == 1

@@ -9,11 +9,11 @@ the longest seen one says.
 
 How it runs. One map over the texts, in chunks of some megabytes, gives for each chunk its distinct words
 with training counts, its distinct grams (context and byte) with training counts, both cut into parts by a hash and packed, and the sparse
-table of its documents over its words and over the places where they stand. Each part of the words is counted in one group, each part of the
-grams grows and reads its trees in one group (by the two nearest context bytes); the two top levels of the trees, at most 65,536 nodes
-whatever the input, meet on the driver. Each group answers every chunk in the order it asked, and a chunk's answers are summed for each of its
-documents. Texts are never shuffled, and nothing that grows with the input is collected or broadcast. A group holds 1/parts of all
-chunks' distinct words or grams; parts follow the number of input partitions.
+table of its documents over its words and over the places where they stand. Counts go up a tree: FAN chunks are merged into one node, FAN nodes into one of the next
+level, part by part, until FAN nodes at most are left; there each part of the words is counted in one group, and each part of the
+grams grows and reads its trees in one group (by the two nearest context bytes). Answers come down the same tree. So a group holds one part of FAN nodes, whatever the number
+of chunks. The two top levels of the context trees, at most 65,536 nodes whatever the input, meet on the driver. A chunk's answers are summed for each of its
+documents. Texts are never shuffled, and nothing that grows with the input is collected or broadcast.
 
 Null texts are empty; an empty text is its end. A null id is never held out. Repeated rows are scored one by one and train as often
 as they occur. An empty table gives an empty result; without training documents every count is 0. Other columns are ignored.
@@ -40,6 +40,8 @@ REACH = 3
 END = b"\n"
 #: Bytes of text in a chunk.
 CHUNK = 7 << 20
+#: Nodes of the tree of counts that are merged into one.
+FAN = 16
 #: Strings spelled at a time.
 BLOCK = 50_000
 WORDS, GRAMS, TABLE = 0, 1, 2
@@ -150,7 +152,7 @@ class Chunk:
 
     def add(self, doc_id: int | None, held: bool, text: str) -> None:
         found = tokens(text)
-        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, held, len(found)))
+        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, held, len(found), sum(map(len, found)) + len(found) - 1))
         self.at.append(np.fromiter(map(self.index.__getitem__, found), dtype=np.int32, count=len(found)))
         self.size += len(text) + 64
 
@@ -189,6 +191,8 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 SCHEMA = "chunk long, kind int, part int, data binary"
+#: Of the tree: what a node asks for in a part, and the answers.
+NODE, ANSWER = "node long, part int, data binary", "node long, part int, data binary, answer binary"
 
 
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -208,23 +212,94 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         yield _batch(list(chunk.rows(parts)))
 
 
-def _answer_words(table: pa.Table) -> pa.Table:
-    """Each chunk's words with their counts over all chunks; n and v: this part's share of all tokens and distinct words."""
-    told, total = [], Counter()
-    for data in table["data"]:
-        (counts,), words = unpack(data.as_py())
-        words = words.split(b"\t")
-        told.append(words)
-        for w, c in zip(words, counts.tolist(), strict=True):
-            total[w] += c
-    back = [pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in told]
-    n, v = sum(total.values()), sum(c > 0 for c in total.values())
-    first = [1] + [0] * (len(back) - 1)
-    return pa.table({"chunk": table["chunk"], "kind": table["kind"], "part": table["part"], "data": pa.array(back, pa.binary()), "n": [n * x for x in first], "v": [v * x for x in first]})
+class Words:
+    """Words and their counts, packed; answers are counts over all chunks."""
+
+    @staticmethod
+    def merged(rows: list[bytes]) -> bytes:
+        total = Counter()
+        for data in rows:
+            (counts,), words = unpack(data)
+            for w, c in zip(words.split(b"\t"), counts.tolist(), strict=True):
+                total[w] += c
+        return pack(np.fromiter(total.values(), np.int64, len(total)), tail=b"\t".join(total))
+
+    @staticmethod
+    def spread(data: bytes, answer: bytes, asked: list[bytes]) -> list[bytes]:
+        """The answers to the words of data -> those to each one's of asked, which are among them."""
+        known = dict(zip(unpack(data)[1].split(b"\t"), unpack(answer)[0][0].tolist(), strict=True))
+        return [pack(np.fromiter(map(known.__getitem__, words), np.int64, len(words))) for words in (unpack(d)[1].split(b"\t") for d in asked)]
+
+
+class Grams:
+    """Distinct grams in order, as steps, and their counts, packed; answers are log10 probabilities."""
+
+    @staticmethod
+    def read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        (steps, counts), _ = unpack(data)
+        return steps.cumsum(), counts
+
+    @staticmethod
+    def summed(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        asked = [Grams.read(d) for d in rows]
+        return summed(np.concatenate([k for k, _ in asked]), np.concatenate([c for _, c in asked]))
+
+    @staticmethod
+    def merged(rows: list[bytes]) -> bytes:
+        keys, counts = Grams.summed(rows)
+        return pack(np.diff(keys, prepend=0), counts)
+
+    @staticmethod
+    def spread(data: bytes, answer: bytes, asked: list[bytes]) -> list[bytes]:
+        keys, logs = Grams.read(data)[0], np.frombuffer(zstandard.decompress(answer), np.float32)
+        return [zstandard.compress(logs[np.searchsorted(keys, Grams.read(d)[0])].tobytes(), 1) for d in asked]
+
+
+def _bytes(table: pa.Table, column: str = "data") -> list[bytes]:
+    return [d.as_py() for d in table[column]]
+
 
+class Tree:
+    """What chunks ask for (node, part, data), merged level by level."""
 
-def _asked(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(steps.cumsum(), counts) for (steps, counts), _ in (unpack(d.as_py()) for d in table["data"])]
+    def __init__(self, asked: DataFrame, kind: type, n: int):
+        """n: number of chunks."""
+        self.kind, self.levels = kind, [asked]
+
+        def merge(table: pa.Table) -> pa.Table:
+            return pa.table({"node": table["up"][:1], "part": table["part"][:1], "data": pa.array([kind.merged(_bytes(table))], pa.binary())})
+
+        while n > FAN:
+            n = -(-n // FAN)
+            up = self.levels[-1].withColumn("up", F.pmod("node", F.lit(n)))
+            self.levels[-1] = up
+            self.levels.append(written(up.groupBy("up", "part").applyInArrow(merge, NODE)))
+
+    @property
+    def top(self) -> DataFrame:
+        return self.levels[-1]
+
+    def answered(self, top: DataFrame) -> DataFrame:
+        """Answers to the top nodes (node, part, data, answer) -> node, part, answer for every chunk."""
+        kind = self.kind
+
+        def down(above: pa.Table, asked: pa.Table) -> pa.Table:
+            found = kind.spread(_bytes(above)[0], _bytes(above, "answer")[0], _bytes(asked))
+            return pa.table({"node": asked["node"], "part": asked["part"], "data": asked["data"], "answer": pa.array(found, pa.binary())})
+
+        for level in reversed(self.levels[:-1]):
+            top = top.groupBy("node", "part").cogroup(level.groupBy("up", "part")).applyInArrow(down, ANSWER)
+        return top.select("node", "part", "answer")
+
+
+def _answer_words(table: pa.Table) -> pa.Table:
+    """Each top node's words with their counts; n and v: this part's share of all tokens and distinct words."""
+    rows = _bytes(table)
+    data = Words.merged(rows)
+    counts = unpack(data)[0][0]
+    first = np.arange(len(rows)) == 0
+    found = Words.spread(data, pack(counts), rows)
+    return pa.table({"node": table["node"], "part": table["part"], "data": table["data"], "answer": pa.array(found, pa.binary()), "n": first * counts.sum(), "v": first * (counts > 0).sum()})
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -321,8 +396,7 @@ def below(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _below(table: pa.Table) -> pa.Table:
-    asked = _asked(table)
-    return pa.table(below(*summed(np.concatenate([k for k, _ in asked]), np.concatenate([c for _, c in asked]))))
+    return pa.table(below(*Grams.summed(_bytes(table))))
 
 
 def _totals(table: pa.Table) -> pa.Table:
@@ -330,7 +404,7 @@ def _totals(table: pa.Table) -> pa.Table:
     got: dict[int, list[tuple[int, bytes]]] = {WORDS: [], GRAMS: [], TABLE: []}
     for kind, part, data in zip(*(table[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
         got[kind].append((part, data))
-    (ids, null, held, n_tokens, n_words, n_places, word_at, word_n, place_at, place_n, end, head), raw = unpack(got[TABLE][0][1])
+    (ids, null, held, n_tokens, n_bytes, n_words, n_places, word_at, word_n, place_at, place_n, end, head), raw = unpack(got[TABLE][0][1])
     spelling = Spelling(raw.split(b"\t"))
     word_at, place_at, word_n, place_n = _unfold(word_at), _unfold(place_at), word_n + 1, place_n + 1
     parts = int(table["parts"][0].as_py())
@@ -349,33 +423,40 @@ def _totals(table: pa.Table) -> pa.Table:
         (tail if i < n_tails else front)[at] = np.add.reduceat(values[np.searchsorted(keys, k)], np.cumsum(m) - m)
     w, p = np.cumsum(n_words) - n_words, np.cumsum(n_places) - n_places
     logs, known, tails = (np.add.reduceat(word_n * v[word_at], w) for v in (np.log10(total + 1), (total > 0).astype(np.int64), tail))
-    return pa.table({"doc_id": pa.array(ids, mask=null == 1), "held_out": held == 1, "n_tokens": n_tokens, "n_known": known, "logs": logs, "score": tails + np.add.reduceat(place_n * front[place_at], p)})
+    return pa.table({"doc_id": pa.array(ids, mask=null == 1), "held_out": held == 1, "n_tokens": n_tokens, "n_bytes": n_bytes, "n_known": known, "logs": logs, "score": tails + np.add.reduceat(place_n * front[place_at], p)})
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2, parts: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10): one row per row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte (code length over the bytes of words, closing spaces and end): one row per row of docs."""
     doc_id = docs["doc_id"].cast("long")
     rows = docs.select(doc_id.alias("doc_id"), held_out(docs["doc_id"], folds, fold).alias("held_out"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     parts = parts or min(4096, max(64, rows.rdd.getNumPartitions() // 2))
     asked = written(rows.mapInArrow(lambda batches: _chunks(batches, parts), SCHEMA))
-    of = lambda kind: asked.where(F.col("kind") == kind)
-    words = written(of(WORDS).groupBy("part").applyInArrow(_answer_words, SCHEMA + ", n long, v long"))
-    n, v = (x or 0 for x in words.agg(F.sum("n"), F.sum("v")).first())
-    nodes = of(GRAMS).groupBy("part").applyInArrow(_below, "c1 long, prefix long, zeros double, ones double, log_p double")
+    n_chunks = asked.where(F.col("kind") == TABLE).count()
+    of = lambda kind: asked.where(F.col("kind") == kind).select(F.col("chunk").alias("node"), "part", "data")
+
+    words = Tree(of(WORDS), Words, n_chunks)
+    counted = written(words.top.groupBy("part").applyInArrow(_answer_words, ANSWER + ", n long, v long"))
+    n, v = (x or 0 for x in counted.agg(F.sum("n"), F.sum("v")).first())
+
+    grams_ = Tree(of(GRAMS), Grams, n_chunks)
+    nodes = grams_.top.groupBy("part").applyInArrow(_below, "c1 long, prefix long, zeros double, ones double, log_p double")
     top = tops([tuple(r) for r in nodes.groupBy("c1", "prefix").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_p")).collect()])  # at most 256 * 255 rows
 
     def answer(table: pa.Table) -> pa.Table:
-        told = _asked(table)
-        keys, counts = summed(np.concatenate([k for k, _ in told]), np.concatenate([c for _, c in told]))
-        logs = log10_probabilities(keys, counts, top).astype(np.float32)
-        back = [zstandard.compress(logs[np.searchsorted(keys, k)].tobytes(), 1) for k, _ in told]
-        return pa.table({"chunk": table["chunk"], "kind": table["kind"], "part": table["part"], "data": pa.array(back, pa.binary())})
-
-    grams_back = of(GRAMS).groupBy("part").applyInArrow(answer, SCHEMA)
-    back = of(TABLE).unionByName(words.drop("n", "v")).unionByName(grams_back).withColumn("parts", F.lit(parts))
-    out = back.groupBy("chunk").applyInArrow(_totals, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+        rows = _bytes(table)
+        keys, counts = Grams.summed(rows)
+        logs = zstandard.compress(log10_probabilities(keys, counts, top).astype(np.float32).tobytes(), 1)
+        found = Grams.spread(pack(np.diff(keys, prepend=0), counts), logs, rows)
+        return pa.table({"node": table["node"], "part": table["part"], "data": table["data"], "answer": pa.array(found, pa.binary())})
+
+    of_words, of_grams = words.answered(counted.drop("n", "v")), grams_.answered(grams_.top.groupBy("part").applyInArrow(answer, ANSWER))
+    told = lambda df, kind: df.select(F.col("node").alias("chunk"), F.lit(kind).alias("kind"), "part", F.col("answer").alias("data"))
+    back = asked.where(F.col("kind") == TABLE).unionByName(told(of_words, WORDS)).unionByName(told(of_grams, GRAMS)).withColumn("parts", F.lit(parts))
+    out = back.groupBy("chunk").applyInArrow(_totals, "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(n + v + 1))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
 def op9_ctw(spark, sf_dir):

@@ -83,6 +83,7 @@ def test_against_brute_force(spark, sf):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(found), sum(c[w] > 0 for w in found), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in found), rel_tol=1e-9)
         assert math.isclose(r.score, sum(logs[u] for u in units(found)), rel_tol=1e-7)
+        assert math.isclose(r.bits_per_byte, -r.score * math.log2(10) / len(b" ".join(found)))
 
 
 def test_bytes_of_a_context_sum_to_one():
@@ -105,3 +106,21 @@ def test_edges(spark):
     assert [g[:2] for g in got] == [(0, 30_001), (1, 1), (2, 1), (3, 3), (3, 3)]
     assert all(g[3] for g in got)
     assert ctw.score(docs.limit(0)).count() == 0
+
+
+def test_a_tree_of_many_chunks(spark, monkeypatch):
+    """Small chunks, merged two by two over several levels, give the same as one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: tuple(r) for r in ctw.score(docs).collect()}
+    monkeypatch.setattr(ctw, "FAN", 2)
+    chunks = ctw._chunks
+
+    def small(batches, parts):  # a chunk for each batch of a few rows
+        for batch in batches:
+            for i in range(0, batch.num_rows, 9):
+                yield from chunks([batch.slice(i, 9)], parts)
+
+    monkeypatch.setattr(ctw, "_chunks", small)
+    got = {r.doc_id: tuple(r) for r in ctw.score(docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(g[:5] == w[:5] and all(math.isclose(x, y, rel_tol=1e-6) for x, y in zip(g[5:], w[5:], strict=True)) for g, w in ((got[i], want[i]) for i in want))

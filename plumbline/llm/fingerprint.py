@@ -1,6 +1,8 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
-Every run of GRAM characters is hashed as it rolls over the text; in every window of WINDOW consecutive hashes the
+Every run of GRAM characters has a rolling hash, the cyclic polynomial: with a 64-bit hash T of each character, the hash of a run is the XOR of its characters' T, each turned
+left once for every character that follows it in the run. Turning the hash of a run and adding the next run's gives that of both together, H(xy) = turn(H(x), |y|) ^ H(y), so all runs of a text are
+hashed by doubling, 1, 2, 4, 8 characters, without cutting them out. In every window of WINDOW consecutive hashes the
 smallest is selected, the rightmost of equals, with its position. Any match of GRAM + WINDOW - 1 characters between two texts
 therefore shares a selected hash. Texts are cut into overlapping pieces of PIECE windows, so that no array grows with a text but the
 selection itself. A text shorter than a gram is one gram; one with fewer grams than a window is one window.
@@ -14,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: GRAM and WINDOW are powers of two.
 GRAM, WINDOW, PIECE = 8, 8, 512
+#: Ranges of ids at most. With more rows, ranges grow; they are sorted with spilling and walked one row at a time.
+RANGES = 65_536
 #: Low bits of a selected value: its place within a piece, counted from the right so that the rightmost of equals is smallest.
 PLACE = 10
 _MASK = (1 << PLACE) - 1
@@ -26,20 +31,38 @@ def _each(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _least_of_next(values: Column, step: int) -> Column:
-    """The smaller of each value and the one `step` further; shorter by `step`."""
-    return _each(values, lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - step, F.lit(0))), F.slice(v, step + 1, F.greatest(F.size(v) - step, F.lit(0))), lambda x, y: F.least(x, y)))
+def _next_to(values: Column, step: int, f) -> Column:
+    """f of each value and the one `step` further; shorter by `step`."""
+    left = lambda v: F.greatest(F.size(v) - step, F.lit(0))
+    return _each(values, lambda v: F.zip_with(F.slice(v, 1, left(v)), F.slice(v, step + 1, left(v)), f))
+
+
+def _turned(h: Column, by: int) -> Column:
+    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by))
+
+
+def _rolled_by(step: int):
+    return lambda x, y: _turned(x, step).bitwiseXOR(y)
+
+
+def gram_hashes(piece: Column, whole: Column) -> Column:
+    """Rolling hashes of the runs of GRAM characters; of the piece itself if it is a whole text below that."""
+    single = F.transform(F.split(piece, F.lit("")), lambda c: F.xxhash64(c))
+    rolled, step = single, 1
+    while step < GRAM:
+        rolled, step = _next_to(rolled, step, _rolled_by(step)), step * 2
+    short = F.array(F.aggregate(single, F.lit(0).cast("long"), lambda a, x: _turned(a, 1).bitwiseXOR(x)))
+    return F.when(F.length(piece) >= GRAM, rolled).otherwise(F.when(whole & (piece != ""), short).otherwise(F.array().cast("array<bigint>")))
 
 
 def _select(piece: Column, whole: Column) -> Column:
     """Selected values of one piece. whole: the piece is the beginning of its text, so that it has a window however short it is."""
-    grams = F.when(F.length(piece) >= GRAM, F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))).otherwise(F.when(whole & (piece != ""), F.array(piece)).otherwise(F.array().cast("array<string>")))
-    hashes = F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~_MASK)) + (_MASK - i))
+    hashes = F.transform(gram_hashes(piece, whole), lambda h, i: h.bitwiseAND(F.lit(~_MASK)) + (_MASK - i))
 
     def windows(h: Column) -> Column:
         step, out = 1, h
         while step < WINDOW:
-            out, step = _least_of_next(out, step), step * 2
+            out, step = _next_to(out, step, lambda x, y: F.least(x, y)), step * 2
         return F.when(F.size(h) >= WINDOW, F.array_distinct(out)).otherwise(F.when(whole & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.array().cast("array<bigint>")))
 
     return _each(hashes, windows)
@@ -90,6 +113,18 @@ def _cuts(docs: DataFrame, buckets: int) -> list[int]:
     return sorted({int(x) for x in got})
 
 
+def _bucket(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are not above key, found in two steps."""
+    if not cuts:
+        return F.lit(0)
+    n = int(len(cuts) ** 0.5) + 1
+    groups = [cuts[i : i + n] for i in range(0, len(cuts), n)]
+    below = lambda edges: F.size(F.filter(edges, lambda c: c <= key))
+    group = below(F.lit([g[0] for g in groups]).cast("array<bigint>")) - 1
+    rows = F.array(*[F.lit(g).cast("array<bigint>") for g in groups])
+    return F.when(group < 0, 0).otherwise(group * n + below(F.get(rows, F.greatest(group, F.lit(0)))))
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each document with the next one (by descending doc_id; after the last comes the first), worked out in ranges of ids.
 
@@ -99,21 +134,17 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(rows, buckets or min(4096, 16 * shuffle))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(edges, lambda c: c <= key))
+    cuts = _cuts(rows, buckets or min(RANGES, 16 * shuffle))
+    bucket = _bucket(F.coalesce("doc_id", F.lit(-(1 << 63))), cuts)
     ids = rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top"))
     tops = sorted(ids.collect(), key=lambda r: -r.bucket)  # at most one row a range
     order = [r.bucket for r in tops]
     guest_of = dict(zip(order, order[-1:] + order[:-1], strict=True))  # the range before, around the end
     top = {r.bucket: r.top for r in tops}
-    if order:
-        hosts = F.create_map(*[F.lit(x) for b in order for x in (b, guest_of[b])])
-        firsts = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(top[b]).cast("long"))])
-        host = F.when(F.col("doc_id").eqNullSafe(firsts[F.col("bucket")]), hosts[F.col("bucket")])
-    else:
-        host = F.lit(None).cast("int")
+    all_ranges = range(len(cuts) + 1)
+    hosts = F.lit([guest_of.get(b, 0) for b in all_ranges]).cast("array<int>")
+    firsts = F.array(*[F.lit(top.get(b)).cast("long") for b in all_ranges])
+    host = F.when(F.col("doc_id").eqNullSafe(F.get(firsts, F.col("bucket"))), F.get(hosts, F.col("bucket")))
     seats = F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("guest")), F.when(F.col("host").isNotNull(), F.struct(F.col("host").alias("at"), F.lit(True).alias("guest")))))
     placed = rows.withColumn("bucket", bucket).withColumn("host", host).select("doc_id", "text", F.explode(seats).alias("s")).select("doc_id", "text", "s.at", "s.guest")
     dealt = placed.repartition("at").sortWithinPartitions("at", "guest", F.col("doc_id").desc_nulls_last(), "text")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import fingerprint as fp
 
 SF = "/root/testdata/sf0.001"
@@ -18,19 +20,43 @@ def picked(hashes):
     return out
 
 
+def turned(h, by):
+    return (h << by | h >> (64 - by)) & (1 << 64) - 1 if by else h
+
+
 def test_selection_matches_the_definition(spark):
+    """Hashes rolled one character at a time, and windows by the definition."""
     rng = random.Random(5)
     texts = ["", "a", "abcdefg", "abcdefgh", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "é🙂" * 700] + ["".join(rng.choices("ab \n", k=n)) for n in (14, 15, 16, 510, 526, 527, 1024, 1500, 4000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    grams = sorted({t[i : i + fp.GRAM] if len(t) >= fp.GRAM else t for t in texts for i in range(max(1, len(t) - fp.GRAM + 1)) if t})
-    g = spark.createDataFrame([(x,) for x in grams], "g string")
-    hashed = {r.g: r.h for r in g.selectExpr("g", f"xxhash64(g) & {~fp._MASK} AS h").collect()}
+    letters = spark.createDataFrame([(x,) for x in sorted(set("".join(texts)))], "c string")
+    hashed = {r.c: r.h & (1 << 64) - 1 for r in letters.selectExpr("c", "xxhash64(c) AS h").collect()}
+
+    def rolled(t):
+        h, out = 0, []
+        for i, c in enumerate(t):
+            h = turned(h, 1) ^ hashed[c]
+            if i >= fp.GRAM:
+                h ^= turned(hashed[t[i - fp.GRAM]], fp.GRAM)
+            if i >= fp.GRAM - 1:
+                out.append(h)
+        return out or [h] * bool(t)
+
+    signed = lambda h: (h - (1 << 64) if h >> 63 else h) & ~fp._MASK
     for r in fp.fingerprint(docs).collect():
-        t = texts[r.doc_id]
-        h = [hashed[t[i : i + fp.GRAM]] for i in range(len(t) - fp.GRAM + 1)] if len(t) >= fp.GRAM else [hashed[t]] if t else []
+        h = [signed(x) for x in rolled(texts[r.doc_id])]
         assert [(x.position, x.hash) for x in r.hashes] == sorted((p, h[p]) for p in picked(h)), r.doc_id
 
 
+def test_buckets(spark):
+    rng = random.Random(1)
+    for n in (0, 1, 2, 3, 9, 50):
+        cuts = sorted(rng.sample(range(-100, 100), n))
+        keys = list(range(-105, 105))
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", fp._bucket(F.col("k"), cuts).alias("b")).collect()
+        assert all(r.b == sum(c <= r.k for c in cuts) for r in got)
+
+
 def edit(text, following):
     n = len(text) // 3
     return text[: len(text) - n] + following[:n]
@@ -60,7 +86,7 @@ def test_whole_table(spark):
 
 def test_edges(spark):
     rows = [(5, ""), (9, "x"), (-3, "long text " * 3000), (10**12, "abc"), (6, ""), (7, "abcdefghijklmnopqrstuvwxyz" * 40)]
-    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, fingerprint string")
+    docs = spark.createDataFrame([(i, t, "z", 1, "q", 2) for i, t in rows], "doc_id long, text string, fingerprint string, at int, sel string, host int")
     check(spark, rows, fp.edited(docs).collect())
     assert fp.edited(docs.limit(0)).count() == 0
     one = fp.edited(docs.where("doc_id = 7")).collect()

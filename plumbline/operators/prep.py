@@ -68,6 +68,20 @@ def training_medians(df: DataFrame, columns: list[str], folds: int = FOLDS) -> D
     return found.groupBy(*at).agg(F.avg("value").alias("number"))
 
 
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The exact median of each column over all rows; a column without values has none. With all rows in the first of two folds, they are what trains the second."""
+    return {r.column: r.number for r in training_medians(df.withColumn("pli", F.lit(1)), columns, 2).where("pli = 2").collect()}
+
+
+def require_few_categories(df: DataFrame, columns: list[str]) -> None:
+    """An error where a column has more than MAX_CATEGORIES categories, counted within one percent."""
+    if columns:
+        n = df.agg(*[F.approx_count_distinct(F.col(c).cast("string"), 0.01).alias(c) for c in columns]).first().asDict()
+        wide = {c: k for c, k in n.items() if k > 1.02 * MAX_CATEGORIES}
+        if wide:
+            raise ValueError(f"categories, over {MAX_CATEGORIES}: {wide}")
+
+
 def training_modes(df: DataFrame, columns: list[str], folds: int = FOLDS) -> DataFrame:
     """column, pli, text: the most frequent value, the smallest of equals."""
     if not columns:
@@ -122,7 +136,10 @@ def one_hot_columns(df: DataFrame, column: str, categories: list[str]) -> DataFr
 
 
 def encoder_stages(numeric: list[str], categorical: list[str], output: str = "features") -> list:
-    """Stages of an ML pipeline: alphabetic indices, one-hot blocks without a dropped category, one vector with numeric columns first."""
+    """Stages of an ML pipeline: alphabetic indices, one-hot blocks without a dropped category, one vector with numeric columns first.
+
+    The labels of each column come to the driver: see require_few_categories.
+    """
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
     stages = []

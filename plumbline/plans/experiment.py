@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import formats
 from plumbline.functions.metrics import NAMES, compute_metrics, improvement_pct
-from plumbline.operators import split
+from plumbline.operators import prep, split
 from plumbline.operators.columns import Dataset, categorical_columns, numeric_columns
 from plumbline.plans.models import default_models
 from plumbline.sources.tables import from_records, write_csv
@@ -23,9 +23,10 @@ def cross_validate(rows: DataFrame, data: Dataset, models: dict) -> DataFrame:
     """DETAIL: a row for each model and fold, in that order. Only dev rows are read: the holdout has no fold."""
     records = []
     for name, model in models.items():
-        predictions, seconds = model.predictions(rows, data)
-        found = {r.pli: r for r in compute_metrics(predictions, "y", "prediction", ["pli"]).collect()}  # one row a fold
-        records += [{"modele": name, "pli": i, "temps_s": seconds[i], **{m: r[m] for m in NAMES}} for i, r in sorted(found.items())]
+        predicted = model.predictions(rows, data)
+        found = {r.pli: r for r in compute_metrics(predicted.rows, "y", "prediction", ["pli"]).collect()}  # one row a fold
+        predicted.release()
+        records += [{"modele": name, "pli": i, "temps_s": predicted.seconds[i], **{m: r[m] for m in NAMES}} for i, r in sorted(found.items())]
     return from_records(rows.sparkSession, records, DETAIL)
 
 
@@ -57,13 +58,25 @@ def report(detail: DataFrame) -> DataFrame:
     return rows.select("modele", line.alias("line"))
 
 
-def describe(data: Dataset) -> DataFrame:
-    """One row: rows, columns, features, and the target's median, smallest and largest value, cut to whole numbers."""
-    y = F.col(data.target)
-    return data.df.agg(
-        F.count("*").alias("n_rows"), F.lit(len(data.df.columns)).cast("long").alias("n_columns"), F.lit(len(data.features)).cast("long").alias("n_features"),
-        F.median(y).cast("long").alias("median_y"), F.min(y).cast("long").alias("min_y"), F.max(y).cast("long").alias("max_y"),
-    )
+def shape(data: Dataset) -> DataFrame:
+    """One row: rows, columns, features."""
+    return data.df.agg(F.count("*").alias("n_rows"), F.lit(len(data.df.columns)).cast("long").alias("n_columns"), F.lit(len(data.features)).cast("long").alias("n_features"))
+
+
+def extent(data: Dataset) -> DataFrame:
+    """One row: the target's smallest and largest value, cut to whole numbers."""
+    return data.df.agg(F.min(data.target).cast("long").alias("min_y"), F.max(data.target).cast("long").alias("max_y"))
+
+
+def middle(data: Dataset) -> DataFrame:
+    """One row: the target's exact median, cut to a whole number. It is found by counts between approximate quantiles, not by one aggregate of all values."""
+    found = prep.medians(data.df, [data.target]).get(data.target)
+    return from_records(data.df.sparkSession, [{"median_y": None if found is None else int(found)}], "median_y long")
+
+
+def describe(data: Dataset) -> dict[str, int | None]:
+    """What an experiment says of its table: shape, median and extent."""
+    return {k: v for row in (shape(data), middle(data), extent(data)) for k, v in row.first().asDict().items()}
 
 
 def run(data: Dataset, out_dir: str, models: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +84,7 @@ def run(data: Dataset, out_dir: str, models: dict | None = None) -> tuple[DataFr
     models = default_models() if models is None else models
     rows = folded(data)
     write_csv(split.holdout_ids(data.df, data.key), f"{out_dir}/holdout_ids")
+    print(", ".join(f"{name} {value}" for name, value in describe(data).items()))
     print(f"{len(numeric_columns(data.df, data.features))} numeric and {len(categorical_columns(data.df, data.features))} categorical columns")
     detail = cross_validate(rows, data, models)
     write_csv(detail, f"{out_dir}/cv_scores")

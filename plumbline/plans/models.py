@@ -1,4 +1,4 @@
-"""The models of an experiment: a constant mean, and gradient-boosted trees."""
+"""The models of an experiment: a constant mean, and gradient-boosted trees; and how a pipeline of stages is cross-validated."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,18 @@ from plumbline.operators import prep
 from plumbline.operators.columns import Dataset, categorical_columns, numeric_columns
 from plumbline.operators.split import FOLDS, train_rows, valid_rows
 
-#: Predictions are pli, key, y, prediction; seconds are those of fit and predict, by fold.
-Predictions = tuple[DataFrame, dict[int, float]]
+
+@dataclass
+class Predictions:
+    """rows: pli, key, y, prediction. seconds: those of fit and predict, by fold. held: what is persisted meanwhile."""
+
+    rows: DataFrame
+    seconds: dict[int, float]
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def dummy_predictions(folded: DataFrame, key: str, target: str, folds: int = FOLDS) -> DataFrame:
@@ -38,7 +49,52 @@ class Dummy:
         start = time.perf_counter()
         out.write.format("noop").mode("overwrite").save()
         each = round((time.perf_counter() - start) / FOLDS, 2)  # all folds are one job
-        return out, dict.fromkeys(range(1, FOLDS + 1), each)
+        return Predictions(out, dict.fromkeys(range(1, FOLDS + 1), each))
+
+
+class MeanRegressor(Estimator):
+    """The constant mean as the last stage of a pipeline: predicts the mean of a label column, whatever the features."""
+
+    def __init__(self, label: str, prediction: str = "prediction"):
+        super().__init__()
+        self.label, self.prediction = label, prediction
+
+    def _fit(self, dataset: DataFrame) -> MeanModel:
+        return MeanModel(dataset.agg(F.avg(self.label)).first()[0], self.prediction)
+
+
+class MeanModel(Model):
+    def __init__(self, mean: float | None, prediction: str):
+        super().__init__()
+        self.mean, self.prediction = mean, prediction
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.prediction, F.lit(self.mean).cast("double"))
+
+
+def cross_fitted(folded: DataFrame, data: Dataset, last: Callable[[], Estimator], parallel: int = FOLDS) -> tuple[list[DataFrame], dict[int, float], DataFrame]:
+    """A pipeline for each fold: imputed columns, encoders, and the stage that last() makes (label `_y`), fitted on the training rows and applied to the validation rows, folds side by side.
+
+    Returns the validation rows of each fold with all that the pipeline adds, persisted; seconds of fit and predict; the persisted dev rows. All statistics are of
+    training rows. A text column of more than prep.MAX_CATEGORIES categories is an error, as the vectors' width would grow with the data.
+    """
+    numeric, categorical = numeric_columns(data.df, data.features), categorical_columns(data.df, data.features)
+    dev = folded.where("pli IS NOT NULL").withColumn("_y", F.col(data.target).cast("double")).persist()
+    prep.require_few_categories(dev, categorical)
+    known = prep.statistics_by_fold(dev, numeric, categorical)
+
+    def one(fold: int) -> tuple[DataFrame, float]:
+        have = known[fold]
+        num, cat = [c for c in numeric if c in have], [c for c in categorical if c in have]  # columns without any value go
+        train, valid = (prep.impute(rows, num, cat, known, fold) for rows in (train_rows(dev, fold), valid_rows(dev, fold)))
+        start = time.perf_counter()
+        out = Pipeline(stages=[*prep.encoder_stages(num, cat), last()]).fit(train).transform(valid).persist()
+        out.count()  # transform alone computes nothing; what it gives is kept for the metrics
+        return out, round(time.perf_counter() - start, 2)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        results = list(pool.map(one, range(1, FOLDS + 1)))
+    return [rows for rows, _ in results], {i: s for i, (_, s) in enumerate(results, 1)}, dev
 
 
 @dataclass
@@ -53,29 +109,14 @@ class BoostedTrees:
     parallel: int = FOLDS
 
     def predictions(self, folded: DataFrame, data: Dataset) -> Predictions:
-        from pyspark.ml import Pipeline
         from pyspark.ml.regression import GBTRegressor
 
-        numeric, categorical = numeric_columns(data.df, data.features), categorical_columns(data.df, data.features)
-        dev = folded.where("pli IS NOT NULL").withColumn("_y", F.col(data.target).cast("double")).cache()
-        known = prep.statistics_by_fold(dev, numeric, categorical)
-
-        def one(fold: int) -> tuple[DataFrame, float]:
-            have = known[fold]
-            num, cat = [c for c in numeric if c in have], [c for c in categorical if c in have]  # columns without any value go
-            train, valid = (prep.impute(rows, num, cat, known, fold) for rows in (train_rows(dev, fold), valid_rows(dev, fold)))
-            start = time.perf_counter()
-            model = Pipeline(stages=[*prep.encoder_stages(num, cat), GBTRegressor(featuresCol="features", labelCol="_y", **self.params)]).fit(train)
-            out = model.transform(valid).select("pli", data.key, F.col("_y").alias("y"), "prediction")
-            out.write.format("noop").mode("overwrite").save()  # transform alone computes nothing
-            return out, round(time.perf_counter() - start, 2)
-
-        with ThreadPoolExecutor(self.parallel) as pool:
-            results = list(pool.map(one, range(1, FOLDS + 1)))
-        out = results[0][0]
-        for rows, _ in results[1:]:
-            out = out.unionByName(rows)
-        return out, {i: s for i, (_, s) in enumerate(results, 1)}
+        parts, seconds, dev = cross_fitted(folded, data, lambda: GBTRegressor(featuresCol="features", labelCol="_y", **self.params), self.parallel)
+        out = None
+        for rows in parts:
+            own = rows.select("pli", data.key, F.col("_y").alias("y"), "prediction")
+            out = own if out is None else out.unionByName(own)
+        return Predictions(out, seconds, [dev, *parts])
 
 
 def default_models() -> dict[str, Callable]:

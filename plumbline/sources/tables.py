@@ -13,13 +13,13 @@ MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 # End of the fixed values.
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """A CSV file or folder with a header. MISSING texts become NULL in every column.
 
     Without a schema, types are inferred as bigint, double, boolean or string, in that order, in one pass over all rows. With one, a
-    value that is not of its type becomes NULL. Quoted line ends belong to their value.
+    value that is not of its type becomes NULL. With multi_line, quoted line ends belong to their value, and a file is read by one task; without, files are split.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', nullValue="", emptyValue="")
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue="", emptyValue="")
     clean = raw.select(*[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if schema is not None:
         fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields

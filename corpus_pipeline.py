@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the smallest doc_id."""
+    """Of each group of near-duplicates, the row with the smallest doc_id: shingles of five words, as for every stage that no contract sets otherwise (op7_neardup's has four)."""
     return without_near_copies(docs)
 
 

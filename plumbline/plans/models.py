@@ -16,6 +16,9 @@ from plumbline.operators import prep
 from plumbline.operators.columns import Dataset, categorical_columns, numeric_columns
 from plumbline.operators.split import FOLDS, train_rows, valid_rows
 
+#: Rows a task of a fit.
+ROWS = 100_000
+
 
 @dataclass
 class Predictions:
@@ -80,6 +83,8 @@ def cross_fitted(folded: DataFrame, data: Dataset, last: Callable[[], Estimator]
     """
     numeric, categorical = numeric_columns(data.df, data.features), categorical_columns(data.df, data.features)
     dev = folded.where("pli IS NOT NULL").withColumn("_y", F.col(data.target).cast("double")).persist()
+    # a level of a tree is a job over the rows of a fold: as few tasks as these rows need
+    dev = dev.coalesce(max(1, -(-dev.count() // ROWS)))
     prep.require_few_categories(dev, categorical)
     known = prep.statistics_by_fold(dev, numeric, categorical)
 

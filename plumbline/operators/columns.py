@@ -34,6 +34,12 @@ def has_columns(df: DataFrame, names: list[str]) -> dict[str, bool]:
     return {n: n in df.columns for n in names}
 
 
+def presence(df: DataFrame, descriptions: dict[str, str]) -> DataFrame:
+    """name, description, present, in the order given: which of some documented columns a table has."""
+    found = has_columns(df, list(descriptions))
+    return df.sparkSession.createDataFrame([(n, text, found[n]) for n, text in descriptions.items()], "name string, description string, present boolean")
+
+
 def drop(df: DataFrame, names: list[str]) -> DataFrame:
     """df without some columns. Spark's own drop ignores unknown names; here they are an error."""
     require(df, names)

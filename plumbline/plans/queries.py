@@ -110,6 +110,12 @@ def has_cols(spark, sf_dir):
     return spark.createDataFrame(list(found.items()), "name string, present boolean")
 
 
+@query("""SELECT * FROM (VALUES ('p_size', 'size in units', true), ('p_type', 'material and finish', true), ('p_colour', 'colour of the surface', false)) v(name, description, present)""")
+def column_report(spark, sf_dir):
+    """Documented columns, with what they mean and whether the table has them."""
+    return C.presence(T.part(spark, sf_dir).df, {"p_size": "size in units", "p_type": "material and finish", "p_colour": "colour of the surface"})
+
+
 # --- split and folds
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of each cache in a worker; a full cache is emptied.
-CACHE = 500_000
+#: Entries of each cache in a worker; a full cache, mostly of words that occur once, is emptied, and the frequent ones are soon back.
+CACHE = 100_000
 #: Bytes of text after which a batch of results is handed back.
 FLUSH = 4 << 20
 END = "</w>"

@@ -41,7 +41,8 @@ FEW, DEEP = 48, 1024
 COPY = 256
 #: Members of a list, about, whose differences set the order of the differences.
 SAMPLE = 24
-CACHE = 400_000
+#: Entries; words that occur once fill it, and the frequent ones are soon back after it is emptied.
+CACHE = 100_000
 
 
 def least_common(percent: int, k: int = K, miss: float = MISS) -> int:

@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from operator import add
 
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of each cache in a worker; a full cache, mostly of words that occur once, is emptied, and the frequent ones are soon back.
-CACHE = 100_000
+#: Entries of a generation of each cache in a worker: ids of what stands between white space, and of fragments.
+CHUNKS, FRAGMENTS = 200_000, 100_000
 #: Bytes of text after which a batch of results is handed back.
 FLUSH = 4 << 20
 END = "</w>"
@@ -45,16 +45,19 @@ def byte_letters() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
-class _Chunks(dict):
-    """Ids of what stands between white space, worked out when first asked for."""
+class _Recent(dict):
+    """Ids of texts, worked out by `make` when first asked for. Of the last `limit` entries and as many before, those asked for again stay."""
 
-    def __init__(self, enc: Encoder):
-        self.enc = enc
+    def __init__(self, make: Callable[[str], tuple[int, ...]], limit: int):
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = self.enc.chunk(text)
+        ids = self.old.pop(text, None)
+        if ids is None:
+            ids = self.make(text)
         if len(text) < 64:
-            if len(self) >= CACHE:
+            if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -82,8 +85,7 @@ class Encoder:
             self.inside.update(body[i : i + 2] for i in range(len(body) - 1 - last))
             if last and len(body) > 1:
                 self.inside.add(body[-2:] + END)
-        self.fragments: dict[str, tuple[int, ...]] = {}
-        self.chunks = _Chunks(self)
+        self.fragments, self.chunks = _Recent(self.merge, FRAGMENTS), _Recent(self.chunk, CHUNKS)
 
     def cut(self, word: str) -> list[str]:
         """Fragments of a word in byte letters; the last one carries END."""
@@ -146,14 +148,7 @@ class Encoder:
         for word in self.words.findall(text):
             plain = word.isascii() and word.isprintable()  # such bytes stand for themselves
             for fragment in self.cut(word if plain else "".join([letters[b] for b in word.encode()])):
-                ids = known.get(fragment)
-                if ids is None:
-                    ids = self.merge(fragment)
-                    if len(fragment) < 64:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[fragment] = ids
-                out.extend(ids)
+                out.extend(known[fragment])
         return tuple(out)
 
     def split(self, text: str) -> list[str]:

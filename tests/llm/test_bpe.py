@@ -84,3 +84,14 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "some words", "t", 1)], "doc_id long, text string, _text string, kept int")
     got = bpe(docs, keep=docs.columns)
     assert got.columns == [*docs.columns, "n_tokens", "ids", "decoded"] and got.first().kept == 1
+
+
+def test_small_caches_change_nothing(both, monkeypatch):
+    from plumbline.llm import bpe as module
+
+    monkeypatch.setattr(module, "CHUNKS", 3)
+    monkeypatch.setattr(module, "FRAGMENTS", 2)
+    with open(public_vocabulary(), encoding="utf-8") as f:
+        small = Encoder(f.read())
+    text = " ".join(random.Random(3).choices(["one", "two,", "three", "fourfold", "x-y", "again.", "Zürich"], k=300))
+    assert small.encode(text) == both[0].encode(text)

@@ -53,10 +53,14 @@ TITLES = {
     "ISC": ["ISC License (ISC)", "The ISC License"],
     "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
     "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
 }
+UNLICENSE_END = "For more information, please refer to <https://unlicense.org/>"
 # End of the fixed values.
-#: Whole texts as Debian's base-files ships them; a file is named by its licence.
+#: Whole texts as the system's copyright files have them; a file is named by its licence.
 TEXTS = Path(__file__).with_name("license_texts")
 END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 
@@ -76,6 +80,9 @@ def known_texts() -> list[tuple[str, str]]:
     two = [t[: t.index("3. Neither")] + t[t.index("THIS SOFTWARE IS") :] for t in three]
     for name, texts in (("BSD-3-Clause", three), ("BSD-2-Clause", two)):
         plain[name] = [v for t in texts for v in (t, t.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* "))]
+    for name in ("BSL-1.0", "Unlicense", "Zlib"):
+        plain[name] = [(TEXTS / f"{name}.txt").read_text(encoding="utf-8")]
+    plain["Unlicense"].append(plain["Unlicense"][0] + "\n" + UNLICENSE_END)
     return found + [(name, f"{title}\n\n{t}") for name, texts in plain.items() for t in texts for title in ["", *TITLES[name]]]
 
 

@@ -34,7 +34,8 @@ def test_wrapped_texts(spark):
     """A line that a wrap begins with `copyright` is prose, in every known text at every width."""
     head = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n"
     rows, want = [], []
-    for license_id, text in licenses.KNOWN:
+    short = [(name, (licenses.TEXTS / f"{name}.txt").read_text()) for name in ("BSL-1.0", "Unlicense", "Zlib")]
+    for license_id, text in [*licenses.KNOWN, *short]:
         for width in range(24, 121):
             want.append(license_id)
             rows.append((len(rows), head + "\n".join(textwrap.fill(part, width) for part in text.split("\n"))))
@@ -56,11 +57,12 @@ def test_whole_texts_and_titles(spark):
     """Whole texts as the system ships them, and usual titles."""
     head = "Copyright (c) 2020 Someone\n\n"
     named = {path.stem: path.read_text() for path in licenses.TEXTS.glob("*.txt")}
-    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause"} <= set(named)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause", "EPL-1.0"} <= set(named)
     bsd = named["BSD-3-Clause"].replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR").replace("the University", "the copyright holder")
     rows = [*named.items(), ("MIT", "The MIT License (MIT)\n\n" + head + licenses.MIT), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + head + bsd)]
     rows.append(("BSD-2-Clause", "BSD 2-Clause License\n\n" + head + bsd[: bsd.index("3. ")] + bsd[bsd.index("THIS SOFTWARE") :]))
     rows.append(("Apache-2.0", named["Apache-2.0"][: named["Apache-2.0"].index("APPENDIX")]))
+    rows += [("Unlicense", "The Unlicense\n\n" + named["Unlicense"] + "\nFor more information, please refer to <http://unlicense.org>\n"), ("Zlib", "zlib License\n\n" + head + named["Zlib"]), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + named["BSL-1.0"])]
     docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
     assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]

@@ -74,3 +74,13 @@ def test_long_conversation_without_id(spark):
     assert [got[w].first_turn + got[w].n_own for w in range(len(got) - 1)] == [got[w].first_turn for w in range(1, len(got))]
     # 10 tokens a turn: 51 turns fit at first, then 48 beside the system turn and two repeated ones
     assert [(got[w].n_own, got[w].n_repeated) for w in (0, 1, 1000)] == [(51, 0), (48, 3), (48, 3)]
+
+
+def test_clashing_names(spark):
+    """Columns that the operator has names for itself change nothing."""
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "one two three"), (1, 2, "assistant", "four"), (2, 0, "user", None)]
+    extra = "window long, i long, tokens string, upto int, formatted string, loss string, start int, n_own int, place int, at int, talk int, shown string, written int"
+    plain = spark.createDataFrame(rows, SCHEMA)
+    clashing = spark.createDataFrame([(*r, 1, 2, "t", 3, "f", "l", 4, 5, 6, 7, 8, "s", 9) for r in rows], f"{SCHEMA}, {extra}")
+    one, two = (sorted(map(repr, chat.format_chats(df, budget=12).collect())) for df in (plain, clashing))
+    assert one == two

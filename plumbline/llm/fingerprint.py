@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
-Every run of GRAM characters has a rolling hash, the cyclic polynomial: with a 64-bit hash T of each character, the hash of a run is the XOR of its characters' T, each turned
-left once for every character that follows it in the run. Turning the hash of a run and adding the next run's gives that of both together, H(xy) = turn(H(x), |y|) ^ H(y), so all runs of a text are
-hashed by doubling, 1, 2, 4, 8 characters, without cutting them out. In every window of WINDOW consecutive hashes the
+Every run of GRAM characters has a rolling hash: with a 64-bit hash T of each character, a character that is added shifts the hash by one bit, h = (h << 1) ^ T(new), and one that leaves
+is taken off, h ^ (T(old) << GRAM). So H(xy) = (H(x) << |y|) ^ H(y), and all runs of a text are hashed by doubling, 1, 2, 4, 8 characters, without cutting them out; the bits above PLACE,
+which alone count, depend on every character of a run. In every window of WINDOW consecutive hashes the
 smallest is selected, the rightmost of equals, with its position. Any match of GRAM + WINDOW - 1 characters between two texts
 therefore shares a selected hash. Texts are cut into overlapping pieces of PIECE windows, so that no array grows with a text but the
 selection itself. A text shorter than a gram is one gram; one with fewer grams than a window is one window.
@@ -37,12 +37,8 @@ def _next_to(values: Column, step: int, f) -> Column:
     return _each(values, lambda v: F.zip_with(F.slice(v, 1, left(v)), F.slice(v, step + 1, left(v)), f))
 
 
-def _turned(h: Column, by: int) -> Column:
-    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by))
-
-
-def _rolled_by(step: int):
-    return lambda x, y: _turned(x, step).bitwiseXOR(y)
+def _joined(step: int):
+    return lambda x, y: F.shiftleft(x, step).bitwiseXOR(y)
 
 
 def gram_hashes(piece: Column, whole: Column) -> Column:
@@ -50,8 +46,8 @@ def gram_hashes(piece: Column, whole: Column) -> Column:
     single = F.transform(F.split(piece, F.lit("")), lambda c: F.xxhash64(c))
     rolled, step = single, 1
     while step < GRAM:
-        rolled, step = _next_to(rolled, step, _rolled_by(step)), step * 2
-    short = F.array(F.aggregate(single, F.lit(0).cast("long"), lambda a, x: _turned(a, 1).bitwiseXOR(x)))
+        rolled, step = _next_to(rolled, step, _joined(step)), step * 2
+    short = F.array(F.aggregate(single, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseXOR(x)))
     return F.when(F.length(piece) >= GRAM, rolled).otherwise(F.when(whole & (piece != ""), short).otherwise(F.array().cast("array<bigint>")))
 
 

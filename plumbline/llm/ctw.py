@@ -41,7 +41,7 @@ END = b"\n"
 #: Bytes of text in a chunk.
 CHUNK = 7 << 20
 #: Nodes of the tree of counts that are merged into one.
-FAN = 16
+FAN = 128
 #: Strings spelled at a time.
 BLOCK = 50_000
 WORDS, GRAMS, TABLE = 0, 1, 2

@@ -436,7 +436,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, parts: int | None = No
     of = lambda kind: asked.where(F.col("kind") == kind).select(F.col("chunk").alias("node"), "part", "data")
 
     words = Tree(of(WORDS), Words, n_chunks)
-    counted = written(words.top.groupBy("part").applyInArrow(_answer_words, ANSWER + ", n long, v long"))
+    counted = words.top.groupBy("part").applyInArrow(_answer_words, ANSWER + ", n long, v long")
+    counted = written(counted if len(words.levels) > 1 else counted.drop("data"))  # what was asked is for the levels below
     n, v = (x or 0 for x in counted.agg(F.sum("n"), F.sum("v")).first())
 
     grams_ = Tree(of(GRAMS), Grams, n_chunks)

@@ -1,6 +1,6 @@
 """The registered queries of this package and, where SQL can state them, their SQL."""
 
-from plumbline.llm import bpe, chat, ctw, exact_dedup, fingerprint, language, licenses, mixing, neardup, quality
+from plumbline.llm import audit, bpe, chat, ctw, exact_dedup, fingerprint, language, licenses, mixing, neardup, quality, repair, vectors
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -13,9 +13,14 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_ctw": ctw.op9_ctw,
     "op10_language": language.op10_language,
+    "op11_repair": repair.op11_repair,
+    "op12_vectors": vectors.op12_vectors,
+    "op13_audit": audit.op13_audit,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op8_licenses": licenses.OP8_SQL,
+    "op12_vectors": vectors.OP12_SQL,
+    "op13_audit": audit.OP13_SQL,
 }

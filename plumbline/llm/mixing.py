@@ -12,7 +12,7 @@ a source: sizes are summed by the first digits of the order, then, where the tar
 are read once for their sizes; taking them is a map with the plan, which is broadcast up to MAX_SOURCES sources and joined beyond.
 
 Null and word-less texts have size 0. A null source is a source of its own, last in order. Rows with equal id and source are told apart by
-their text; rows that are the same in all three are taken alike. Rows without an id are ordered by their text. An empty table gives an empty result.
+their text; of rows that are the same in all three, where the fraction ends among them, as many are taken as fit. Rows without an id are ordered by their text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def _joined(rows: DataFrame, by_source: DataFrame) -> DataFrame:
 
 
 def _last(rows: DataFrame, rest: DataFrame) -> DataFrame:
-    """source, last: the last place in the order up to which the sizes of a source stay within its `rest`. A place is in if it is not above `last`, which may be a prefix."""
+    """source, last, tie, fit: the last place in the order up to which the sizes of a source stay within its `rest`. A place is in if it is not above `last`, which may be a prefix; of the rows at `tie`, the next place, `fit` are in."""
     rows = rows.select("source", "place", "size")
     open_, found, base = rows, [], rest.select("source", "rest")
     for digits in range(DIGITS, ALL_DIGITS + 1, DIGITS):
@@ -90,14 +90,18 @@ def _last(rows: DataFrame, rest: DataFrame) -> DataFrame:
     for more in found[1:]:
         cuts = cuts.unionByName(more)
     walked = _joined(rows, cuts.select("source", "prefix", "rest")).where(F.col("place").startswith(F.col("prefix")))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = walked.withColumn("upto", upto).groupBy("source", "prefix").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))).alias("last"))
+    # equal rows share a place: they are one row here, and of those in which the cut falls some may fit
+    walked = walked.groupBy("source", "prefix", "rest", "place").agg(F.sum("size").alias("n"), F.min("size").alias("each"))
+    walked = walked.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("place")))
+    fits = F.floor(F.try_divide(F.col("rest") - F.col("upto") + F.col("n"), F.col("each")))
+    over = F.col("upto") > F.col("rest")
+    inside = walked.groupBy("source", "prefix").agg(F.max(F.when(~over, F.col("place"))).alias("last"), F.min(F.when(over, F.struct(F.col("place").alias("tie"), fits.alias("fit")))).alias("cut"))
     # a source that never passes its rest has no cut: all of it is in
-    return inside.select("source", F.coalesce("last", "prefix").alias("last"))
+    return inside.select("source", F.coalesce("last", "prefix").alias("last"), "cut.tie", "cut.fit")
 
 
 def plan(rows: DataFrame, weights, share: float, max_epochs: float) -> DataFrame:
-    """rows (source, size, place) -> one row a source: source, source_size, target, whole, last."""
+    """rows (source, size, place) -> one row a source: source, source_size, target, whole, last, tie, fit."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
@@ -105,11 +109,25 @@ def plan(rows: DataFrame, weights, share: float, max_epochs: float) -> DataFrame
     sources = sources.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
     sources = written(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     last = _last(rows, sources).withColumnRenamed("source", "of")
-    return written(sources.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "whole", F.coalesce("last", F.lit("g")).alias("last")))
-
-
-def _times(max_epochs: float) -> Column:
-    return F.col("whole") + F.when(F.col("whole") < max_epochs, (F.col("place") <= F.col("last")).cast("long")).otherwise(0)
+    return written(sources.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "whole", F.coalesce("last", F.lit("g")).alias("last"), "tie", F.coalesce("fit", F.lit(0)).cast("long").alias("fit")))
+
+
+def _times(rows: DataFrame, planned: DataFrame, max_epochs: float) -> DataFrame:
+    """rows (source, place and others) with the columns of their source's plan and `times`."""
+    at = _joined(rows, planned)
+    tied = (F.col("fit") > 0) & (F.col("place") == F.col("tie"))
+    inside = F.col("place") <= F.col("last")
+    if planned.where("fit > 0").isEmpty():
+        at = at.withColumn("inside", inside)
+    else:  # equal rows are numbered where they lie: by the part of the table they are read in, then within it
+        lying = written(at.where(tied).withColumn("no", F.monotonically_increasing_id())).withColumn("part", F.shiftright("no", 33))
+        parts = lying.groupBy("source", "part").agg(F.count("*").alias("rows"))
+        before = (F.sum("rows").over(Window.partitionBy("source").orderBy("part")) - F.col("rows")).alias("before")  # a row a task and source
+        parts = parts.select(F.col("source").alias("of"), F.col("part").alias("of_part"), before)
+        lying = lying.withColumn("k", F.row_number().over(Window.partitionBy("source", "part").orderBy("no")))
+        lying = lying.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))).withColumn("inside", F.col("k") + F.col("before") <= F.col("fit"))
+        at = at.where(~F.coalesce(tied, F.lit(False))).withColumn("inside", inside).unionByName(lying.select(*at.columns, "inside"))
+    return at.withColumn("times", F.col("whole") + F.when(F.col("whole") < max_epochs, F.col("inside").cast("long")).otherwise(0))
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -119,15 +137,15 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, times (repetitions), taken (words)."""
     rows = _sized(docs, seed)
-    at = _joined(rows, plan(rows, weights, share, max_epochs)).withColumn("times", _times(max_epochs))
+    at = _times(rows, plan(rows, weights, share, max_epochs), max_epochs)
     return at.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mixture takes it, all columns."""
-    planned = plan(_sized(docs, seed), weights, share, max_epochs).select("source", "whole", "last")
+    planned = plan(_sized(docs, seed), weights, share, max_epochs).select("source", "whole", "last", "tie", "fit")
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["source"].alias("source"), order(docs["doc_id"], docs["text"], seed).alias("place"))
-    at = _joined(rows, planned).select("row", _times(max_epochs).cast("int").alias("times")).where("times > 0")
+    at = _times(rows, planned, max_epochs).select("row", F.col("times").cast("int").alias("times")).where("times > 0")
     return at.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("row.*")
 
 
@@ -152,7 +170,7 @@ p AS (
 q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS whole FROM p),
 r AS (
   SELECT doc_id, size, source_size, target, whole,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) <= target - whole * source_size AS extra
+         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) <= target - whole * source_size AS extra
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
        CAST(size * (whole + CASE WHEN extra AND whole < 2 THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -92,3 +92,24 @@ def test_repeated_ids_and_deep_cuts(spark, monkeypatch):
         assert 0 <= target - sum(n * size[k] for k, n in times.items()) < max(size.values())
     assert sorted(repr((r.doc_id, r.size, r.times)) for r in mixing.mix(docs).collect()) == sorted(repr((i, size[k], got[k])) for i, _, _, k in rows)
     assert sum(r.taken for r in mixing.mix(docs).collect()) == sum(n * size[k] for k, n in got.items())
+
+
+@pytest.mark.parametrize("walk", [3, 20_000])
+def test_equal_rows(spark, monkeypatch, walk):
+    """1,000 equal rows of a source, with an id and without one, beside a source without a name: taken words come within one text of the target, whatever the depth of the cut."""
+    monkeypatch.setattr(mixing, "WALK", walk)
+    for same in (7, None):
+        rows = [(same, "five words in this text", "s")] * 1000 + [(k, "w " * (k % 9 + 1), "t") for k in range(300)] + [(8, "one two", None)] * 400
+        docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, no int").repartition(5)
+        got = mixing.mix(docs).collect()
+        assert len(got) == len(rows)
+        for source, longest in (("s", 5), ("t", 9), (None, 2)):
+            own = [r for r in got if r.source == source]
+            assert 0 <= own[0].target - sum(r.taken for r in own) < longest
+            assert all(r.taken <= 2 * r.size for r in own)
+        counts = Counter((r.source, r.taken) for r in got if r.source == "s")
+        assert len(counts) == 2 and all(n > 0 for n in counts.values())
+        again = Counter((r.doc_id, r.source, r.taken) for r in mixing.mix(docs).collect())
+        assert again == Counter((r.doc_id, r.source, r.taken) for r in got)
+        texts = Counter(r.source for r in mixing.mixed(docs).collect())
+        assert {s: sum(r.times for r in got if r.source == s) for s in ("s", "t", None)} == dict(texts)

@@ -346,7 +346,7 @@ class _Search:
 
 
 def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per row of docs: doc_id, row, n_shingles, component_id, kept (whether no other row of its component has a smaller key)."""
+    """One row per row of docs: doc_id, row, n_shingles, component_id, first (whether no other row of its component has a smaller key)."""
     all_docs = written(sketches(docs, words))
     full = all_docs.where("class IS NOT NULL")
     # a class has a number, c, which is written with it, and a row that leads it; a sketch belongs to the class as a whole
@@ -392,7 +392,7 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     leads = F.col("lead").isNull() | (F.col("row") == F.col("lead.row")) & F.col("doc_id").eqNullSafe(F.col("lead.doc_id"))
     # rows without words are alone
     name = F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
-    return all_docs.drop("sketch").join(of, "class", "left").select("doc_id", "row", "n_shingles", name.alias("component_id"), leads.alias("kept"))
+    return all_docs.drop("sketch").join(of, "class", "left").select("doc_id", "row", "n_shingles", name.alias("component_id"), leads.alias("first"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
@@ -402,11 +402,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = THRESHOL
 
 def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
     """docs without the rows that have a smaller key in their group, all columns."""
-    gone = grouped(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
+    gone = grouped(docs, words, percent).where("NOT first").select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
     row = F.unhex(F.md5(docs["text"].cast("binary")))
     return docs.join(gone, (row == gone["_row"]) & docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op7_neardup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return grouped(docs, 4, THRESHOLD).drop("row")
+    return near_duplicates(docs, 4).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

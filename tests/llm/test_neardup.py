@@ -19,6 +19,18 @@ def test_whole_table(spark):
     assert found(neardup.op7_neardup(spark, SF)) == near_components(rows, 4, 80)
 
 
+def test_kept_of_the_query(spark, tmp_path):
+    """kept says whether the id is the component's, also where several alike texts share an id; the pipeline's stage still keeps one row a group."""
+    words = [f"w{k}" for k in range(60)]
+    text, other = " ".join(words), " ".join([*words[:59], "x"])
+    rows = [(1, text), (1, other), (2, text), (3, None), (3, "alone here"), (None, "nobody"), (None, text)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.op7_neardup(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (None, None, True), (None, 1, False)], key=repr)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert neardup.without_near_copies(docs, words=4).count() == 4
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_large_group_of_near_copies_and_a_common_passage(spark, seed):
     rng = random.Random(seed)

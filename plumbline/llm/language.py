@@ -30,7 +30,8 @@ from plumbline.llm.common import held_out
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_EACH, EPOCHS, BATCH, RATE, SEED = 800, 200, 4, 4, 64, 0.01, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A class that also holds number signs such as fractions, which are no letters.
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 #: Windows convolved at once.
 BLOCK = 256
 
@@ -142,9 +143,14 @@ class Folded:
         return np.concatenate(out)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the Unicode category L."""
+    return any(x.group().isalpha() for x in _LETTER_OR_NUMBER.finditer(text))
+
+
 def predict(net: Folded, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and probability of each text; the windows of all texts are convolved together."""
-    found = [t is not None and bool(_LETTER.search(t)) and bool(net.net.languages) for t in texts]
+    found = [t is not None and has_letter(t) and bool(net.net.languages) for t in texts]
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     parts = [windows(t.lower().encode()) for t, ok in zip(texts, found, strict=True) if ok]
     if not parts:
@@ -173,7 +179,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
         for batch in batches:
             keep, parts = [], []
             for i, text in enumerate(batch.column("text")):
-                if (text := text.as_py()) and _LETTER.search(text):
+                if (text := text.as_py()) and has_letter(text):
                     w, _ = windows(text.lower().encode())
                     spread = np.unique(np.linspace(0, len(w) - 1, WINDOWS_EACH).round().astype(int))
                     keep.append(i)

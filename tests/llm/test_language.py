@@ -50,6 +50,17 @@ def test_edges(spark):
     assert language.identify(docs.limit(0), net).count() == 0
 
 
+def test_number_signs_are_no_letters():
+    import unicodedata
+
+    assert not any(language.has_letter(x) for x in ["", "\u00bd \u00b2\u00b3", "\u2460 \u2461", "\u2167", "12_3", "\u0301", "\U0001f642"])
+    assert all(language.has_letter(x) for x in ["\u00bd a", "\u00aa", "\u05d0", "\u4e00", "12\u02b0"])
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    assert all(language.has_letter(x) == unicodedata.category(x).startswith("L") for x in points)
+    net = language.Folded(language.train(np.zeros((1, language.WINDOW), np.uint8), np.zeros(1, np.int64), ["en"]))
+    assert language.predict(net, ["\u00bd \u00b2\u00b3", "\u2167", "a\u00bd"])[0] == ["und", "und", "en"]
+
+
 def test_gradients_are_those_of_the_loss():
     """Against differences of the loss, parameter by parameter."""
     rng = np.random.default_rng(6)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a generation of each cache in a worker: ids of what stands between white space, and of fragments.
-CHUNKS, FRAGMENTS = 200_000, 100_000
+CHUNKS, FRAGMENTS = 120_000, 60_000
 #: Bytes of text after which a batch of results is handed back.
 FLUSH = 4 << 20
 END = "</w>"
@@ -37,6 +37,23 @@ END = "</w>"
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
+# Where the library's tables of Unicode are older or newer than those of the regex package and of Python, as first and last code points.
+#: Letters and numbers of the regex package that the library takes for neither.
+NO_LETTERS = "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+NO_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: Marks of Python's NFC that the library's neither moves nor composes.
+NO_MARKS = "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+#: Capitals that only the library lowers, first to last, with what the first becomes; the others follow in order.
+CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+# End of the fixed values.
+LOWERED = {c: first + c - a for a, b, first in CAPITALS for c in range(a, b + 1)}
+
+
+def members(intervals: str) -> str:
+    """Intervals of code points as the inside of a character class."""
+    return "".join("-".join(chr(int(x, 16)) for x in i.split("-")) for i in intervals.split())
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where Latin-1 prints it, else the next from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -76,7 +93,15 @@ class Encoder:
         self.strings = {i: s for s, i in (self.ids | self.added).items()}
         self.letters = byte_letters()
         (pattern,) = (x["pattern"]["Regex"] for x in parsed["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", WHITE))
+        pattern = pattern.replace(r"\s", WHITE)
+        self.words = regex.compile(pattern)
+        # the same with the library's letters and numbers, for the few texts in which they differ
+        for name, without in (("L", NO_LETTERS), ("N", NO_NUMBERS)):
+            pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--[{members(without)}]]")
+        self.library_words = regex.compile(pattern, regex.V1)
+        self.newer = regex.compile(f"[{members(NO_LETTERS)}{members(NO_NUMBERS)}]")
+        self.marks = regex.compile(f"([{members(NO_MARKS)}])")
+        self.capitals = regex.compile("[" + "".join(map(chr, LOWERED)) + "]")
         self.white = regex.compile(f"[{WHITE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.inside: set[str] = set()  # pairs of letters inside some token; with END where the second ends a word
@@ -145,7 +170,8 @@ class Encoder:
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of normalised text without white space."""
         letters, out, known = self.letters, [], self.fragments
-        for word in self.words.findall(text):
+        words = self.words if text.isascii() or not self.newer.search(text) else self.library_words
+        for word in words.findall(text):
             plain = word.isascii() and word.isprintable()  # such bytes stand for themselves
             for fragment in self.cut(word if plain else "".join([letters[b] for b in word.encode()])):
                 out.extend(known[fragment])
@@ -154,7 +180,9 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         """Normalised text, cut at white space."""
         if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+            text = "".join(unicodedata.normalize("NFC", x) for x in self.marks.split(text))
+        if not text.isascii() and self.capitals.search(text):
+            text = text.translate(LOWERED)
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         # str.split also cuts at four control characters that are no white space in Unicode
         return self.white.split(text) if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()

@@ -41,6 +41,24 @@ def test_random(both):
         same(both, "".join(rng.choices(letters, k=rng.randrange(80))))
 
 
+@pytest.mark.parametrize("around", ["a{}b", "e{}\u0301", "a{}\u0323\u0301"])
+def test_every_code_point(both, around):
+    own, lib = both
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    bad = []
+    for start in range(0, len(points), 50_000):
+        part = points[start : start + 50_000]
+        texts = [around.format(chr(c)) for c in part]
+        found = lib.encode_batch(texts, add_special_tokens=False)
+        bad += [hex(c) for c, text, f in zip(part, texts, found, strict=True) if own.encode(text) != f.ids]
+    assert not bad
+
+
+def test_compositions_of_later_versions(both):
+    for text in ["\U00011935\U00011930", "\U00011938", "e\u07fd\u0301\u0323", "\u1c89\ua7cb\U00010d50\u0c5cx", "x\u0558y 1\U0001246f2"]:
+        same(both, text)
+
+
 def test_cut_fragments_merge_like_whole_words(both):
     own, _ = both
     word = "".join(own.letters[b] for b in "schließungçñzqxjkééß".encode())

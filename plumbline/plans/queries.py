@@ -11,6 +11,7 @@ from plumbline.functions import metrics as M
 from plumbline.operators import columns as C
 from plumbline.operators import prep
 from plumbline.operators import split as S
+from plumbline.operators.boosting import Settings
 from plumbline.plans import experiment as X
 from plumbline.plans.models import BoostedTrees, MeanRegressor, cross_fitted, dummy_predictions
 from plumbline.sources import tables as T
@@ -296,12 +297,33 @@ def cv_mae_mean(spark, sf_dir):
 
 @query()
 def cv_gbt(spark, sf_dir):
-    """Metrics by fold of 60 boosted trees (an experiment's default is 400). No SQL: the model is learned."""
+    """Metrics by fold of 400 boosted trees, as an experiment fits them. No SQL: see cv_stumps."""
     data = T.part(spark, sf_dir)
-    trees = BoostedTrees()
-    trees.params |= {"maxIter": 60, "stepSize": 0.1}
-    predicted = trees.predictions(X.folded(data), data)
-    return M.compute_metrics(predicted.rows, "y", "prediction", ["pli"])
+    return M.compute_metrics(BoostedTrees().predictions(X.folded(data), data).rows, "y", "prediction", ["pli"])
+
+
+def _stump_sql(k: int) -> str:
+    """CTEs of a round of stumps, from predictions p{k} of all rows for all folds to p{k + 1}: sums of each split, the best one of each fold, and the leaves."""
+    left = "CASE WHEN b.kind = 0 THEN p_size <= b.size ELSE p_brand = b.brand END"
+    return f"""
+s{k} AS (
+  SELECT fold, 0 AS kind, p_size AS size, NULL AS brand, sum(sum(p{k} - y)) OVER (PARTITION BY fold ORDER BY p_size) AS gl, sum(count(*)) OVER (PARTITION BY fold ORDER BY p_size) AS hl FROM t{k} WHERE pli <> fold GROUP BY fold, p_size
+  UNION ALL SELECT fold, 1, NULL, p_brand, sum(p{k} - y), count(*) FROM t{k} WHERE pli <> fold GROUP BY fold, p_brand),
+a{k} AS (SELECT fold, sum(p{k} - y) AS g, count(*) AS h FROM t{k} WHERE pli <> fold GROUP BY fold),
+b{k} AS (
+  SELECT *, gl ** 2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) AS gain FROM s{k} JOIN a{k} USING (fold) WHERE hl >= 1 AND h - hl >= 1
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, kind, size, brand) = 1),
+t{k + 1} AS (SELECT t{k}.* EXCLUDE p{k}, p{k} - 0.5::DOUBLE * CASE WHEN {left} THEN gl / (hl + 1) ELSE (g - gl) / (h - hl + 1) END AS p{k + 1} FROM t{k} JOIN b{k} b USING (fold))"""
+
+
+@query(f"""WITH {PART},
+t0 AS (SELECT i.pli AS fold, d.pli, p_size, p_brand, p_retailprice AS y, avg(p_retailprice) FILTER (d.pli <> i.pli) OVER (PARTITION BY i.pli) AS p0 FROM (SELECT DISTINCT pli FROM dev) i, dev d),{_stump_sql(0)},{_stump_sql(1)}
+SELECT pli, {ROUNDED} FROM (SELECT pli, {METRICS} FROM (SELECT pli, y, p2 AS p FROM t2 WHERE pli = fold) GROUP BY pli)""")
+def cv_stumps(spark, sf_dir):
+    """Metrics by fold of two boosted trees of one split each: few enough for SQL to state the same learning."""
+    data = T.part(spark, sf_dir)
+    stumps = BoostedTrees(Settings(rounds=2, depth=1, rate=0.5, row_share=1.0, column_share=1.0), features=["p_size", "p_brand"])
+    return rounded(M.compute_metrics(stumps.predictions(X.folded(data), data).rows, "y", "prediction", ["pli"]))
 
 
 # --- metrics

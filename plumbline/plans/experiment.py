@@ -83,7 +83,7 @@ def run(data: Dataset, out_dir: str, models: dict | None = None) -> tuple[DataFr
     """The whole experiment: writes holdout_ids, cv_scores and metrics as CSV under out_dir, prints the report, returns (detail, summary)."""
     models = default_models() if models is None else models
     rows = folded(data)
-    write_csv(split.holdout_ids(data.df, data.key), f"{out_dir}/holdout_ids")
+    write_csv(split.holdout_ids(data.df, data.key), f"{out_dir}/holdout_ids", single_file=False)  # a share of all rows
     print(", ".join(f"{name} {value}" for name, value in describe(data).items()))
     print(f"{len(numeric_columns(data.df, data.features))} numeric and {len(categorical_columns(data.df, data.features))} categorical columns")
     detail = cross_validate(rows, data, models)

@@ -55,6 +55,36 @@ class Dummy:
         return Predictions(dummy_predictions(folded, data.key, data.target), seconds)
 
 
+@dataclass
+class GroupMean:
+    """Predicts the mean of the training rows of the row's group (a column's value, NULL among them), or of all training rows where these have none of it."""
+
+    column: str
+
+    def predictions(self, folded: DataFrame, data: Dataset) -> Predictions:
+        y, seconds = F.col(data.target).cast("double"), {}
+        for fold in range(1, FOLDS + 1):
+            start = time.perf_counter()
+            train = train_rows(folded, fold)
+            means = train.groupBy(F.col(self.column).alias("_group")).agg(F.avg(y).alias("mean"))
+            mean = train.agg(F.avg(y)).first()[0]
+            valid = valid_rows(folded, fold)
+            valid.join(means, valid[self.column].eqNullSafe(F.col("_group")), "left").select(data.key, F.coalesce("mean", F.lit(mean))).write.format("noop").mode("overwrite").save()
+            seconds[fold] = round(time.perf_counter() - start, 2)
+        return Predictions(group_predictions(folded, data.key, data.target, self.column), seconds)
+
+
+def group_predictions(folded: DataFrame, key: str, target: str, column: str, folds: int = FOLDS) -> DataFrame:
+    """GroupMean's predictions for each dev row: one aggregate by group and fold."""
+    y, group = F.col(target).cast("double"), F.col(column).alias("_group")
+    own = folded.where("pli IS NOT NULL").groupBy(group, "pli").agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    others = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda i: i != F.col("pli"))
+    means = own.select("_group", F.explode(others).alias("_fold"), "s", "n").groupBy("_group", "_fold").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
+    rows = dummy_predictions(folded.withColumn("_key", F.struct(F.col(key).alias("k"), F.col(column).alias("g"))), "_key", target, folds)
+    joined = rows.join(means, F.col("_key.g").eqNullSafe(F.col("_group")) & (F.col("pli") == F.col("_fold")), "left")
+    return joined.select("pli", F.col("_key.k").alias(key), "y", F.coalesce("mean", "prediction").alias("prediction"))
+
+
 class MeanRegressor(Estimator):
     """The constant mean as the last stage of a pipeline: predicts the mean of a label column, whatever the features."""
 
@@ -75,14 +105,15 @@ class MeanModel(Model):
         return dataset.withColumn(self.prediction, F.lit(self.mean).cast("double"))
 
 
-def cross_fitted(folded: DataFrame, data: Dataset, last: Callable[[], Estimator], parallel: int = FOLDS) -> tuple[list[DataFrame], dict[int, float], DataFrame]:
+def cross_fitted(folded: DataFrame, data: Dataset, last: Callable[[], Estimator], parallel: int = FOLDS) -> tuple[list[DataFrame], dict[int, float]]:
     """A pipeline for each fold: imputed columns, encoders, and the stage that last() makes (label `_y`), fitted on the training rows and applied to the validation rows, folds side by side.
 
-    Returns the validation rows of each fold with all that the pipeline adds, persisted; seconds of fit and predict; the persisted dev rows. All statistics are of
+    Returns the validation rows of each fold with all that the pipeline adds, and seconds of fit and predict. Nothing stays persisted. All statistics are of
     training rows. A text column of more than prep.MAX_CATEGORIES categories is an error, as the vectors' width would grow with the data.
     """
     numeric, categorical = numeric_columns(data.df, data.features), categorical_columns(data.df, data.features)
-    held = folded.where("pli IS NOT NULL").withColumn("_y", F.col(data.target).cast("double")).persist()
+    named = folded.where("pli IS NOT NULL").withColumn("_y", F.col(data.target).cast("double"))
+    held = named.select("*").persist()
     dev = held.coalesce(max(1, -(-held.count() // ROWS)))
     prep.require_few_categories(dev, categorical)
     known = prep.statistics_by_fold(dev, numeric, categorical)
@@ -92,13 +123,16 @@ def cross_fitted(folded: DataFrame, data: Dataset, last: Callable[[], Estimator]
         num, cat = [c for c in numeric if c in have], [c for c in categorical if c in have]  # columns without any value go
         train, valid = (prep.impute(rows, num, cat, known, fold) for rows in (train_rows(dev, fold), valid_rows(dev, fold)))
         start = time.perf_counter()
-        out = Pipeline(stages=[*prep.encoder_stages(num, cat), last()]).fit(train).transform(valid).persist()
-        out.count()  # transform alone computes nothing; what it gives is kept for the metrics
-        return out, round(time.perf_counter() - start, 2)
-
-    with ThreadPoolExecutor(parallel) as pool:
-        results = list(pool.map(one, range(1, FOLDS + 1)))
-    return [rows for rows, _ in results], {i: s for i, (_, s) in enumerate(results, 1)}, held
+        model = Pipeline(stages=[*prep.encoder_stages(num, cat), last()]).fit(train)
+        model.transform(valid).write.format("noop").mode("overwrite").save()  # transform alone computes nothing
+        return model.transform(prep.impute(valid_rows(named, fold), num, cat, known, fold)), round(time.perf_counter() - start, 2)
+
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            results = list(pool.map(one, range(1, FOLDS + 1)))
+    finally:
+        held.unpersist()
+    return [rows for rows, _ in results], {i: s for i, (_, s) in enumerate(results, 1)}
 
 
 @dataclass

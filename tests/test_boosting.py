@@ -117,3 +117,13 @@ def test_edges(spark):
     assert none == {} and forests == {}
     with pytest.raises(ValueError, match="missing"):
         B.fit_folds(dev.withColumn("y", F.lit(None).cast("double")), data, B.Settings(rounds=1))
+
+
+def test_nothing_stays_persisted(spark):
+    from plumbline.plans.queries import QUERIES
+
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    for name in ("cv_stumps", "cv_pipeline", "features_assembled"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert held() == before, name

@@ -147,16 +147,17 @@ def exact_dedup(docs: DataFrame, primes: tuple[int, int] = PRIME, huge_bytes: in
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops, all columns. Of rows that share id and text, one stays."""
     found = exact_dedup(docs)
-    gone = found.where("NOT kept").select("doc_id", "text_sha256").distinct()
-    kept = found.where("kept").select("doc_id", "text_sha256")
-    gone = gone.join(kept, gone["doc_id"].eqNullSafe(kept["doc_id"]) & (gone["text_sha256"] == kept["text_sha256"]), "left_anti")
+    # what is said of rows of one id and text: whether one of them stays, and how many there are
+    said = found.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    said = written(said.where("NOT stays OR n > 1"))
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (digest == gone["text_sha256"]), "left_anti")
-    repeated = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return left
-    named = left.select(F.struct(*left.columns).alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("same"))
-    return named.dropDuplicates(["id", "same"]).select("row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), digest.alias("digest"))
+    here = F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha"))
+    left = rows.join(said, here, "left_anti")
+    several = said.where("stays")
+    if not several.isEmpty():  # of these rows only, one each
+        left = left.unionByName(rows.join(several, here, "left_semi").dropDuplicates(["doc", "digest"]))
+    return left.select("row.*")
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -4,7 +4,8 @@ A turn reads `<s>role NL text</s> NL`; backslashes, `<s>` and `</s>` inside text
 are escaped, so that the written form can be read back without loss. Prefix sums of turn tokens
 (words, plus OVERHEAD for the marks) choose windows that begin and end between turns: a window takes turns while
 it stays within the budget. Every window but the first opens with the system turn (if the conversation starts with one) and the last
-`history` turns before it, as far as half the budget holds them; these repeated turns are masked. The loss mask covers each
+`history` turns before it; these repeated turns are masked. A system turn of more than half the budget opens the first window only, and earlier turns are repeated as far as half of what the
+system turn leaves holds them: so at least a quarter of the budget is for a window's own turns, and the output grows with the input, not with turns times system turn. The loss mask covers each
 assistant text once, in the window that it belongs to.
 
 A turn above the budget has a window of its own and stays whole. Null text and role are empty; null turns come first; repeated rows are
@@ -61,17 +62,20 @@ def format_chats(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     def between(i: Column, j: Column) -> Column:  # tokens of turns i to j-1
         return F.col("prefix")[j] - F.col("prefix")[i]
 
+    pinned = F.col("system") & (F.col("prefix")[1] <= budget // 2)
+    head_tokens = F.when(pinned, F.col("prefix")[1]).otherwise(0)
+
     def repeated(start: Column) -> Column:
-        """Turns repeated before a window that starts at a turn: as many of the last ones as half the budget holds."""
+        """Turns repeated before a window that starts at a turn: as many of the last ones as half of the budget without the system turn holds."""
         low = F.when(F.col("system"), 1).otherwise(0)
         most = F.lit(0)
         for k in range(1, history + 1):
-            fits = (start - k >= low) & (between(F.greatest(start - k, F.lit(0)), start) <= budget // 2)
+            fits = (start - k >= low) & (between(F.greatest(start - k, F.lit(0)), start) * 2 <= budget - head_tokens)
             most = F.when(fits, k).otherwise(most)
         return most
 
     def room(start: Column) -> Column:
-        head = F.when(F.col("system") & (start > 0), F.col("prefix")[1]).otherwise(0)
+        head = F.when(start > 0, head_tokens).otherwise(0)
         return budget - head - between(start - repeated(start), start)
 
     def walk(acc: Column, i: Column) -> Column:
@@ -87,7 +91,7 @@ def format_chats(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY)
 
     def window(start: Column, w: Column) -> Column:
         end = F.coalesce(F.get("starts", w + 1), F.col("n"))
-        head = F.when(F.col("system") & (start > 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        head = F.when(pinned & (start > 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
         return F.struct(w.alias("window"), start.alias("start"), (end - start).alias("n_own"), repeated(start).alias("again"), head.alias("head"))
 
     windows = talks.select(F.col("conv_id").alias("talk"), F.explode(F.transform("starts", window)).alias("w")).select("talk", "w.*")

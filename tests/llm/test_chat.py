@@ -52,8 +52,8 @@ def test_round_trip_and_windows(spark, budget):
         assert len(turns) == w.n_repeated + w.n_own
         size = sum(len(t.split("\n", 1)[1].split()) + chat.OVERHEAD for t in turns)
         assert size <= budget or w.n_own == 1
-        if w.conv_id == 1 and w.window:
-            assert turns[0].startswith("<s>system\n")
+        if w.conv_id == 1 and w.window:  # a system turn of up to half the budget is in every window
+            assert turns[0].startswith("<s>system\n") == (len(rows[0][3].split()) + chat.OVERHEAD <= budget // 2)
 
 
 def test_empty(spark):
@@ -76,6 +76,19 @@ def test_long_conversation_without_id(spark):
     assert [(got[w].n_own, got[w].n_repeated) for w in (0, 1, 1000)] == [(51, 0), (48, 3), (48, 3)]
 
 
+@pytest.mark.parametrize("words", [50, 240, 260, 2000])
+def test_large_system_turn(spark, words):
+    """800 short turns after a system turn of any size: what is written stays within a few times what is given."""
+    rows = [(1, 0, "system", "s " * words)] + [(1, i, "assistant" if i % 2 == 0 else "user", f"turn {i}") for i in range(1, 801)]
+    windows = chat.format_chats(spark.createDataFrame(rows, SCHEMA)).cache()
+    assert {r.conv_id: (len(r.turns), sha("".join(f"{t.role}\n{t.text}\n" for t in r.turns)), len(r.loss_text), sha(r.loss_text)) for r in chat.read_back(windows).collect()} == expected(rows)
+    found = windows.collect()
+    given = sum(len(r[3].split()) + chat.OVERHEAD for r in rows)
+    tokens = sum(len(t.split("\n", 1)[1].split()) + chat.OVERHEAD for w in found for t in w.formatted.split("</s>\n")[:-1])
+    assert tokens <= 4 * given + chat.BUDGET
+    assert all(w.formatted.startswith("<s>system\n") == (w.window == 0 or words + chat.OVERHEAD <= chat.BUDGET // 2) for w in found)
+
+
 def test_clashing_names(spark):
     """Columns that the operator has names for itself change nothing."""
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", "one two three"), (1, 2, "assistant", "four"), (2, 0, "user", None)]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a generation of each cache in a worker: ids of what stands between white space, and of fragments.
-CHUNKS, FRAGMENTS = 120_000, 60_000
+CHUNKS, FRAGMENTS = 180_000, 90_000
 #: Bytes of text after which a batch of results is handed back.
 FLUSH = 4 << 20
 END = "</w>"

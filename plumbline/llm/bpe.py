@@ -99,9 +99,8 @@ class Encoder:
         for name, without in (("L", NO_LETTERS), ("N", NO_NUMBERS)):
             pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--[{members(without)}]]")
         self.library_words = regex.compile(pattern, regex.V1)
-        self.newer = regex.compile(f"[{members(NO_LETTERS)}{members(NO_NUMBERS)}]")
+        self.newer = regex.compile(f"[{members(NO_LETTERS)}{members(NO_NUMBERS)}{''.join(map(chr, LOWERED))}]")
         self.marks = regex.compile(f"([{members(NO_MARKS)}])")
-        self.capitals = regex.compile("[" + "".join(map(chr, LOWERED)) + "]")
         self.white = regex.compile(f"[{WHITE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.inside: set[str] = set()  # pairs of letters inside some token; with END where the second ends a word
@@ -170,7 +169,9 @@ class Encoder:
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of normalised text without white space."""
         letters, out, known = self.letters, [], self.fragments
-        words = self.words if text.isascii() or not self.newer.search(text) else self.library_words
+        words = self.words
+        if not text.isascii() and self.newer.search(text):
+            words, text = self.library_words, text.translate(LOWERED)
         for word in words.findall(text):
             plain = word.isascii() and word.isprintable()  # such bytes stand for themselves
             for fragment in self.cut(word if plain else "".join([letters[b] for b in word.encode()])):
@@ -181,8 +182,6 @@ class Encoder:
         """Normalised text, cut at white space."""
         if not unicodedata.is_normalized("NFC", text):
             text = "".join(unicodedata.normalize("NFC", x) for x in self.marks.split(text))
-        if not text.isascii() and self.capitals.search(text):
-            text = text.translate(LOWERED)
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         # str.split also cuts at four control characters that are no white space in Unicode
         return self.white.split(text) if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) else text.split()

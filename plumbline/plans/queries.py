@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import metrics as M
 from plumbline.operators import columns as C
-from plumbline.operators import prep
+from plumbline.operators import ordered, prep
 from plumbline.operators import split as S
 from plumbline.operators.boosting import Settings
 from plumbline.plans import experiment as X
@@ -410,3 +410,52 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang""")
 def src_labelled_documents(spark, sf_dir):
     df = T.labelled_documents(spark, sf_dir).df
     return df.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.count("quality").alias("n_labelled"), F.round(F.avg("quality"), 6).alias("quality"))
+
+
+# --- joins by order, ranks, cubes
+
+
+@query("""WITH e AS (SELECT * FROM events WHERE event_type = 'error')
+SELECT l.event_id, l.user_id, coalesce(e.event_id, -1) AS error_id, e.value AS error_value FROM events l ASOF LEFT JOIN e ON l.user_id = e.user_id AND l.ts >= e.ts""")
+def asof_last_error(spark, sf_dir):
+    """Every event with the last error that its user had seen by then, -1 for none."""
+    events = T.parquet(spark, sf_dir, "events")
+    errors = events.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("id"), "value")
+    return ordered.asof_join(events.select("event_id", "user_id", "ts"), errors, ["user_id"], "ts", "ts", ["id", "value"], prefix="error_").select("event_id", "user_id", F.coalesce("error_id", F.lit(-1)).alias("error_id"), "error_value")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts AS a, ts + CASE WHEN value > 10 THEN INTERVAL 24 HOUR ELSE INTERVAL 1 HOUR END AS b FROM events WHERE event_type = 'error')
+SELECT p.event_id, p.user_id, p.event_type, e.event_id AS error_id FROM events p JOIN e ON p.user_id = e.user_id AND p.ts >= e.a AND p.ts < e.b""")
+def interval_after_error(spark, sf_dir):
+    """What users did in the hour after an error, in the day after one of a value above 10."""
+    events = T.parquet(spark, sf_dir, "events")
+    end = F.when(F.col("value") > 10, F.expr("ts + INTERVAL 24 HOURS")).otherwise(F.expr("ts + INTERVAL 1 HOUR"))
+    errors = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("a"), end.alias("b"))
+    return ordered.interval_join(events.select("event_id", "user_id", "event_type", "ts"), errors, ["user_id"], "ts", "a", "b", ["id"], prefix="error_").drop("ts")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_number FROM lineitem""")
+def lineitem_numbers(spark, sf_dir):
+    """All line items numbered from the dearest on."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = T.parquet(spark, sf_dir, "lineitem").select(*order, "l_extendedprice")
+    return ordered.with_row_number(rows, [F.col("l_extendedprice").desc(), *order])
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 3")
+def top_orders(spark, sf_dir):
+    """The three dearest orders of each customer."""
+    rows = T.parquet(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return ordered.top_rows(rows, ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"], 3)
+
+
+@query("""SELECT l_returnflag, l_linestatus, coalesce(CAST(year(l_shipdate) AS INTEGER), 0) AS shipped, grouping(l_returnflag, l_linestatus, year(l_shipdate))::BIGINT AS level, count(*) AS n, round(sum(l_quantity), 6) AS quantity, round(avg(l_discount), 6) AS discount
+FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, year(l_shipdate)) HAVING count(*) >= 1000""")
+def cube_lineitem(spark, sf_dir):
+    """Sums over every subset of three groupings, of groups of 1,000 rows or more; the year 0 stands for all. One scan: rows are expanded by grouping and summed before the shuffle."""
+    rows = T.parquet(spark, sf_dir, "lineitem").withColumn("shipped", F.year("l_shipdate"))
+    sums = rows.cube("l_returnflag", "l_linestatus", "shipped").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount")
+    )
+    return sums.where("n >= 1000").withColumn("shipped", F.coalesce("shipped", F.lit(0)))

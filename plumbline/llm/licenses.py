@@ -1,7 +1,8 @@
 """License scans by canonical digests, with built-in functions only.
 
 A line's canonical form has lower case, single spaces for all that is no letter or digit, one spelling for
-equivalent words, and is empty for a copyright line (see COPYRIGHT_LINE; a wrapped sentence that goes on with `copyright notice` is none); a text's form is those of its lines, joined by spaces. The SHA-256 of the canonical form is joined with the digests of known
+equivalent words, and is empty for a copyright line (see STATEMENT; a wrapped sentence that goes on with `copyright notice` is none); a text's form is those of its lines, joined by spaces, without a
+line that goes on with the copyright line above it (see GOES_ON). The SHA-256 of the canonical form is joined with the digests of known
 licences: once for the entire text, once for each of its lines (a notice is a line that says which licence applies).
 
 Null and empty texts, and texts that are only copyright lines, have an empty form and match nothing. Matches belong to rows: of rows with equal ids each
@@ -93,15 +94,20 @@ PROSE = (
     "|notices?|of|on|or|owners?|owned|ownership|permissions?|protection|related|representations?|resulting|rights?|shall|statements?|status|terms|that|these|they|this|those|to|treat(?:y|ies)|under|used?|when|where|which|will|with|work|you|your"
 )
 GROUP = "authors?|contributors?|developers?|foundation|group|maintainers?|project|regents|team"
-_HOLDER = rf"(?!(?:{PROSE}|the)(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}\[<{{]|the\s+(?:\S+\s+){{0,3}}(?:{GROUP})(?![\p{{L}}\p{{N}}])"
-_SIGN = r"(?:\(c\)|©|&copy;)"
-#: Of a lower-case line: a sign, or `copyright` before a year, a sign or a holder; a sentence that merely goes on with `copyright` is none.
-COPYRIGHT_LINE = (
-    rf"^[^\p{{L}}\p{{N}}]*(?:all rights reserved|©|&copy;|copyright[\s:,\-]*(?:{_SIGN}|(?:19|20)\d\d(?!\d))|\(c\)[\s:,\-]*(?:copyright|©|(?:19|20)\d\d(?!\d))"
-    rf"|copyright\s*:?\s+(?:by\s+)?(?:{_HOLDER})|\(c\)\s*(?:by\s+)?(?:{_HOLDER}))"
+_S, _HEAD, _END = r"[ \t\f\r\x0B]", r"^[^\p{L}\p{N}]*", r"(?:[^\p{L}\p{N}]|$)"
+_SIGN, _YEAR = r"(?:\(c\)|©|&copy;)", r"(?:19|20)[0-9][0-9](?:[^0-9]|$)"
+_BEFORE_HOLDER = rf"(?:copyright{_S}*:?{_S}+|\(c\){_S}*)"
+#: Of a lower-case line, without look-ahead, so that SQL can state the same. A sign, or `copyright` before a year, a sign or `the ... authors`, is always a
+#: statement; `copyright` before another word is one unless that word shows a sentence that merely goes on with `copyright`.
+STATEMENT = (
+    rf"{_HEAD}(?:all rights reserved|©|&copy;|copyright[ \t\f\r\x0B:,\-]*(?:{_SIGN}|{_YEAR})|\(c\)[ \t\f\r\x0B:,\-]*(?:copyright|©|{_YEAR})"
+    rf"|{_BEFORE_HOLDER}(?:by{_S}+)?the{_S}+(?:[^ \t\f\r\x0B]+{_S}+){{0,3}}(?:{GROUP}){_END})"
 )
-#: The rule before sentences were told from statements. OP8_SQL keeps it: the SQL is not changed with the code.
-SQL_COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)"
+WITH_HOLDER = rf"{_HEAD}{_BEFORE_HOLDER}[\p{{L}}\p{{N}}\[<{{]"
+SENTENCE = rf"{_HEAD}{_BEFORE_HOLDER}(?:{PROSE}|the){_END}"
+#: A line that goes on with the statement above it: `and others`, or an address.
+GOES_ON = rf"^{_S}*(?:and|with){_S}|@|://"
+WORD = r"[\p{L}\p{N}]"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -112,7 +118,8 @@ def canonical_line(line: Column) -> Column:
     for old, new in SPELLINGS:
         if " " not in old:
             words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.when(lower.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(F.trim(F.replace(words, F.lit("  "), F.lit(" "))))
+    statement = lower.rlike(STATEMENT) | (lower.rlike(WITH_HOLDER) & ~lower.rlike(SENTENCE))
+    return F.when(statement, F.lit("")).otherwise(F.trim(F.replace(words, F.lit("  "), F.lit(" "))))
 
 
 def joined(form: Column) -> Column:
@@ -125,11 +132,14 @@ def joined(form: Column) -> Column:
 
 
 def line_forms(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), canonical_line)
+    """Of each line, its form and whether it goes on with the copyright line above it (an empty form of a line with words)."""
+    return F.transform(F.split(text, "\n"), lambda x: F.struct(canonical_line(x).alias("form"), F.lower(x).rlike(GOES_ON).alias("on"), x.rlike(WORD).alias("words")))
 
 
-def text_form(forms: Column) -> Column:
-    return joined(F.concat_ws(" ", F.filter(forms, lambda x: x != "")))
+def text_form(lines: Column) -> Column:
+    above = lambda i: F.get(lines, i - 1)
+    goes_on = lambda x, i: x["on"] & F.coalesce((above(i)["form"] == "") & above(i)["words"], F.lit(False))
+    return joined(F.concat_ws(" ", F.transform(F.filter(lines, lambda x, i: (x["form"] != "") & ~goes_on(x, i)), lambda x: x["form"])))
 
 
 def digest(form: Column) -> Column:
@@ -149,7 +159,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     row = F.md5(docs["text"].cast("binary"))  # tells texts under one id apart
     rows = docs.select(docs["doc_id"].alias("doc_id"), row.alias("row"), line_forms(docs["text"]).alias("forms"))
     # line -1 is the entire text
-    lines = F.transform("forms", lambda x, i: F.struct(i.alias("line"), joined(x).alias("form")))
+    lines = F.transform("forms", lambda x, i: F.struct(i.alias("line"), joined(x["form"]).alias("form")))
     units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), text_form(F.col("forms")).alias("form"))), lines)
     found = rows.select("doc_id", "row", F.explode(units).alias("u")).select("doc_id", "row", "u.line", digest(F.col("u.form")).alias("digest")).join(known, "digest")
     # rows that are the same in id and text have the same matches, and count them once
@@ -181,23 +191,27 @@ def _sql() -> str:
             text = f"replace({text}, ' {old} ', ' {new} ')"
         else:
             line = f"replace({line}, ' {old} ', ' {new} ')"
-    line = f"CASE WHEN regexp_matches(lower(t), {_quoted(SQL_COPYRIGHT_LINE)}) THEN '' ELSE trim(replace({line}, '  ', ' ')) END"
-    values = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(KNOWN))
+    low = "lower(t)"
+    statement = f"regexp_matches({low}, {_quoted(STATEMENT)}) OR (regexp_matches({low}, {_quoted(WITH_HOLDER)}) AND NOT regexp_matches({low}, {_quoted(SENTENCE)}))"
+    line = f"CASE WHEN {statement} THEN '' ELSE trim(replace({line}, '  ', ' ')) END"
+
+    def forms(table: str, key: str) -> str:
+        """key, i, form of each line, and whether the text's form has it."""
+        return f"""
+  SELECT {key}, i, form, form <> '' AND NOT (regexp_matches({low}, {_quoted(GOES_ON)}) AND coalesce(lag(form) OVER above = '' AND regexp_matches(lag(t) OVER above, {_quoted(WORD)}), false)) AS counts
+  FROM (SELECT *, {line} AS form FROM (SELECT {key}, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {table}))
+  WINDOW above AS (PARTITION BY {key} ORDER BY i)"""
+
+    values = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(known_texts()))
     return f"""
 WITH given AS (SELECT k, license_id, t AS text FROM (VALUES {values}) AS v(k, license_id, t)),
 known AS (
   SELECT form, min(license_id) AS license_id FROM (
-    SELECT license_id, trim({text}) AS form FROM (
-      SELECT k, license_id, string_agg(form, ' ' ORDER BY i) FILTER (form <> '') AS form FROM (
-        SELECT k, license_id, i, {line} AS form FROM (
-          SELECT k, license_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM given))
-      GROUP BY k, license_id)) GROUP BY form),
-lines AS (
-  SELECT doc_id, i, {line} AS form FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    SELECT license_id, trim({text}) AS form FROM (SELECT k, string_agg(form, ' ' ORDER BY i) FILTER (counts) AS form FROM ({forms("given", "k")}) GROUP BY k) JOIN given USING (k)) GROUP BY form),
+lines AS ({forms("documents", "doc_id")}),
 units AS (
   SELECT doc_id, false AS entire, form FROM lines
-  UNION ALL SELECT doc_id, true, string_agg(form, ' ' ORDER BY i) FILTER (form <> '') FROM lines GROUP BY doc_id),
+  UNION ALL SELECT doc_id, true, string_agg(form, ' ' ORDER BY i) FILTER (counts) FROM lines GROUP BY doc_id),
 found AS (SELECT doc_id, entire, license_id FROM (SELECT doc_id, entire, trim({text}) AS form FROM units) JOIN known USING (form) WHERE form <> '')
 SELECT d.doc_id, min(license_id) FILTER (entire) AS license_id,
        coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id) FILTER (NOT entire), '') AS notices,

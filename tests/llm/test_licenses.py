@@ -70,10 +70,35 @@ def test_whole_texts_and_titles(spark):
 
 
 def test_sql(spark):
-    """On the given tables, where no text needs what OP8_SQL does not know."""
     compare(spark, "/root/testdata/sf0.01", licenses.op8_licenses, licenses.OP8_SQL)
 
 
+def test_sql_on_planted_texts(spark, tmp_path):
+    """Query and SQL agree on entire texts of every known licence, under statements of one and two lines, wrapped, and cut."""
+    heads = ["", "Copyright (c) 2020 Someone\n\n", "Copyright (c) 2010-2020 Foo\nand others\n\n", "(C) 2020 The Parser Authors\n  <foo@example.org>\n", "Copyright by Jane Doe,\nwith help from others\n"]
+    rows, want = [], []
+    for k, (license_id, text) in enumerate(licenses.known_texts()):
+        for body in (text, "\n".join(textwrap.fill(part, 60 + k % 30) for part in text.split("\n"))) if len(text) < 5000 else (text,):
+            rows.append((len(rows), heads[k % len(heads)] + body))
+            want.append(license_id)
+    rows += [(len(rows) + k, text) for k, text in enumerate([licenses.MIT[:-9], "and others\n" + licenses.MIT, licenses.MIT + "\nCopyright holders are many", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (tmp_path / "t").mkdir()
+    docs.coalesce(1).toPandas().to_parquet(tmp_path / "t" / "documents.parquet")
+    compare(spark, str(tmp_path / "t"), licenses.op8_licenses, licenses.OP8_SQL)
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    assert [got[k] for k in range(len(want))] == want and not any(got[k] for k in range(len(want), len(rows)))
+
+
+def test_known_texts_without_rows_and_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, licenses.MIT), (2, None)], "doc_id long, text string")
+    none = licenses.scan(docs, spark.createDataFrame([], "license_id string, text string"))
+    assert [(r.license_id, list(r.notices)) for r in none.collect()] == [(None, [])] * 2
+    want = sorted(map(str, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "MAX_KNOWN", 3)
+    assert sorted(map(str, licenses.scan(docs).collect())) == want
+
+
 def test_a_very_common_line(spark):
     docs = spark.createDataFrame([(k % 50, f"{k}\nSPDX-License-Identifier: MIT\n" * 3) for k in range(2000)], "doc_id long, text string")
     assert {(tuple(r.notices), r.n_notice_lines) for r in licenses.scan(docs).collect()} == {(("MIT",), 3)}

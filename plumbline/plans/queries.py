@@ -72,6 +72,16 @@ def sink_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_csv(spark, path)
 
 
+@query("""SELECT 'l_partkey' AS "column", count(*) AS n, min(l_returnflag || CAST(l_partkey AS VARCHAR)) AS example FROM lineitem WHERE l_linenumber = 3""")
+def src_broken_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers with a letter before them, in a CSV file whose schema says they are numbers."""
+    path = f"{shared_dir(spark)}/plumbline-csv/{uuid.uuid4().hex}"
+    number = F.col("l_partkey").cast("string")
+    text = F.when(F.col("l_linenumber") == 3, F.concat("l_returnflag", number)).otherwise(number)
+    T.write_csv(T.parquet(spark, sf_dir, "lineitem").select("l_orderkey", text.alias("l_partkey")), path, single_file=False)
+    return T.broken_values(spark, path, "l_orderkey bigint, l_partkey bigint")
+
+
 @query("SELECT p_retailprice FROM part")
 def proj_target(spark, sf_dir):
     data = T.part(spark, sf_dir)

@@ -13,22 +13,36 @@ MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 # End of the fixed values.
 
 
+def _clean_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns as text, MISSING ones NULL."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue="", emptyValue="")
+    return raw.select(*[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """A CSV file or folder with a header. MISSING texts become NULL in every column.
 
     Without a schema, types are inferred as bigint, double, boolean or string, in that order, in one pass over all rows. With one, a
-    value that is not of its type becomes NULL. With multi_line, quoted line ends belong to their value, and a file is read by one task; without, files are split.
+    value that is not of its type becomes NULL; broken_values counts these. With multi_line, quoted line ends belong to their value, and a file is read by one task; without, files are split.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue="", emptyValue="")
-    clean = raw.select(*[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    clean = _clean_csv(spark, path, multi_line)
     if schema is not None:
         fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
         return clean.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
     kinds = ["bigint", "double", "boolean"]
-    tests = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{i}_{k}") for i, c in enumerate(raw.columns) for k in kinds]
+    tests = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{i}_{k}") for i, c in enumerate(clean.columns) for k in kinds]
     bad = clean.agg(*tests).first()
-    types = [next((k for k in kinds if not bad[f"{i}_{k}"]), "string") for i in range(len(raw.columns))]
-    return clean.select(*[F.col(f"`{c}`").try_cast(k).alias(c) for c, k in zip(raw.columns, types, strict=True)])
+    types = [next((k for k in kinds if not bad[f"{i}_{k}"]), "string") for i in range(len(clean.columns))]
+    return clean.select(*[F.col(f"`{c}`").try_cast(k).alias(c) for c, k in zip(clean.columns, types, strict=True)])
+
+
+def broken_values(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """column, n, example (the least): values that read_csv makes NULL as they are not of their type in the schema. Missing values are none of them; columns without any have no row. One pass, one row to merge a task."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    clean = _clean_csv(spark, path, multi_line)
+    broken = {f.name: F.when(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull(), F.col(f"`{f.name}`")) for f in fields}
+    found = clean.agg(*[F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.min(v).alias("example")).alias(f"c{i}") for i, (c, v) in enumerate(broken.items())])
+    return found.select(F.inline(F.array(*found.columns))).where("n > 0")
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = True, header: list[str] | None = None) -> None:

@@ -185,3 +185,13 @@ def test_csv_with_line_ends(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('a,b\n1,"x\ny"\n')
     assert [tuple(r) for r in tables.read_csv(spark, str(path), multi_line=True).collect()] == [(1, "x\ny")]
+
+
+def test_broken_values_are_counted(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\nNA,2\n1.5,\ntwo,3\n")
+    path, schema = str(tmp_path / "t.csv"), "a bigint, b bigint"
+    assert sorted(map(tuple, tables.broken_values(spark, path, schema).collect())) == [("a", 2, "1.5"), ("b", 1, "x")]
+    assert [tuple(r) for r in tables.read_csv(spark, path, schema).collect()] == [(1, None), (None, 2), (None, None), (None, 3)]
+    assert tables.broken_values(spark, path, "a string, b string").isEmpty()
+    (tmp_path / "e.csv").write_text("a,b\n")
+    assert tables.broken_values(spark, str(tmp_path / "e.csv"), schema).isEmpty()

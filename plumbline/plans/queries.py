@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import catalog, sketches
 from plumbline.functions import metrics as M
 from plumbline.operators import columns as C
 from plumbline.operators import ordered, prep
@@ -14,8 +15,10 @@ from plumbline.operators import split as S
 from plumbline.operators.boosting import Settings
 from plumbline.plans import experiment as X
 from plumbline.plans.models import BoostedTrees, Dummy, GroupMean, MeanRegressor, cross_fitted, dummy_predictions
+from plumbline.sources import semistructured
 from plumbline.sources import tables as T
 from plumbline.sources.shared import shared_dir
+from plumbline.streaming import sessions
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -469,3 +472,60 @@ def cube_lineitem(spark, sf_dir):
         F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount")
     )
     return sums.where("n >= 1000").withColumn("shipped", F.coalesce("shipped", F.lit(0)))
+
+
+# --- sketches, streams, semi-structured columns, functions of SQL
+
+
+@query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS quartiles_close FROM events GROUP BY ALL""")
+def sketch_weeks(spark, sf_dir):
+    """Users and quartiles of values by week from sketches stored by day, each held against the exact figures: whether both are as close as the sketches promise. n is the sketches', users the exact count."""
+    week = F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week")
+    events = T.parquet(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    path, at = f"{shared_dir(spark)}/plumbline-sketches/{uuid.uuid4().hex}", [0.25, 0.5, 0.75]
+    sketches.store(sketches.sketched(events, ["day", "event_type"], "user_id", "value"), path, "day")
+    told = sketches.estimates(sketches.merged(spark.read.parquet(path), [week, "event_type"]), at)
+    rows = events.select(week, "event_type", "user_id", "value")
+    both = rows.join(told.withColumnsRenamed({"week": "w", "event_type": "e"}), F.col("week").eqNullSafe(F.col("w")) & F.col("event_type").eqNullSafe(F.col("e")))
+    places = [c for i in range(3) for c in (F.count_if(F.col("value") < F.col("quantiles")[i]).alias(f"below{i}"), F.count_if(F.col("value") <= F.col("quantiles")[i]).alias(f"upto{i}"))]
+    exact = both.groupBy("week", "event_type").agg(F.max("n_rows").alias("n"), F.max("n_distinct").alias("told"), F.count_distinct("user_id").alias("users"), F.count("value").alias("numbers"), *places)
+    off = F.greatest(*[sketches.off_by(F.col(f"below{i}"), F.col(f"upto{i}"), F.col("numbers"), q) for i, q in enumerate(at)])
+    near = F.abs(F.col("told") - F.col("users")) <= sketches.DISTINCT_ERROR * F.col("users")
+    return exact.select("week", "event_type", "n", "users", near.alias("users_close"), (off <= sketches.RANK_ERROR).alias("quartiles_close"))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, value FROM events WHERE ts IS NOT NULL),
+g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 21600000000, true) AS opens FROM e),
+s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(t) AS opened_us, max(t) + 21600000000 AS closes_us, count(*) AS n, round(sum(value), 6) AS value FROM s GROUP BY user_id, k
+HAVING max(t) + 21600000000 <= (SELECT max(t) // 1000 * 1000 FROM e) - 86400000000""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of users with pauses of up to six hours, from a stream of events: those closed a day before the latest event."""
+    path = f"{shared_dir(spark)}/plumbline-streams/{uuid.uuid4().hex}"
+    events = sessions.source(spark, f"{sf_dir}/{{events.parquet}}")  # a pattern, as the table may be one file
+    rows = events.select("user_id", F.timestamp_micros(ordered.position(events, "ts")).alias("ts"), "value")
+    closed = sessions.sessions(rows, ["user_id"], "ts", "6 hours", "1 day", [F.sum("value").alias("value")])
+    sessions.write_closed(closed, f"{path}/sessions", f"{path}/checkpoint")
+    done = spark.read.schema(closed.schema).parquet(f"{path}/sessions")
+    return done.select("user_id", F.unix_micros("opened").alias("opened_us"), F.unix_micros("closes").alias("closes_us"), "n", F.round("value", 6).alias("value"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 10 WHEN 3 THEN left(props, length(props) - 1) WHEN 5 THEN '[' || props || ']' WHEN 7 THEN '{"level": "' || event_type || '"}' ELSE props END AS props FROM events),
+v AS (SELECT *, coalesce(json_valid(props) AND json_type(CASE WHEN json_valid(props) THEN props END) = 'OBJECT', false) AS good FROM e)
+SELECT event_id, coalesce(CAST(CASE WHEN good THEN json_extract_string(props, '$.k') END AS BIGINT), -1) AS k, CASE WHEN good THEN json_extract_string(props, '$.level') END AS level, CASE WHEN NOT good THEN props END AS bad FROM v""")
+def json_props(spark, sf_dir):
+    """The fields of events' JSON, some of it broken, some with another field, by the schema found in it, -1 for no number; and the text of bad records."""
+    part = F.col("event_id") % 10
+    cut = F.expr("left(props, length(props) - 1)")
+    damaged = F.when(part == 3, cut).when(part == 5, F.concat(F.lit("["), "props", F.lit("]"))).when(part == 7, F.concat(F.lit('{"level": "'), "event_type", F.lit('"}'))).otherwise(F.col("props"))
+    rows = T.parquet(spark, sf_dir, "events").select("event_id", damaged.alias("props"))
+    return semistructured.parsed(rows, "props").select("event_id", F.coalesce("props_fields.k", F.lit(-1)).alias("k"), "props_fields.level", F.col("props_bad").alias("bad"))
+
+
+@query(f"SELECT o_orderpriority, {ROUNDED} FROM (SELECT o_orderpriority, {METRICS} FROM ({GUESS}) GROUP BY o_orderpriority)")
+def metrics_sql(spark, sf_dir):
+    """metrics_all by the functions that SQL can call."""
+    catalog.register(spark)
+    means = {"mae": "avg(abs_error(y, p))", "rmse": "avg(squared_error(y, p))", "rmsle": "avg(squared_log_error(y, p))", "r2": "sum(squared_error(y, p)), var_pop(y) * count(y)"}
+    told = ", ".join(f"{name}({mean}, count_if(unpaired(y, p))) AS {name}" for name, mean in means.items())
+    return rounded(spark.sql(f"SELECT o_orderpriority, {told} FROM {{guesses}} GROUP BY o_orderpriority", guesses=_guess(spark, sf_dir)))

@@ -31,37 +31,36 @@ def _each(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _next_to(values: Column, step: int, f) -> Column:
-    """f of each value and the one `step` further; shorter by `step`."""
-    left = lambda v: F.greatest(F.size(v) - step, F.lit(0))
-    return _each(values, lambda v: F.zip_with(F.slice(v, 1, left(v)), F.slice(v, step + 1, left(v)), f))
+def _ahead(values: Column, step: int, f) -> Column:
+    """f of each value, the one `step` further (NULL after the end) and its index. Arrays keep their length, as slices would copy them."""
+    return _each(values, lambda v: F.transform(v, lambda x, i: f(x, F.get(v, i + step), i)))
 
 
-def _joined(step: int):
-    return lambda x, y: F.shiftleft(x, step).bitwiseXOR(y)
+def _placed(h: Column, i) -> Column:
+    return h.bitwiseAND(F.lit(~_MASK)) + (_MASK - i)
 
 
 def gram_hashes(piece: Column, whole: Column) -> Column:
-    """Rolling hashes of the runs of GRAM characters; of the piece itself if it is a whole text below that."""
+    """Rolling hashes of the runs of GRAM characters, each with its place; NULL for the last GRAM - 1 characters. Of a whole text below GRAM characters, one hash of all."""
     single = F.transform(F.split(piece, F.lit("")), lambda c: F.xxhash64(c))
     rolled, step = single, 1
     while step < GRAM:
-        rolled, step = _next_to(rolled, step, _joined(step)), step * 2
-    short = F.array(F.aggregate(single, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseXOR(x)))
+        last, joined = step * 2 == GRAM, lambda x, y, step=step: F.shiftleft(x, step).bitwiseXOR(y)
+        rolled, step = _ahead(rolled, step, lambda x, y, i, last=last, joined=joined: _placed(joined(x, y), i) if last else joined(x, y)), step * 2
+    short = F.array(_placed(F.aggregate(single, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseXOR(x)), 0))
     return F.when(F.length(piece) >= GRAM, rolled).otherwise(F.when(whole & (piece != ""), short).otherwise(F.array().cast("array<bigint>")))
 
 
 def _select(piece: Column, whole: Column) -> Column:
     """Selected values of one piece. whole: the piece is the beginning of its text, so that it has a window however short it is."""
-    hashes = F.transform(gram_hashes(piece, whole), lambda h, i: h.bitwiseAND(F.lit(~_MASK)) + (_MASK - i))
 
     def windows(h: Column) -> Column:
-        step, out = 1, h
+        step, out, n = 1, h, F.size(h) - (GRAM + WINDOW - 2)
         while step < WINDOW:
-            out, step = _next_to(out, step, lambda x, y: F.least(x, y)), step * 2
-        return F.when(F.size(h) >= WINDOW, F.array_distinct(out)).otherwise(F.when(whole & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.array().cast("array<bigint>")))
+            out, step = _ahead(out, step, lambda x, y, i: F.least(x, y)), step * 2
+        return F.when(n > 0, F.array_distinct(F.slice(out, F.lit(1), n))).otherwise(F.when(whole & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.array().cast("array<bigint>")))
 
-    return _each(hashes, windows)
+    return _each(gram_hashes(piece, whole), windows)
 
 
 def pieces(text: Column) -> Column:

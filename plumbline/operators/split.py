@@ -22,6 +22,8 @@ from plumbline import SEED
 
 HOLDOUT, FOLDS = 0.2, 5
 DIGITS = 3
+#: Rows that one task may have before they are dealt to all cores, and rows of a task at most.
+ROWS, MOST = 100_000, 5_000_000
 #: Rows below a border's digits that are ranked directly.
 FEW = 100_000
 
@@ -107,6 +109,12 @@ def holdout_ids(df: DataFrame, key: str, share: float = HOLDOUT, seed: int = SEE
     return hold.orderBy(order_of(key, seed)).select(F.col(key).alias("row_id"))
 
 
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df, of at most n rows, dealt by key to a task for each core, or to more of MOST rows each; up to ROWS rows to one task. A small compressed file is read by few tasks, whatever its rows cost."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(1) if n <= ROWS else df.repartition(max(cores, -(-n // MOST)), key)
+
+
 def train_rows(df: DataFrame, fold: int) -> DataFrame:
     return df.where((F.col("pli") != fold) & ~F.col("is_hold"))
 

@@ -20,13 +20,17 @@ def folded(data: Dataset, seed: int = split.SEED) -> DataFrame:
 
 
 def cross_validate(rows: DataFrame, data: Dataset, models: dict) -> DataFrame:
-    """DETAIL: a row for each model and fold, in that order. Only dev rows are read: the holdout has no fold."""
+    """DETAIL: a row for each model and fold, in that order. Only dev rows are read: the holdout has no fold. They are read and given their folds once, and kept while models are fitted."""
     records = []
-    for name, model in models.items():
-        predicted = model.predictions(rows, data)
-        found = {r.pli: r for r in compute_metrics(predicted.rows, "y", "prediction", ["pli"]).collect()}  # one row a fold
-        predicted.release()
-        records += [{"modele": name, "pli": i, "temps_s": predicted.seconds[i], **{m: r[m] for m in NAMES}} for i, r in sorted(found.items())]
+    dev = split.dealt(rows.where("NOT is_hold"), data.key, rows.count()).persist()
+    try:
+        for name, model in models.items():
+            predicted = model.predictions(dev, data)
+            found = {r.pli: r for r in compute_metrics(predicted.rows, "y", "prediction", ["pli"]).collect()}  # one row a fold
+            predicted.release()
+            records += [{"modele": name, "pli": i, "temps_s": predicted.seconds[i], **{m: r[m] for m in NAMES}} for i, r in sorted(found.items())]
+    finally:
+        dev.unpersist()
     return from_records(rows.sparkSession, records, DETAIL)
 
 

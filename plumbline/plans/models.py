@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import prep
-from plumbline.operators.boosting import ROWS, Settings, fit_folds, predicted
+from plumbline.operators.boosting import Settings, fit_folds, predicted
 from plumbline.operators.columns import Dataset, categorical_columns, numeric_columns
-from plumbline.operators.split import FOLDS, train_rows, valid_rows
+from plumbline.operators.split import FOLDS, ROWS, train_rows, valid_rows
 
 
 @dataclass

@@ -1,14 +1,14 @@
 """Gradient-boosted regression trees of second order, grown for all folds of a cross-validation at once.
 
 Each round adds a tree to every fold's model. A tree grows level by level; a level is one job over the rows, whatever the number of folds: each task sums gradients and hessians by fold, node, column and bin (numpy's bincount),
-the sums of all tasks meet by fold, and each fold's best split of every node comes back: a few numbers. A split's gain is G²/(H + l2) of both sides minus that of the node; a leaf is -G/(H + l2), times the rate. The loss
+the sums of all tasks are added, on the driver where they are small (SUMS; they don't grow with the rows) and by tasks else, and give each fold's best split of every node. A split's gain is G²/(H + l2) of both sides minus that of the node; a leaf is -G/(H + l2), times the rate. The loss
 is squared error, so a row's gradient is prediction - truth and its hessian 1.
 
 A numeric column is cut at quantiles of each fold's training rows (at all its values if they are few); its missing values count as the training rows' median. A category is a
 column of its own, 1 where the text column has it, so a split on it sets one value against all others; it needs no more room than the text column's code. A missing text counts as the training rows' mode.
 Each tree sees a share of the rows, by a hash of the row's key, and a share of the columns, both drawn by seed, fold and round: neither depends on partitions.
 
-Rows are kept as packed arrays, up to ROWS a pack, with the predictions of all folds, persisted with spilling. Every round makes the next state from the last; every CUT rounds it is checkpointed in the shared folder, so that a lost
+Rows are kept as packed arrays, up to ROWS a pack, with the predictions of all folds and the rows drawn for the next tree, persisted with spilling; bins are numbers of a byte or two, and one array is all folds' where they see a column alike. Every round makes the next state from the last; every CUT rounds it is checkpointed in the shared folder, so that a lost
 executor costs a few rounds at most. Where all rows are one pack, there are no other tasks' sums to be added, and each fold's trees are grown by the same steps in a task of its own, without a job for each level. Sums of a level take folds x nodes x bins numbers in a task; bins are at most 256 a numeric column, and text columns are bounded (prep.MAX_CATEGORIES).
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import pickle
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from plumbline import SEED
 from plumbline.operators import prep
 from plumbline.operators.columns import Dataset, categorical_columns, numeric_columns
-from plumbline.operators.split import FOLDS, order_of
+from plumbline.operators.split import FOLDS, ROWS, order_of
 from plumbline.sources.shared import checkpoints_to_shared_dir
 
-#: Rows of a pack, and of a task at least.
-ROWS = 100_000
+#: Rounds between checkpoints.
 CUT = 25
+#: Bytes of a level's sums, of all tasks, that may come to the driver to be added; more are added by tasks.
+SUMS = 32_000_000
 #: A split must gain more than this.
 LEAST_GAIN = 1e-6
 #: Gains that differ by less, relatively, are equal: sums of many tasks are added in any order.
@@ -65,16 +66,26 @@ class Encoding:
     starts: np.ndarray  # first bin of each column, and the end
     is_text: np.ndarray
 
-    def bins(self, rows: pd.DataFrame, fold: int) -> np.ndarray:
-        """columns x rows: bins counted through all columns."""
-        out = np.empty((len(self.is_text), len(rows)), dtype=np.int32)
-        for k, name in enumerate(self.numeric):
-            x = rows[name].to_numpy(dtype=np.float64, na_value=np.nan)
-            out[k] = np.where(np.isnan(x), self.fill[fold][k], np.searchsorted(self.edges[fold][k], x, side="right"))
-        for k, name in enumerate(self.text, len(self.numeric)):
-            codes = rows[name].map(self.codes[k - len(self.numeric)])
-            out[k] = codes.fillna(self.fill[fold][k]).to_numpy(dtype=np.int32)
-        return out + self.starts[:-1, None].astype(np.int32)
+    def bins(self, rows: pd.DataFrame, folds: Iterable[int]) -> dict[int, list[np.ndarray]]:
+        """By fold, the bins of each column, counted from the column's first. Folds that see a column alike share its array."""
+        out: dict[int, list[np.ndarray]] = {i: [] for i in folds}
+        for k, name in enumerate([*self.numeric, *self.text]):
+            kind = np.min_scalar_type(int(self.starts[k + 1] - self.starts[k]))
+            if self.is_text[k]:
+                codes = rows[name].map(self.codes[k - len(self.numeric)]).to_numpy(dtype=np.float64, na_value=np.nan)
+                missing = np.isnan(codes)
+            else:
+                x = rows[name].to_numpy(dtype=np.float64, na_value=np.nan)
+                missing = np.isnan(x)
+            shared: list[tuple[np.ndarray | None, int, np.ndarray]] = []
+            for i, columns in out.items():
+                edges, fill = None if self.is_text[k] else self.edges[i][k], int(self.fill[i][k]) if missing.any() else -1
+                own = next((a for e, f, a in shared if f == fill and (edges is None or np.array_equal(e, edges))), None)
+                if own is None:
+                    own = np.where(missing, fill, codes if edges is None else np.searchsorted(edges, x, side="right")).astype(kind)
+                    shared.append((edges, fill, own))
+                columns.append(own)
+        return out
 
 
 @dataclass
@@ -99,16 +110,28 @@ def empty_tree(depth: int) -> Tree:
     return Tree(np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros(n))
 
 
-def node_of(tree: Tree, bins: np.ndarray, is_text: np.ndarray, levels: int) -> np.ndarray:
-    """The node that each row has come to after some levels."""
-    node = np.zeros(bins.shape[1], dtype=np.int64)
-    at = np.arange(bins.shape[1])
+def descended(tree: Tree, bins: list[np.ndarray], enc: Encoding, rows: np.ndarray, levels: int) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
+    """The nodes that rows (positions) have come to after some levels, each with its rows in their order: those of the last level, and the leaves above it."""
+    at, above = [(0, rows)], []
     for _ in range(levels):
-        column = tree.column[node]
-        own = bins[np.maximum(column, 0), at]
-        holds = np.where(is_text[np.maximum(column, 0)], own == tree.cut[node], own <= tree.cut[node])
-        node = np.where(column < 0, node, 2 * node + np.where(holds, 1, 2))
-    return node
+        below = []
+        for node, own in at:
+            column = int(tree.column[node])
+            if column < 0:
+                above.append((node, own))
+                continue
+            x, cut = bins[column][own], int(tree.cut[node] - enc.starts[column])
+            holds = x == cut if enc.is_text[column] else x <= cut
+            below += [(2 * node + 1, own[holds]), (2 * node + 2, own[~holds])]
+        at = below
+    return at, above
+
+
+def add_values(tree: Tree, bins: list[np.ndarray], enc: Encoding, to: np.ndarray) -> None:
+    """Adds the value of each row's leaf to the row's number."""
+    for nodes in descended(tree, bins, enc, np.arange(len(to)), (len(tree.value) + 1).bit_length() - 2):
+        for node, own in nodes:
+            to[own] += tree.value[node]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -199,7 +222,8 @@ def packed(dev: DataFrame, data: Dataset, enc: Encoding, folds: int) -> RDD:
         def pack() -> pd.DataFrame:
             df = pd.concat(held, ignore_index=True)
             y = df["_y"].to_numpy()
-            state = {"key": df["_hash"].to_numpy().astype(np.uint64), "pli": df["pli"].to_numpy(), "y": y, "bins": {i: shared.value.bins(df, i) for i in range(1, folds + 1)}, "p": np.zeros((folds + 1, len(y)))}
+            p = {i: np.zeros(len(y)) for i in range(1, folds + 1)}
+            state = {"key": df["_hash"].to_numpy().astype(np.uint64), "pli": df["pli"].to_numpy().astype(np.int32), "y": y, "bins": shared.value.bins(df, p), "p": p}
             return pd.DataFrame({"pack": [pickle.dumps(state, protocol=5)]})
 
         for batch in batches:
@@ -214,28 +238,32 @@ def packed(dev: DataFrame, data: Dataset, enc: Encoding, folds: int) -> RDD:
     return rows.mapInPandas(run, "pack binary").rdd.map(lambda r: pickle.loads(r.pack))
 
 
-def _level(states: Iterator[dict], forests: dict[int, Tree], level: int, turn: int, enc: Encoding, s: Settings) -> Iterator[tuple[int, tuple[np.ndarray, float]]]:
+def draw(state: dict, folds: Iterable[int], turn: int, s: Settings) -> None:
+    """Puts into the state which rows each fold's next tree learns from, a bit a row: drawn once a tree, not once a level."""
+    state["drawn"] = {i: np.packbits((state["pli"] != i) & drawn_rows(state["key"], s.row_share, s.seed, i, turn)) for i in folds}
+
+
+def _level(states: Iterator[dict], forests: dict[int, Tree], level: int, enc: Encoding, s: Settings) -> Iterator[tuple[int, tuple[np.ndarray, float]]]:
     """(fold, (sums of the level's nodes x bins, seconds)) of a task's packs."""
     total, n_bins, width = {}, int(enc.starts[-1]), 2**level
     seconds = dict.fromkeys(forests, 0.0)
     for state in states:
         for i, tree in forests.items():
             began = time.perf_counter()
-            bins = state["bins"][i]
-            used = (state["pli"] != i) & drawn_rows(state["key"], s.row_share, s.seed, i, turn)
-            node = node_of(tree, bins, enc.is_text, level) - (width - 1)
-            used &= node >= 0  # others have come to their leaf above
-            at = node[used] * n_bins
-            g = (state["p"][i] - state["y"])[used]
+            bins, y = state["bins"][i], state["y"]
             if i not in total:
-                total[i] = np.zeros((width * n_bins, 2))
-            for column in bins:
-                k = at + column[used]
-                total[i][:, 0] += np.bincount(k, weights=g, minlength=width * n_bins)
-                total[i][:, 1] += np.bincount(k, minlength=width * n_bins)
+                total[i] = np.zeros((width, n_bins, 2))
+            gradient = state["p"][i] - y
+            used = np.flatnonzero(np.unpackbits(state["drawn"][i], count=len(y)))
+            for node, own in descended(tree, bins, enc, used, level)[0]:  # others have come to their leaf above
+                sums, g = total[i][node - (width - 1)], gradient[own]
+                for k, column in enumerate(bins):
+                    x, part = column[own].astype(np.intp), sums[enc.starts[k] : enc.starts[k + 1]]
+                    part[:, 0] += np.bincount(x, weights=g, minlength=len(part))
+                    part[:, 1] += np.bincount(x, minlength=len(part))
             seconds[i] += time.perf_counter() - began
     for i, sums in total.items():
-        yield i, (sums.reshape(width, n_bins, 2), seconds[i])
+        yield i, (sums, seconds[i])
 
 
 def extended(tree: Tree, level: int, total: np.ndarray, allowed: np.ndarray, enc: Encoding, s: Settings) -> bool:
@@ -256,15 +284,16 @@ def extended(tree: Tree, level: int, total: np.ndarray, allowed: np.ndarray, enc
 def grown_alone(fold: int, state: dict, base: float, enc: Encoding, s: Settings) -> tuple[Forest, float]:
     """A fold's model and the seconds it took, where one pack has all rows."""
     began, forest = time.perf_counter(), Forest(base)
-    state["p"][fold] = base
+    state["p"][fold][:] = base
     for turn in range(s.rounds):
         tree = empty_tree(s.depth)
+        draw(state, [fold], turn, s)
         allowed = drawn_columns(enc.starts, enc.is_text, s.column_share, s.seed, fold, turn)
         for level in range(s.depth):
-            found = dict(_level(iter([state]), {fold: tree}, level, turn, enc, s))
+            found = dict(_level(iter([state]), {fold: tree}, level, enc, s))
             if not extended(tree, level, found[fold][0], allowed, enc, s):
                 break
-        state["p"][fold] += tree.value[node_of(tree, state["bins"][fold], enc.is_text, s.depth)]
+        add_values(tree, state["bins"][fold], enc, state["p"][fold])
         forest.trees.append(tree)
     return forest, time.perf_counter() - began
 
@@ -285,7 +314,8 @@ def fit_folds(dev: DataFrame, data: Dataset, s: Settings, folds: int = FOLDS, fe
 
     def start(state: dict) -> dict:
         for i, b in base.items():
-            state["p"][i] = b
+            state["p"][i][:] = b
+        draw(state, base, 0, s)
         return state
 
     state = packed(dev, data, enc, folds).map(start).persist(StorageLevel.MEMORY_AND_DISK)
@@ -304,8 +334,8 @@ def fit_folds(dev: DataFrame, data: Dataset, s: Settings, folds: int = FOLDS, fe
         allowed = {i: drawn_columns(enc.starts, enc.is_text, s.column_share, s.seed, i, turn) for i in forests}
         for level in range(s.depth):
 
-            def level_sums(states, trees=trees, level=level, turn=turn):
-                return _level(states, trees, level, turn, shared.value, s)
+            def level_sums(states, trees=trees, level=level):
+                return _level(states, trees, level, shared.value, s)
 
             def grown(found, trees=trees, allowed=allowed, level=level):
                 i, (total, took) = found
@@ -313,11 +343,16 @@ def fit_folds(dev: DataFrame, data: Dataset, s: Settings, folds: int = FOLDS, fe
                 some = extended(trees[i], level, total, allowed[i], shared.value, s)
                 return i, trees[i], some, took + time.perf_counter() - began
 
-            each = state.mapPartitions(level_sums)
-            if tasks > 1:
-                each = each.reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1]), min(tasks, folds))
+            each, add = state.mapPartitions(level_sums), lambda a, b: (a[0] + b[0], a[1] + b[1])
+            if tasks * len(trees) * 2**level * int(enc.starts[-1]) * 16 <= SUMS:  # no second stage to wait for
+                parts: dict[int, tuple[np.ndarray, float]] = {}
+                for i, part in each.collect():
+                    parts[i] = add(parts[i], part) if i in parts else part
+                splits = map(grown, parts.items())
+            else:
+                splits = each.reduceByKey(add, min(tasks, folds)).map(grown).collect()
             going = False
-            for i, tree, some, took in each.map(grown).collect():  # a tree a fold
+            for i, tree, some, took in splits:  # a tree a fold
                 trees[i], going = tree, going or some
                 seconds[i] += took
             while stale:  # this job has made the state that follows them
@@ -327,9 +362,10 @@ def fit_folds(dev: DataFrame, data: Dataset, s: Settings, folds: int = FOLDS, fe
         for i, tree in trees.items():
             forests[i].trees.append(tree)
 
-        def added(old: dict, trees=trees) -> dict:
+        def added(old: dict, trees=trees, turn=turn) -> dict:
             for i, tree in trees.items():
-                old["p"][i] += tree.value[node_of(tree, old["bins"][i], shared.value.is_text, s.depth)]
+                add_values(tree, old["bins"][i], shared.value, old["p"][i])
+            draw(old, trees, turn + 1, s)
             return old
 
         stale.append(state)
@@ -357,10 +393,10 @@ def predicted(rows: DataFrame, data: Dataset, enc: Encoding, forests: dict[int,
             for fold, forest in forests.items():
                 own = (batch["_fold"] == fold).to_numpy()
                 if own.any():
-                    bins = enc.bins(inputs[own], fold)
-                    total = np.full(bins.shape[1], forest.base)
+                    bins = enc.bins(inputs[own], [fold])[fold]
+                    total = np.full(own.sum(), forest.base)
                     for tree in forest.trees:
-                        total += tree.value[node_of(tree, bins, enc.is_text, (len(tree.value) + 1).bit_length() - 2)]
+                        add_values(tree, bins, enc, total)
                     out[own] = total
             yield batch[keep].assign(prediction=out)
 

@@ -144,12 +144,13 @@ class BoostedTrees:
     features: list[str] | None = None
 
     def predictions(self, folded: DataFrame, data: Dataset) -> Predictions:
-        dev = folded.where("pli IS NOT NULL").persist()
-        # a level of a tree is a job over all rows: as few tasks as they need
-        few = dev.coalesce(max(1, -(-dev.count() // ROWS)))
+        dev = folded.where("pli IS NOT NULL")
+        held = [] if folded.is_cached else [dev.persist()]
+        # a level of a tree is a job over all rows: one task where they are few, else those that the rows are dealt to
+        few = dev.coalesce(1) if dev.count() <= ROWS else dev
         enc, forests, seconds = fit_folds(few, data, self.settings, features=self.features)
-        named = few.withColumn("y", F.col(data.target).cast("double"))
-        return Predictions(predicted(named, data, enc, forests, ["pli", data.key, "y"]), {i: round(s, 2) for i, s in seconds.items()}, [dev])
+        named = dev.withColumn("y", F.col(data.target).cast("double"))
+        return Predictions(predicted(named, data, enc, forests, ["pli", data.key, "y"]), {i: round(s, 2) for i, s in seconds.items()}, held)
 
 
 def default_models() -> dict[str, Callable]:

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import split
+from plumbline.operators import boosting, split
 from plumbline.operators.columns import Dataset
 from plumbline.plans import experiment as X
+from plumbline.plans import models
 from plumbline.plans.models import Dummy, GroupMean
 
 
@@ -36,3 +37,21 @@ def test_dealt(spark, monkeypatch):
     assert split.dealt(df, "id", 50).rdd.getNumPartitions() == 1
     monkeypatch.setattr(split, "MOST", 20)
     assert split.dealt(df, "id", 200).rdd.getNumPartitions() == 10
+
+
+def test_trees_are_grown_by_all_cores(spark, monkeypatch):
+    """Rows of one partition, more than one pack has: each core has a share. Sums added on the driver or by tasks give the same trees, and those of one task with all rows."""
+    tasks, fit = [], boosting.fit_folds
+    monkeypatch.setattr(models, "fit_folds", lambda dev, *a, **b: tasks.append(dev.rdd.getNumPartitions()) or fit(dev, *a, **b))
+    k = F.col("id")
+    df = spark.range(0, 200, 1, 1).select(k.alias("k"), F.when(k % 7 > 0, (k % 9).cast("double")).alias("x"), F.when(k % 5 > 0, (k % 4).cast("string")).alias("g"), (k % 9 + k % 4).cast("double").alias("y"))
+    data, found = Dataset(df, "k", "y"), []
+    trees = {"Trees": models.BoostedTrees(boosting.Settings(rounds=2, depth=2, rate=0.5), features=["x", "g"])}
+    for rows, most in ((50, 32_000_000), (50, 0), (1_000, 0)):
+        for module in (split, models, boosting):
+            monkeypatch.setattr(module, "ROWS", rows, raising=False)
+        monkeypatch.setattr(boosting, "SUMS", most, raising=False)
+        found.append([r.mae for r in X.cross_validate(X.folded(data), data, trees).collect()])
+    assert tasks == [*[spark.sparkContext.defaultParallelism] * 2, 1]
+    assert found[0] == pytest.approx(found[2], rel=1e-9) and found[1] == pytest.approx(found[2], rel=1e-9)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

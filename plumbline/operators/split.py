@@ -3,7 +3,7 @@
 Rows are ordered by the MD5 of seed and key. The first ceil(share * n) of them are the holdout; the rest is cut into k folds whose sizes
 differ by one at most, larger ones first. The assignment depends on seed and keys only: not on partitions, row order or other columns.
 
-Nothing is sorted as a whole. The rows where holdout and folds end are found by counting: hashes are counted by their first
+Nothing is sorted as a whole. The rows where holdout and folds end are found by counting, over keys that are read once and dealt to all cores: hashes are counted by their first
 hex digits, then, only below the digits in which a border falls, by more digits, until few rows are left there. The k borders, all that
 reaches the driver besides at most 4096 counts a border and round, become literals, and assigning rows is a map without a shuffle.
 
@@ -84,17 +84,21 @@ def _grouped(places: dict[int, tuple[str, int]]) -> list:
 
 def with_folds(df: DataFrame, key: str, share: float = HOLDOUT, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """df plus is_hold boolean and pli int (the fold from 1; NULL in the holdout)."""
-    orders = df.select(order_of(key, seed).alias("o"))
     n = df.count()
     hold = holdout_size(n, share)
     ends = [hold, *(hold + e for e in fold_ends(n - hold, folds))]
-    borders = order_statistics(orders, sorted({e for e in ends if e > 0}))
-    o = order_of(key, seed)
+    keys = dealt(df.select(key), key, n).persist()
+    try:
+        borders = order_statistics(keys.select(order_of(key, seed).alias("o")), sorted({e for e in ends if e > 0}))
+    finally:
+        keys.unpersist()
+    o = F.col("_order")  # a column of its own, so that a row is hashed once for all borders
     is_hold = o <= F.lit(borders[hold]) if hold else F.lit(False)
     fold = F.lit(1)
     for e in ends[1:-1]:
         fold = fold + ((o > F.lit(borders[e])) if e else F.lit(True)).cast("int")
-    return df.withColumn("is_hold", is_hold).withColumn("pli", F.when(~F.col("is_hold"), fold).cast("int"))
+    ordered = df.withColumn("_order", order_of(key, seed)).withColumn("is_hold", is_hold)
+    return ordered.withColumn("pli", F.when(~F.col("is_hold"), fold).cast("int")).drop("_order")
 
 
 def make_split(df: DataFrame, key: str, share: float = HOLDOUT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

@@ -19,10 +19,19 @@ def folded(data: Dataset, seed: int = split.SEED) -> DataFrame:
     return split.with_folds(data.df, data.key, seed=seed)
 
 
+def read_by(rows: DataFrame, data: Dataset, models: dict) -> DataFrame:
+    """rows without the columns that no model reads; with all, where a model doesn't say what it reads."""
+    reads = [model.reads() if hasattr(model, "reads") else None for model in models.values()]
+    if None in reads:
+        return rows
+    kept = {data.key, data.target, "is_hold", "pli", *(c for columns in reads for c in columns)}
+    return rows.drop(*[c for c in rows.columns if c not in kept])
+
+
 def cross_validate(rows: DataFrame, data: Dataset, models: dict) -> DataFrame:
-    """DETAIL: a row for each model and fold, in that order. Only dev rows are read: the holdout has no fold. They are read and given their folds once, and kept while models are fitted."""
+    """DETAIL: a row for each model and fold, in that order. Only dev rows are read: the holdout has no fold. They are read and given their folds once, and kept, with the columns that models read, while these are fitted."""
     records = []
-    dev = split.dealt(rows.where("NOT is_hold"), data.key, rows.count()).persist()
+    dev = split.dealt(read_by(rows, data, models).where("NOT is_hold"), data.key, rows.count()).persist()
     try:
         for name, model in models.items():
             predicted = model.predictions(dev, data)

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import prep
@@ -17,6 +17,11 @@ from plumbline.operators.columns import Dataset, categorical_columns, numeric_co
 from plumbline.operators.split import FOLDS, ROWS, train_rows, valid_rows
 
 
+def mean_of_sums() -> Column:
+    """The mean of sums `s` of `n` values; NULL where there are none."""
+    return F.sum("s") / F.nullif(F.sum("n"), F.lit(0))
+
+
 @dataclass
 class Predictions:
     """rows: pli, key, y, prediction. seconds: those of fit and predict, by fold. held: what is persisted meanwhile."""
@@ -30,13 +35,27 @@ class Predictions:
             df.unpersist()
 
 
-def dummy_predictions(folded: DataFrame, key: str, target: str, folds: int = FOLDS) -> DataFrame:
-    """The mean target of all other folds, for each dev row: one aggregate of the folds and a map over the rows."""
+def target_sums(folded: DataFrame, target: str, *by: Column | str) -> DataFrame:
+    """s, n: the dev rows' targets added and counted by fold, and by what else is named."""
     y = F.col(target).cast("double")
-    sums = folded.where("pli IS NOT NULL").groupBy("pli").agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    return folded.where("pli IS NOT NULL").groupBy(*by, "pli").agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+
+
+def kept(sums: DataFrame) -> DataFrame:
+    """sums, persisted by a task for each core: a kept table has all partitions of its shuffle, however few rows these have."""
+    return sums.coalesce(sums.sparkSession.sparkContext.defaultParallelism).persist()
+
+
+def means_of_others(sums: DataFrame, *by: str, folds: int = FOLDS) -> DataFrame:
+    """mean: by fold (and by what else the sums are), the mean target of all other folds."""
     others = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda i: i != F.col("pli"))
-    means = sums.select(F.explode(others).alias("pli"), "s", "n").groupBy("pli").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("prediction"))
-    dev = folded.where("pli IS NOT NULL").select("pli", F.col(key), y.alias("y"))
+    return sums.select(*by, F.explode(others).alias("pli"), "s", "n").groupBy(*by, "pli").agg(mean_of_sums().alias("mean"))
+
+
+def dummy_predictions(folded: DataFrame, key: str, target: str, folds: int = FOLDS) -> DataFrame:
+    """The mean target of all other folds, for each dev row: one aggregate of the folds and a map over the rows."""
+    means = means_of_others(target_sums(folded, target), folds=folds).withColumnRenamed("mean", "prediction")
+    dev = folded.where("pli IS NOT NULL").select("pli", F.col(key), F.col(target).cast("double").alias("y"))
     return dev.join(F.broadcast(means), "pli")  # one row a fold
 
 
@@ -44,6 +63,9 @@ def dummy_predictions(folded: DataFrame, key: str, target: str, folds: int = FOL
 class Dummy:
     """Predicts the mean of the training rows."""
 
+    def reads(self) -> list[str]:
+        return []
+
     def predictions(self, folded: DataFrame, data: Dataset) -> Predictions:
         """Each fold's time is that of a fit and a prediction of its own; the rows come from one plan for all folds."""
         y, seconds = F.col(data.target).cast("double"), {}
@@ -61,28 +83,34 @@ class GroupMean:
 
     column: str
 
+    def reads(self) -> list[str]:
+        return [self.column]
+
     def predictions(self, folded: DataFrame, data: Dataset) -> Predictions:
-        y, seconds = F.col(data.target).cast("double"), {}
+        """Sums by group are kept before rows are joined to them: their size is known then, so that a few groups are sent to all tasks and rows stay where they are."""
+        seconds, group = {}, F.col(self.column).alias("_group")
         for fold in range(1, FOLDS + 1):
             start = time.perf_counter()
-            train = train_rows(folded, fold)
-            means = train.groupBy(F.col(self.column).alias("_group")).agg(F.avg(y).alias("mean"))
-            mean = train.agg(F.avg(y)).first()[0]
+            sums = kept(target_sums(train_rows(folded, fold).withColumn("pli", F.lit(fold)), data.target, group))
+            mean = sums.agg(mean_of_sums()).first()[0]
             valid = valid_rows(folded, fold)
+            means = sums.select("_group", (F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("mean"))
             valid.join(means, valid[self.column].eqNullSafe(F.col("_group")), "left").select(data.key, F.coalesce("mean", F.lit(mean))).write.format("noop").mode("overwrite").save()
             seconds[fold] = round(time.perf_counter() - start, 2)
-        return Predictions(group_predictions(folded, data.key, data.target, self.column), seconds)
-
-
-def group_predictions(folded: DataFrame, key: str, target: str, column: str, folds: int = FOLDS) -> DataFrame:
-    """GroupMean's predictions for each dev row: one aggregate by group and fold."""
-    y, group = F.col(target).cast("double"), F.col(column).alias("_group")
-    own = folded.where("pli IS NOT NULL").groupBy(group, "pli").agg(F.sum(y).alias("s"), F.count(y).alias("n"))
-    others = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda i: i != F.col("pli"))
-    means = own.select("_group", F.explode(others).alias("_fold"), "s", "n").groupBy("_group", "_fold").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
-    rows = dummy_predictions(folded.withColumn("_key", F.struct(F.col(key).alias("k"), F.col(column).alias("g"))), "_key", target, folds)
-    joined = rows.join(means, F.col("_key.g").eqNullSafe(F.col("_group")) & (F.col("pli") == F.col("_fold")), "left")
-    return joined.select("pli", F.col("_key.k").alias(key), "y", F.coalesce("mean", "prediction").alias("prediction"))
+            sums.unpersist()
+        sums = kept(target_sums(folded, data.target, group))
+        sums.count()
+        return Predictions(group_predictions(folded, data.key, data.target, self.column, sums), seconds, [sums])
+
+
+def group_predictions(folded: DataFrame, key: str, target: str, column: str, sums: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """GroupMean's predictions for each dev row, from the target's sums by `_group` and fold."""
+    total = sums.groupBy("pli").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    overall = means_of_others(total, folds=folds).withColumnRenamed("mean", "prediction")
+    means = means_of_others(sums, "_group", folds=folds).withColumnRenamed("pli", "_fold")
+    dev = folded.where("pli IS NOT NULL").select("pli", F.col(key), F.col(target).cast("double").alias("y"), F.col(column).alias("_own"))
+    joined = dev.join(F.broadcast(overall), "pli").join(means, F.col("_own").eqNullSafe(F.col("_group")) & (F.col("pli") == F.col("_fold")), "left")
+    return joined.select("pli", key, "y", F.coalesce("mean", "prediction").alias("prediction"))
 
 
 class MeanRegressor(Estimator):

@@ -24,8 +24,9 @@ def read_by(rows: DataFrame, data: Dataset, models: dict) -> DataFrame:
     reads = [model.reads() if hasattr(model, "reads") else None for model in models.values()]
     if None in reads:
         return rows
-    kept = {data.key, data.target, "is_hold", "pli", *(c for columns in reads for c in columns)}
-    return rows.drop(*[c for c in rows.columns if c not in kept])
+    kept = {c.strip("`").lower() for c in (data.key, data.target, "is_hold", "pli", *(c for columns in reads for c in columns))}
+    kept |= {c.split(".")[0] for c in kept}  # a field's column
+    return rows.drop(*[c for c in rows.columns if c.lower() not in kept])
 
 
 def cross_validate(rows: DataFrame, data: Dataset, models: dict) -> DataFrame:

@@ -94,6 +94,13 @@ def test_columns_that_no_model_reads_are_not_kept(spark):
     assert seen.value == 160
 
 
+def test_a_group_may_be_a_field_or_named_in_capitals(spark):
+    k = F.col("id")
+    data = Dataset(spark.range(200).select(k.alias("k"), F.struct((k % 3).alias("g")).alias("s"), (k % 3).alias("g"), (k % 7).cast("double").alias("y")), "k", "y")
+    by = {name: {r.pli: r.mae for r in X.cross_validate(X.folded(data), data, {"Group": GroupMean(name)}).collect()} for name in ("g", "G", "s.g")}
+    assert len(by["g"]) == 5 and by["g"] == pytest.approx(by["G"]) and by["g"] == pytest.approx(by["s.g"])
+
+
 def test_rows_are_not_shuffled_to_the_means_of_few_groups(spark):
     """The rows are larger than what is broadcast, the means of their groups are not."""
     k, limit = F.col("id"), "spark.sql.autoBroadcastJoinThreshold"
